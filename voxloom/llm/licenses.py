@@ -45,37 +45,51 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 
-#: Known licence texts and customary notices, as (identifier, text).
+#: Known licence texts, as (identifier, text).
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", f"MIT License\n\n{_MIT}"),
     ("MIT", f"The MIT License\n\n{_MIT}"),
     ("MIT", f"The MIT License (MIT)\n\n{_MIT}"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", _ISC),
     ("ISC", f"ISC License\n\n{_ISC}"),
     ("Zlib", _ZLIB),
     ("Zlib", f"zlib License\n\n{_ZLIB}"),
     ("Apache-2.0", _APACHE_HEADER),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
-    ("Apache-2.0", "This work is licensed under the Apache License, version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "Released under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-3.0-or-later", _GPL_NOTICE),
-    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 )
+#: Names by which notices call a licence, as (identifier, names).
+NAMES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", ("the MIT License", "the MIT license (MIT)", "MIT")),
+    ("Apache-2.0", ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0")),
+    ("GPL-2.0-only", ("the GNU General Public License, version 2", "the GNU GPL v2", "GPL-2.0")),
+    ("GPL-3.0-only", ("the GNU General Public License, version 3", "the GNU GPL v3", "GPL-3.0")),
+    ("LGPL-3.0-only", ("the GNU Lesser General Public License, version 3", "the GNU LGPL v3", "LGPL-3.0")),
+    ("AGPL-3.0-only", ("the GNU Affero General Public License, version 3", "the GNU AGPL v3", "AGPL-3.0")),
+    ("MPL-2.0", ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0")),
+    ("BSD-2-Clause", ("the BSD 2-Clause License", "the Simplified BSD License", "BSD-2-Clause")),
+    ("BSD-3-Clause", ("the BSD 3-Clause License", "the New BSD License", "BSD-3-Clause")),
+    ("ISC", ("the ISC License",)),
+    ("Unlicense", ("the Unlicense",)),
+    ("CC0-1.0", ("CC0 1.0", "CC0")),
+    ("CC-BY-4.0", ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License")),
+    ("CC-BY-SA-4.0", ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License")),
+    ("CC-BY-NC-4.0", ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License")),
+    ("CC-BY-ND-4.0", ("CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License")),
+    ("CC-BY-NC-SA-4.0", ("CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License")),
+    ("CC-BY-NC-ND-4.0", ("CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License")),
+)
+#: How notices begin.
+LEADS = ("Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This program is licensed under", "This file is licensed under", "This code is released under")
+
+
+def notices() -> list[tuple[str, str]]:
+    """(identifier, notice) of every way to begin with every name, and of the identifier line."""
+    said = [(i, f"{lead} {name}") for i, names in NAMES for name in names for lead in LEADS]
+    return said + [(i, f"SPDX-License-Identifier: {i}") for i, _ in NAMES]
+
+
 #: Spellings that count as the same, in lower case; the second stands for both.
 EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
@@ -106,8 +120,9 @@ def flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license, size) of the known texts: as many rows as there are texts."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license, size) of the known texts and notices: as many rows as there are."""
+    known = [*KNOWN, *notices()] if known is None else known
     rows = spark.createDataFrame(list(known), "license string, text string").select("license", flat(canonical(F.col("text"))).alias("c"))
     return rows.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("c")).alias("size"))
 

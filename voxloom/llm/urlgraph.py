@@ -4,10 +4,12 @@ Edges are counted between hosts: the host of a page to each host that its
 absolute links name, and a host to the nearest host above it among the pages
 (and back). Trust is a personalised PageRank from the hosts whose pages the
 rules allow; distrust runs over the reversed edges from the hosts whose pages
-the rules block, since a page that links to a blocked one is suspect. A host
-is blocked if its distrust exceeds its trust by a factor. The graph has one row
-for each pair of hosts; rank tables have one for each host, and a hub's
-neighbours are combined before the shuffle.
+the rules block, since a page that links to a blocked one is suspect. The same
+walk from all pages tells how much distrust a host would have if every page were
+blocked; the quotient is the share of blocked pages around a host. A host is
+blocked if that share reaches the threshold and exceeds the like share of
+allowed pages. The graph has one row for each pair of hosts; rank tables have
+one for each host, and a hub's neighbours are combined before the shuffle.
 
 Defined results: a null url, or one without ://, has an empty host and path; an
 empty host fits no rule, is in no graph and is allowed. Null html has no links.
@@ -67,34 +69,31 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """(host, rank): ranks after that many rounds from seeds (host, seed), which are scaled to sum to 1."""
+    """(host, ranks of the seeds): ranks after that many rounds from seeds (host, one column for each walk)."""
+    walks = [c for c in seeds.columns if c != "host"]
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     step = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    total = seeds.agg(F.sum("seed")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    start = checkpointed(seeds.where("seed > 0").select("host", (F.col("seed") / total).alias("rank")))
-    rank = start
+    rank = start = checkpointed(seeds)
     for i in range(rounds):
-        moved = rank.join(step, rank["host"] == step["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.unionByName(start.select("host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
+        moved = rank.join(step, rank["host"] == step["src"]).select(F.col("dst").alias("host"), *[(F.col(w) * F.col("share") * damping).alias(w) for w in walks])
+        rank = moved.unionByName(start.select("host", *[(F.col(w) * (1 - damping)).alias(w) for w in walks])).groupBy("host").agg(*[F.sum(w).alias(w) for w in walks])
         if i % 4 == 3:
             rank = checkpointed(rank)
     return rank
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, *, key: str = "page_id", url: str = "url", html: str = "html", factor: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, *, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5) -> DataFrame:
     """(key, host, path, rule, verdict, trust, distrust) of every row."""
     named = pages.select(key, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     named = named.select("*", rule.alias("rule"), said.alias("__said"))
-    seeds = named.where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("__said") == "allow", 1.0).otherwise(0.0)).alias("good"), F.avg(F.when(F.col("__said") == "block", 1.0).otherwise(0.0)).alias("bad"))
-    seeds = checkpointed(seeds)
+    weight = lambda said: F.sum(F.when(F.col("__said") == said, 1.0).otherwise(0.0))
+    seeds = checkpointed(named.where("host <> ''").groupBy("host").agg(weight("allow").alias("good"), weight("block").alias("bad"), F.count("*").cast("double").alias("every")))
     edges = checkpointed(host_edges(pages, url=url, html=html))
-    trust = personalised_rank(edges, seeds.select("host", F.col("good").alias("seed")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_rank(back, seeds.select("host", F.col("bad").alias("seed")))
-    ranks = trust.select(F.col("host").alias("__host"), F.col("rank").alias("trust")).join(distrust.select(F.col("host").alias("__host"), F.col("rank").alias("distrust")), "__host", "full")
-    of_host = F.when(F.coalesce("distrust", F.lit(0.0)) > factor * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
+    trusted, suspected = personalised_rank(edges, seeds.select("host", "good", "every")), personalised_rank(back, seeds.select("host", "bad", "every"))
+    ranks = trusted.select(F.col("host").alias("__host"), F.try_divide("good", "every").alias("trust")).join(suspected.select(F.col("host").alias("__host"), F.try_divide("bad", "every").alias("distrust")), "__host", "full")
+    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    of_host = F.when((distrust >= threshold) & (distrust > trust), "block").otherwise("allow")
     joined = named.join(ranks, named["host"] == ranks["__host"], "left")
     return joined.select(key, "host", "path", "rule", F.coalesce("__said", of_host).alias("verdict"), "trust", "distrust")
