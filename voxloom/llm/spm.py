@@ -46,7 +46,7 @@ class PieceCodec:
     """Encoder and decoder for one BPE model with byte fallback and identity normalisation."""
 
     #: Chunks whose ids are kept, and pairs of pieces whose verdict is kept, in one worker.
-    MAX_CHUNKS, MAX_PAIRS = 200_000, 400_000
+    MAX_CHUNKS, MAX_PAIRS = 400_000, 400_000
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,7 +72,7 @@ class PieceCodec:
         self.rank = {p: order[model.get_score(i)] for p, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, len(piece))
+            self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), "") for p in self.ids}
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -119,9 +119,13 @@ class PieceCodec:
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of one chunk; characters outside the vocabulary stand alone."""
+        # Mostly the longest matches one after the other may all stand together.
+        ahead = [found[1] for _, found in self.automaton.iter_long(text)]
+        if "".join(ahead) == text and self._alone(ahead[0]) and all(map(self.fits, ahead, ahead[1:])):
+            return ahead
         n = len(text)
         longest = [1] * n
-        for last, length in self.automaton.iter(text):
+        for last, (length, _) in self.automaton.iter(text):
             start = last - length + 1
             if length > longest[start]:
                 longest[start] = length
