@@ -74,8 +74,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, percent:
         hits = probes.join(_bounded(sketch, rows), "h").where(F.col("n") - (width - 1) >= F.col("need")).select("doc", "item")
         candidates = hits if candidates is None else candidates.union(hits)
     if candidates is None:
-        empty = docs.select(F.col(key), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared")).limit(0)
-        return empty.crossJoin(benchmark.select(F.col(item_key)).limit(0)).select(key, item_key, "n_shingles", "n_shared")
+        kind = benchmark.schema[item_key].dataType
+        return docs.select(F.col(key), F.lit(None).cast(kind).alias(item_key), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared")).where(F.lit(False))
     return _verified(candidates.distinct(), words, benchmark, size, percent, key, item_key, item_text)
 
 

@@ -125,13 +125,14 @@ def fit_selector(docs: DataFrame, *, text: str = "text", precision: float = 0.99
 def find_spans(docs: DataFrame, model: boosting.Boosted | None = None, *, text: str = "text") -> DataFrame:
     """docs with base_spans and spans: arrays of (start, rank, end, kind) sorted by start, then rank."""
     model = model or fit_selector(docs, text=text)
+    docs = docs.drop("base_spans", "spans")
     rows = with_spans(docs, text)
     chosen = f"transform(filter(__cand, c -> NOT {_HITS} AND {model.sql('c.f.')} >= {model.threshold!r}D), c -> struct(c.start AS start, {len(KINDS)} AS rank, c.end AS end, c.kind AS kind))"
     return rows.select(*docs.columns, F.col("__base").alias("base_spans"), F.expr(f"array_sort(concat(__base, {chosen}))").alias("spans"))
 
 
 def redact(docs: DataFrame, model: boosting.Boosted | None = None, *, text: str = "text", mask: str = "#") -> DataFrame:
-    """docs with every character of a span masked."""
+    """docs with every character of a span masked; columns named base_spans or spans go."""
     found = find_spans(docs, model, text=text)
     hidden = F.expr(f"aggregate(spans, {text}, (t, s) -> concat(left(t, s.start), repeat('{mask}', s.end - s.start), substr(t, s.end + 1)))")
-    return found.withColumn(text, hidden).select(*docs.columns)
+    return found.withColumn(text, hidden).drop("base_spans", "spans")
