@@ -51,3 +51,17 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id written as text, by which rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+#: Ids that may be sent to all executors: 8 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, column: str, key: str) -> DataFrame:
+    """docs less the rows whose key is in gone; rows with a null key stay.
+
+    The counted ids are broadcast up to BROADCAST_IDS, so that no text is shuffled; beyond, both sides are.
+    """
+    gone = checkpointed(gone)
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[key].cast("long") == side[column].cast("long"), "left_anti")

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import without_ids
+
 #: Up to so many sketch rows (16 bytes each) are sent to all executors: 8 MB.
 BROADCAST_ROWS = 500_000
 
@@ -97,4 +99,4 @@ def _verified(candidates: DataFrame, words: DataFrame, benchmark: DataFrame, siz
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item; rows with a null id stay."""
     gone = find_items(docs, benchmark, size=size, percent=percent, key=key, text=text).select(F.col(key).alias("__leak_doc")).distinct()
-    return docs.join(gone, docs[key] == gone["__leak_doc"], "left_anti")
+    return without_ids(docs, gone, "__leak_doc", key)

@@ -19,8 +19,9 @@ away. Three steps keep it from touching all pairs:
    the last of several hashes are empty ranges tied. No list is capped and
    no link is lost. A passage that many documents share fills a whole range
    only where it makes up most of a document, so common passages tie nothing.
-3. The tied groups are the blocks. A group that is larger than a block is cut
-   into blocks, and each pair of its blocks is one task. Inside a task, columns
+3. The tied groups are the blocks. A group that is larger than a block falls into
+   classes of sizes, each taken with the next, and a class that is still larger is
+   cut into blocks, each pair of which is one task. Inside a task, columns
    with many rows are multiplied as dense tiles and the others by their lists;
    overlap counts are compared exactly with 185 * overlap >= 85 * (x + y) (for
    t = 0.85), and only a spanning forest of the links leaves the task.
@@ -46,14 +47,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import checkpointed, slices
+from voxloom.llm.common import checkpointed, slices, without_ids
 from voxloom.llm.components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Hashes tried before empty ranges are tied.
 TRIES = 5
 #: Rows and n-grams of a block at most (a group of one very long document may exceed the latter).
-BLOCK_ROWS, BLOCK_GRAMS = 2500, 2_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 2500, 4_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -259,22 +260,31 @@ def block_links(docs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
 
 def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """(a, b): spanning links inside the tied groups. groups: (doc, group, n_shingles, s1, s2) of each class that is tied."""
-    sized = groups.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
-    sized = sized.withColumn("parts", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long"))
-    total = sized.where("parts = 1").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
-    bins = max(1, math.ceil(total / (BLOCK_GRAMS // 4)))
-    placed = groups.join(sized.select("group", "parts"), "group").withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
+    def in_parts(rows: DataFrame) -> DataFrame:
+        sized = rows.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
+        return rows.join(sized.select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts")), "group")
+
+    first = in_parts(groups)
+    # Links need sizes of a ratio: a large group falls into classes of sizes, of which only neighbours can link.
+    size_class = F.floor(F.log("n_shingles") / (math.log(100 / percent) * 1.0001))
+    by_class = first.where("parts > 1").select("doc", F.explode(F.array(size_class, size_class - 1)).alias("lower"), "group", "n_shingles", "s1", "s2")
+    by_class = by_class.withColumn("group", F.xxhash64("group", "lower")).drop("lower")
+    placed = checkpointed(first.where("parts = 1").select("doc", "group", "n_shingles", "s1", "s2", "parts").unionByName(in_parts(by_class)))
+    total = placed.where("parts = 1").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    bins = max(1, math.ceil(total / (BLOCK_GRAMS // 8)))
     # A small group goes to a bin with others; a large one to each pair of its parts.
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("other")
-    placed = placed.select("doc", "group", "parts", "part", "s1", "s2", other)
-    placed = placed.select(
-        "doc", "group", "s1", "s2",
-        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other"))).alias("task"),
-        F.when(F.col("part") == F.col("other"), 0).when(F.col("parts") == 1, 0).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
+    part, other = F.pmod(F.xxhash64("doc"), "parts"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    placed = placed.withColumn("part", part).select("*", F.explode(other).alias("other"))
+    small = F.col("parts") == 1
+    task = F.struct(
+        F.when(small, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other"))).alias("task"),
+        F.col("group"),
+        F.when(small | (F.col("part") <= F.col("other")), 0).otherwise(1).alias("side"),
+    )
+    # A document has a few tasks: two classes, and in each the parts of a large group.
+    of_doc = placed.groupBy("doc", "s1", "s2").agg(F.collect_list(task).alias("tasks"))
     whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("words"))
-    # The texts of tied documents, once each, become sets; then a row goes to each of its tasks.
-    tied = whole.join(groups.select("doc", "s1", "s2").hint("shuffle_hash"), "doc")
+    tied = whole.join(of_doc.hint("shuffle_hash"), "doc")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -283,10 +293,13 @@ def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key:
                 sets = gram_sets(part.column("words").to_pylist(), n, words)
                 digests = [np.frombuffer(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), np.int64) if len(g) else (None, None) for g in sets]
                 same = [i for i, (d, a, b) in enumerate(zip(digests, part.column("s1").to_pylist(), part.column("s2").to_pylist(), strict=True)) if len(sets[i]) and d[0] == a and d[1] == b]
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(same, pa.int64())), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["doc", "grams"])
+                docs_of, tasks = part.column("doc").to_pylist(), part.column("tasks").to_pylist()
+                sent = [(t["task"], t["group"], t["side"], docs_of[i], i) for i in same for t in tasks[i]]
+                for at in range(0, len(sent), 64):
+                    rows = sent[at : at + 64]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))), pa.array([sets[r[4]].tobytes() for r in rows], pa.binary())], ["task", "group", "side", "doc", "grams"])
 
-    sets = tied.mapInArrow(to_sets, "doc long, grams binary")
-    rows = placed.select("doc", "group", "task", "side").join(sets, "doc")
+    rows = tied.mapInArrow(to_sets, "task long, group long, side int, doc long, grams binary")
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -320,4 +333,4 @@ def keep_one_of_each(docs: DataFrame, *, n: int = 4, percent: int = 85, key: str
     """docs without the rows whose component has a smaller id; rows with a null id stay."""
     found = jaccard_components(docs, n=n, percent=percent, key=key, text=text)
     gone = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("__join_doc")).distinct()
-    return docs.join(gone, docs[key].cast("long") == gone["__join_doc"], "left_anti")
+    return without_ids(docs, gone, "__join_doc", key)
