@@ -54,7 +54,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Hashes tried before empty ranges are tied.
 TRIES = 5
 #: Rows and n-grams of a block at most (a group of one very long document may exceed the latter).
-BLOCK_ROWS, BLOCK_GRAMS = 2500, 4_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 2500, 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -271,7 +271,7 @@ def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key:
     by_class = by_class.withColumn("group", F.xxhash64("group", "lower")).drop("lower")
     placed = checkpointed(first.where("parts = 1").select("doc", "group", "n_shingles", "s1", "s2", "parts").unionByName(in_parts(by_class)))
     total = placed.where("parts = 1").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bins = max(1, math.ceil(total / (BLOCK_GRAMS // 8)))
+    bins = max(1, math.ceil(total / (BLOCK_GRAMS // 4)))
     # A small group goes to a bin with others; a large one to each pair of its parts.
     part, other = F.pmod(F.xxhash64("doc"), "parts"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     placed = placed.withColumn("part", part).select("*", F.explode(other).alias("other"))

@@ -46,7 +46,7 @@ class PieceCodec:
     """Encoder and decoder for one BPE model with byte fallback and identity normalisation."""
 
     #: Chunks whose ids are kept, and pairs of pieces whose verdict is kept, in one worker.
-    MAX_CHUNKS, MAX_PAIRS = 400_000, 400_000
+    MAX_CHUNKS, MAX_PAIRS = 250_000, 300_000
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -78,7 +78,7 @@ class ToxicModel:
 class _Emissions(dict):
     """Emission of each token seen by a worker, up to a fixed number."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, model: ToxicModel):
         self.model = model
@@ -151,12 +151,21 @@ def summary(p: np.ndarray) -> tuple[float, float, float, float]:
 
 def _telling(docs: list[tuple[list[str], int]], least: float = 30.0, ratio: float = 5.0) -> set[str]:
     """Words and word beginnings that toxic documents hold beyond chance."""
-    seen, total = (Counter(), Counter()), [0, 0]
-    for tokens, toxic in docs:
+    def names(tokens: list[str]) -> set[str]:
         words = {bare_word(t) for t in set(tokens)} - {""}
-        names = {f"w={w}" for w in words} | {f"p={w[:n]}" for w in words for n in PREFIXES if len(w) > n}
-        seen[toxic].update(names)
-        total[toxic] += 1
+        return {f"w={w}" for w in words} | {f"p={w[:n]}" for w in words for n in PREFIXES if len(w) > n}
+
+    # Only what several toxic documents hold is counted among the clean ones, to spare the driver's memory.
+    toxic_counts: Counter = Counter()
+    for tokens, toxic in docs:
+        if toxic:
+            toxic_counts.update(names(tokens))
+    seen = (Counter(), {name: a for name, a in toxic_counts.items() if a >= 5})
+    del toxic_counts
+    for tokens, toxic in docs:
+        if not toxic:
+            seen[0].update(seen[1].keys() & names(tokens))
+    total = [sum(not toxic for _, toxic in docs), sum(bool(toxic) for _, toxic in docs)]
     base, found = total[1] / (total[0] + total[1]), set()
     for name, a in seen[1].items():
         b = seen[0][name]
@@ -267,11 +276,11 @@ def document_score(model: ToxicModel, p: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, max_docs: int = 3000, max_chars: int = 20_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, max_docs: int = 2500, max_chars: int = 12_000) -> ToxicModel:
     """Fit on labelled rows whose crc32(id as text) mod folds is not 0.
 
     The sample is the ``max_docs`` labelled documents of up to ``max_chars``
-    characters with the least hash of their id, so at most 60 million characters
+    characters with the least hash of their id, so at most 30 million characters
     and in practice about 10 MB reach the driver. The share of toxic labels, by
     which the document layer is weighted, is that of all labels of the folds.
     """
