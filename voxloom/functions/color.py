@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: RGB/255 (and 1) to YUV, one row per input, and its inverse.
 TO_YUV = ((0.29899999, -0.1687, 0.5), (0.587, -0.3313, -0.4187), (0.114, 0.5, -0.0813), (0.0, 0.50196078, 0.50196078))
-TO_RGB = ((1.0, 1.0, 1.0), (0.0, -0.34414, 1.772), (1.402, -0.71414, 0.0))
+TO_RGB = ((1.0, 1.0, 1.0), (0.0, -0.34414, 1.772), (1.402, -0.71414, 0.0), (-0.703749019, 0.53121505, -0.88947451))
 
 
 def _clip(c: Column) -> Column:
@@ -22,8 +22,8 @@ def rgb_to_yuv(red: str = "red", green: str = "green", blue: str = "blue") -> di
 
 def yuv_to_rgb(cy: str = "cy", cu: str = "cu", cv: str = "cv") -> dict[str, Column]:
     """red, green, blue as integers of 0..255, rounded half up."""
-    y, u, v = F.col(cy) / 255.0, F.col(cu) / 255.0 - 0.50196078, F.col(cv) / 255.0 - 0.50196078
-    return {n: F.floor(255.0 * _clip(y * TO_RGB[0][i] + u * TO_RGB[1][i] + v * TO_RGB[2][i]) + 0.5).cast("int") for i, n in enumerate(("red", "green", "blue"))}
+    y, u, v = F.col(cy) / 255.0, F.col(cu) / 255.0, F.col(cv) / 255.0
+    return {n: F.floor(255.0 * _clip(y * TO_RGB[0][i] + u * TO_RGB[1][i] + v * TO_RGB[2][i] + TO_RGB[3][i]) + 0.5).cast("int") for i, n in enumerate(("red", "green", "blue"))}
 
 
 def quantise(c: Column, step: float | Column) -> Column:
