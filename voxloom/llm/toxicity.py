@@ -193,7 +193,9 @@ def fit(texts: list[str], labels: list[int], *, prior: float | None = None, roun
     prior = share if prior is None else prior
     if not labels or share in (0.0, 1.0):
         return ToxicModel(prior=prior)
-    docs = [(t.split(), y) for t, y in zip(texts, labels, strict=True)]
+    # One object for each distinct token: the driver holds pointers, not the tokens of every text.
+    shared: dict[str, str] = {}
+    docs = [([shared.setdefault(w, w) for w in t.split()], y) for t, y in zip(texts, labels, strict=True)]
     telling = _telling(docs)
     if not telling:
         return ToxicModel(prior=prior)
@@ -250,6 +252,7 @@ def fit(texts: list[str], labels: list[int], *, prior: float | None = None, roun
         bias += 0.5 * error.sum() / math.sqrt(bias_sq)
         moves += 0.3 * move_gradient / np.sqrt(moves_sq)
     model = ToxicModel({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 0.02}, float(bias), tuple(map(float, moves)), (), prior)
+    del spans, truth, rows, feats, owner, column, word, y, now, nxt
     emit = _Emissions(model)
     p = marginals([np.fromiter(map(emit.__getitem__, tokens), float, len(tokens)) for tokens, _ in docs], model.moves)
     model.layer = _logistic(np.array([summary(x) for x in p]), np.array(labels, dtype=float), prior)
