@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import components, decontam, html, licenses, linededup, ngramjoin, pii, quality, spm, toxicity, urlgraph
 
+WORDS = ("ba", "ke", "lo", "mi", "nu")
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(9000))
 LINE = "a line that is long enough to count, by far and wide"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, doc string, c string, w string, spans string, __t string"
@@ -231,6 +232,31 @@ def test_html_repeated_runs():
     assert all(g == [True, False, True] for g in gone)
 
 
+def test_html_of_large_hosts_does_not_depend_on_chunks(spark, monkeypatch):
+    r = random.Random(3)
+    story = lambda n=9: " ".join(r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(n))
+    notice, five, quote = "Sign in to read more stories like this one", "one two three four five", "a passage that every article of this host holds in full"
+    rows = []
+    for i in range(60):
+        kept = [story(), story(3)] + ([notice] if i % 6 == 0 else []) + ([five] if i % 12 == 1 else [story() + " " + five] if i % 12 == 2 else [])
+        rows.append((i, f"http://large.com/{i}", "".join(f"<p>{k}</p>" for k in kept)))
+        rows.append((100 + i, f"http://main.com/{i}", f"<article><p>{story(20)}</p><p>{quote}</p></article>"))
+    rows += [rows[6], (None, "http://large.com/x", None), (200, None, f"<p>{notice}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda: sorted((x["page_id"] or -1, x["text"]) for x in html.extract(pages).collect())
+    whole = texts()
+    assert sum(notice in t for _, t in whole) == 1 and not any(quote in t for _, t in whole)
+    assert sum(five in t.split("\n\n") for _, t in whole) == 0
+    monkeypatch.setattr(html, "CHUNK_CHARS", 300)  # two or three pages a chunk
+    assert texts() == whole
+
+
+def test_html_asks_for_a_fixed_number_of_pages_on_large_hosts():
+    pages = [[(0, f"story {i} of {i + 5000} and {i * 3 + 10**6} too")] + [(0, "Notice of one section of this very large host")] * (i % 12 == 0) for i in range(2400)]
+    gone = html.repeated_blocks(pages)
+    assert all(g[1:] == [True] * (len(g) - 1) and not g[0] for g in gone)
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,")), (2, "text\nReleased under the MIT LICENCE!\nmore"), (3, None), (4, ""), (5, "mit"), (2, "Licensed under CC BY-NC 4.0.")]

@@ -12,9 +12,17 @@ run counts once MIN_PAGES pages and the share SHARE of the pages hold it; inside
 where quoted passages are legitimate, the larger share MAIN_SHARE is asked for. A
 page most of which is repeated is a copy of another page, and keeps its blocks.
 
+Shares are taken of at most SHARE_PAGES pages, so that what many pages of a large
+host repeat counts, however many others there are.
+
 A host of more than CHUNK_CHARS characters is dealt by the hash of the page over
-as many chunks as that asks for, each with a suffix array of its own: what most
-pages of a host hold, most pages of a chunk hold, and no task gets a whole large host.
+as many chunks as that asks for, each with a suffix array of its own. Pages of a run
+are summed over all chunks of the host, in two steps so that few digests travel: first
+every chunk sends how many pages hold the runs of each slot (a slot takes the runs of
+many digests), those of one page too; a run whose slot does not reach the pages asked
+for does not reach them either. Of the other slots each chunk sends the 64-bit digests
+of the runs with their pages, and gets back the runs that count. Its pages thus lose
+the blocks that they would lose if one task held the whole host, and no task does.
 
 Defined results: null and empty html give an empty text. Pages without a host
 are judged by structure alone. Rows are independent otherwise; repeated ids stay
@@ -27,7 +35,7 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,10 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import slices
+from voxloom.llm.common import checkpointed, slices
 from voxloom.llm.urlgraph import host_of
 
 RUN, MIN_PAGES, SHARE, MAIN_SHARE, MAIN_PAGES = 6, 3, 0.1, 0.5, 10
+#: Pages of a host of which shares are taken; on hosts with more, a fixed number of pages is asked for.
+SHARE_PAGES = 1_000
 CHUNK_CHARS = 4_000_000
 #: Large hosts whose list (about 50 bytes each) may be sent to all executors.
 BROADCAST_HOSTS = 100_000
@@ -139,8 +149,14 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated_blocks(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[list[bool]]:
-    """For each block of each page of one host: whether runs that other pages repeat cover it wholly."""
+def least_pages(pages: int, main: int) -> float:
+    """Pages that must hold a run before it counts, by the pages of the whole host."""
+    shared = min(pages, SHARE_PAGES)
+    return max(MAIN_PAGES, MAIN_SHARE * shared) if main else max(MIN_PAGES, SHARE * shared)
+
+
+def _stream(pages: list[list[tuple[int, str]]], run: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Tokens of the pages in a row, the page of each, and (page, block, first token, tokens) of each block."""
     stream: list[int] = []
     where: list[tuple[int, int, int, int]] = []
     owner: list[int] = []
@@ -154,17 +170,91 @@ def repeated_blocks(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[
             owner += [p] * (len(stream) - len(owner))
         stream.append(-2 - p)
         owner.append(p)
-    if not stream:
-        return [[False] * len(own) for own in pages]
-    rank = suffix_ranks(np.array(stream, np.int64), run)
-    pairs = np.unique(rank * len(pages) + np.array(owner, np.int64))
-    held = np.bincount(pairs // len(pages), minlength=int(rank.max()) + 1)[rank]
+    return np.array(stream, np.int64), np.array(owner, np.int64), where
+
+
+def _ranks_held(stream: np.ndarray, owner: np.ndarray, pages: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each suffix by its first ``run`` tokens, and the number of pages that hold each rank."""
+    rank = suffix_ranks(stream, run)
+    pairs = np.unique(rank * pages + owner)
+    return rank, np.bincount(pairs // pages, minlength=int(rank.max()) + 1)
+
+
+def _digests(stream: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
+    """64-bit digests of the runs that begin at the given tokens; they depend on the tokens alone."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(run):
+        out = (out ^ stream[at + i].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def run_pages(pages: list[list[tuple[int, str]]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, number of pages that hold it) of every run in some pages of a host, those of one page too."""
+    stream, owner, where = _stream(pages, run)
+    if not where:
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    rank, held = _ranks_held(stream, owner, len(pages), run)
+    # A long block's end and the mark after it may equal a block that is one token shorter than a run.
+    starts = np.concatenate([np.arange(start, start + max(1, n - run + 2)) for _, _, start, n in where])
+    ranks, first = np.unique(rank[starts], return_index=True)
+    return _digests(stream, starts[first], run), held[ranks].astype(np.int32)
+
+
+def slots_of(digests: np.ndarray, parts: int, total: int) -> np.ndarray:
+    """Slot of each digest: ``parts`` ranges of digests, each of as many slots as ``range_slots`` tells."""
+    width = range_slots(total)
+    return (digests % np.uint64(parts)).astype(np.int64) * width + (digests // np.uint64(parts) % np.uint64(width)).astype(np.int64)
+
+
+def range_slots(total: int) -> int:
+    """So many that runs of few pages which share a slot seldom reach together what one run must reach."""
+    return max(256, int(CHUNK_CHARS / least_pages(total, 0)))
+
+
+def _pack(slots: np.ndarray, counts: np.ndarray) -> bytes:
+    values = np.concatenate([np.diff(slots, prepend=0), counts]).astype("<i4")
+    return zlib.compress(values.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+    values = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+    half = len(values) // 2
+    return np.cumsum(values[:half]), values[half:]
+
+
+def host_slots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum the chunks' counts of one range of a host's slots; each chunk gets back those of its slots that may count."""
+    total = int(pdf["total"].iloc[0])
+    sums = np.zeros(range_slots(total), np.int64)
+    own = [_unpack(p) for p in pdf["slots"]]
+    for slots, counts in own:
+        sums[slots] += counts
+    kept = sums >= least_pages(total, 0)
+    rows = [(pdf["host"].iloc[0], part, r, _pack(i, sums[i])) for part, r, (slots, _) in zip(pdf["part"], pdf["range"], own, strict=True) if len(i := slots[kept[slots]])]
+    return pd.DataFrame(rows, columns=["host", "part", "range", "slots"])
+
+
+def pages_of_runs_in(pages: list[list[tuple[int, str]]], slots: np.ndarray, parts: int, total: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """As ``run_pages``, of the runs in the given slots."""
+    stream, owner, where = _stream(pages, run)
+    if not where or not len(slots):
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    starts = np.concatenate([np.arange(start, start + max(1, n - run + 2)) for _, _, start, n in where])
+    digests = _digests(stream, starts, run)
+    wanted = np.isin(slots_of(digests, parts, total), slots)
+    known, at = np.unique(digests[wanted], return_inverse=True)
+    pairs = np.unique(at * len(pages) + owner[starts[wanted]])
+    return known, np.bincount(pairs // len(pages), minlength=len(known)).astype(np.int32)
+
+
+def _covered(pages: list[list[tuple[int, str]]], where: list[tuple[int, int, int, int]], held: np.ndarray, total: int, run: int) -> list[list[bool]]:
     out = [[False] * len(own) for own in pages]
     size = np.zeros(len(pages))
     gone = np.zeros(len(pages))
     for p, b, start, n in where:
-        least = max(MAIN_PAGES, MAIN_SHARE * len(pages)) if pages[p][b][0] else max(MIN_PAGES, SHARE * len(pages))
-        starts = np.flatnonzero(held[start : start + max(1, n - run + 1)] >= least)
+        starts = np.flatnonzero(held[start : start + max(1, n - run + 1)] >= least_pages(total, pages[p][b][0]))
         covered = np.zeros(n, bool)
         for s in starts:
             covered[s : s + run] = True
@@ -177,25 +267,104 @@ def repeated_blocks(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[
     return out
 
 
+def repeated_blocks(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[list[bool]]:
+    """For each block of each page of one host: whether runs that other pages repeat cover it wholly."""
+    stream, owner, where = _stream(pages, run)
+    if not where:
+        return [[False] * len(own) for own in pages]
+    rank, held = _ranks_held(stream, owner, len(pages), run)
+    return _covered(pages, where, held[rank], len(pages), run)
+
+
+def repeated_blocks_of_chunk(pages: list[list[tuple[int, str]]], total: int, digests: np.ndarray, counts: np.ndarray, run: int = RUN) -> list[list[bool]]:
+    """As ``repeated_blocks``, for some pages of a host of ``total`` pages, with the runs' pages counted over the host."""
+    stream, _, where = _stream(pages, run)
+    held = np.zeros(len(stream), np.int64)
+    if len(digests) and where:
+        order = np.argsort(digests)
+        known, counts = digests[order], counts[order]
+        starts = np.concatenate([np.arange(start, start + max(1, n - run + 1)) for _, _, start, n in where])
+        own = _digests(stream, starts, run)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        held[starts] = np.where(known[at] == own, counts[at], 0)
+    return _covered(pages, where, held, total, run)
+
+
+def host_totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum the chunks' counts of one range of a host's runs; each chunk gets back those of its runs that count."""
+    digests = [np.frombuffer(d, np.uint64) for d in pdf["digests"]]
+    if not digests:
+        return pdf[["host", "part", "digests", "counts"]]
+    every, at = np.unique(np.concatenate(digests), return_inverse=True)
+    sums = np.bincount(at, np.concatenate([np.frombuffer(c, np.int32) for c in pdf["counts"]])).astype(np.int64)
+    kept = sums >= least_pages(int(pdf["total"].iloc[0]), 0)
+    rows, start = [], 0
+    for part, own in zip(pdf["part"], digests, strict=True):
+        i = at[start : start + len(own)]
+        start += len(own)
+        if len(i := i[kept[i]]):
+            rows.append((pdf["host"].iloc[0], part, every[i].tobytes(), sums[i].tobytes()))
+    return pd.DataFrame(rows, columns=["host", "part", "digests", "counts"])
+
+
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every row."""
     own = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    large = own.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > CHUNK_CHARS).select(F.col("host").alias("large"), F.ceil(F.col("chars") / CHUNK_CHARS).alias("parts"))
+    large = checkpointed(own.groupBy("host").agg(F.sum(F.length("html")).alias("chars"), F.count("*").alias("total")).where(F.col("chars") > CHUNK_CHARS).select(F.col("host").alias("large"), F.ceil(F.col("chars") / CHUNK_CHARS).alias("parts"), "total"))
     bounded = F.broadcast(large) if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else large
     dealt = own.join(bounded, F.col("host") == F.col("large"), "left").withColumn("part", F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("parts", F.lit(1))))
+    id_type = pages.schema[key].dataType
+    carried = ["id", "url", "host", "part", "parts", "total"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
                 packed = [zlib.compress(json.dumps(blocks(t)).encode(), 1) for t in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "url", "host", "part")), pa.array(packed, pa.binary())], ["id", "url", "host", "part", "blocks"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(packed, pa.binary())], [*carried, "blocks"])
 
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [[(k, t) for k, t in json.loads(zlib.decompress(b))] for b in pdf["blocks"]]
-        drop = repeated_blocks(own) if pdf["host"].iloc[0] else [[False] * len(b) for b in own]
+    def unpacked(pdf: pd.DataFrame) -> list[list[tuple[int, str]]]:
+        return [[(k, t) for k, t in json.loads(zlib.decompress(b))] for b in pdf["blocks"]]
+
+    def written(pdf: pd.DataFrame, own: list[list[tuple[int, str]]], drop: list[list[bool]]) -> pd.DataFrame:
         texts = ["\n\n".join(t for (_, t), d in zip(b, gone, strict=True) if not d) for b, gone in zip(own, drop, strict=True)]
         return pd.DataFrame({key: pdf["id"], url: pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    id_type = pages.schema[key].dataType
-    packed = dealt.select("id", "url", "html", "host", "part").mapInArrow(parse, T.StructType([T.StructField("id", id_type), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("part", T.LongType()), T.StructField("blocks", T.BinaryType())]))
-    return packed.groupBy("host", "part").applyInPandas(clean, T.StructType([T.StructField(key, id_type), T.StructField(url, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = unpacked(pdf)
+        return written(pdf, own, repeated_blocks(own) if pdf["host"].iloc[0] else [[False] * len(b) for b in own])
+
+    def by_range(pdf: pd.DataFrame, ranges: np.ndarray, made: dict[str, Callable[[np.ndarray], bytes]]) -> pd.DataFrame:
+        used, starts = np.unique(ranges, return_index=True)
+        rows = [(pdf["host"].iloc[0], pdf["part"].iloc[0], pdf["total"].iloc[0], r, *(f(i) for f in made.values())) for r, i in zip(used, np.split(np.arange(len(ranges)), starts[1:]), strict=True)] if len(used) else []
+        return pd.DataFrame(rows, columns=["host", "part", "total", "range", *made])
+
+    def count_slots(pdf: pd.DataFrame) -> pd.DataFrame:
+        digests, counts = run_pages(unpacked(pdf))
+        width = range_slots(int(pdf["total"].iloc[0]))
+        slots, at = np.unique(slots_of(digests, int(pdf["parts"].iloc[0]), int(pdf["total"].iloc[0])), return_inverse=True)
+        sums = np.bincount(at, counts, minlength=len(slots)).astype(np.int64)
+        return by_range(pdf, slots // width, {"slots": lambda i: _pack(slots[i] % width, sums[i])})
+
+    def count(pdf: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
+        parts, total = int(pdf["parts"].iloc[0]), int(pdf["total"].iloc[0])
+        wanted = np.concatenate([np.empty(0, np.int64), *(r * range_slots(total) + _unpack(s)[0] for r, s in zip(slots["range"], slots["slots"], strict=True))])
+        digests, counts = pages_of_runs_in(unpacked(pdf), wanted, parts, total) if len(wanted) else (np.empty(0, np.uint64), np.empty(0, np.int32))
+        ranges = (digests % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(ranges, kind="stable")
+        return by_range(pdf, ranges[order], {"digests": lambda i: digests[order[i]].tobytes(), "counts": lambda i: counts[order[i]].tobytes()})
+
+    def clean_chunk(pdf: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+        own = unpacked(pdf)
+        digests, counts = (np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in hits[c])]) for c, t in (("digests", np.uint64), ("counts", np.int64)))
+        return written(pdf, own, repeated_blocks_of_chunk(own, int(pdf["total"].iloc[0]), digests, counts))
+
+    made = T.StructType([T.StructField(key, id_type), T.StructField(url, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    parsed = T.StructType([T.StructField("id", id_type), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("part", "parts", "total")], T.StructField("blocks", T.BinaryType())])
+    many = F.coalesce(F.col("parts") > 1, F.lit(False)) & (F.col("host") != "")
+    packed = lambda rows: rows.select(*carried, "html").mapInArrow(parse, parsed)
+    whole, chunks = packed(dealt.where(~many)), packed(dealt.where(many))
+    sketched = chunks.groupBy("host", "part").applyInPandas(count_slots, "host string, part long, total long, range long, slots binary")
+    slots = sketched.groupBy("host", "range").applyInPandas(host_slots, "host string, part long, range long, slots binary")
+    counted = chunks.groupBy("host", "part").cogroup(slots.groupBy("host", "part")).applyInPandas(count, "host string, part long, total long, range long, digests binary, counts binary")
+    hits = counted.groupBy("host", "range").applyInPandas(host_totals, "host string, part long, digests binary, counts binary")
+    return whole.groupBy("host", "part").applyInPandas(clean, made).unionByName(chunks.groupBy("host", "part").cogroup(hits.groupBy("host", "part")).applyInPandas(clean_chunk, made))
