@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -264,6 +265,50 @@ def test_licenses(spark):
     assert (1, "text", "MIT") in got and (2, "line", "MIT") in got and (2, "text", "CC-BY-NC-4.0") in got and not {g for g in got if g[0] > 2}
 
 
+def test_license_texts_whole_and_among_other_text(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    third = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+    texts = {"BSD-2-Clause": bsd % "", "BSD-3-Clause": bsd % third, "MIT": licenses._MIT, "Zlib": licenses._ZLIB, "Unlicense": licenses._UNLICENSE, "Apache-2.0": licenses._APACHE_HEADER, "GPL-3.0-or-later": licenses._GPL_NOTICE}
+    rows = [(i, f"Copyright (c) 2020 Someone\n\n{t}") for i, t in enumerate(texts.values())]
+    rows += [(100 + i, f"A program.\n\nIts terms:\n\n{t}\n\nAnd more text after it.") for i, t in enumerate(texts.values())]
+    rows += [(200, licenses._MIT.rsplit("\n\n", 1)[0] + "\n\nother terms"), (201, licenses._MIT.split("\n\n")[0])]
+    got = {(r["doc_id"], r["unit"], r["position"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(texts):
+        assert (i, "text", 0, name) in got and (100 + i, "section", 2, name) in got
+    assert not {g for g in got if g[0] >= 200}
+    assert all(name == list(texts)[i % 100] for i, _, _, name in got)
+
+
+def test_long_license_texts(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all(os.path.exists(f"{folder}/{n}") for n in names):
+        pytest.skip("no licence texts on this machine")
+    rows = [(i + 100 * k, f"{'Before it.' + chr(10) * 2 if k else ''}{open(f'{folder}/{n}').read()}{chr(10) * 2 + 'After it.' if k else ''}") for k in (0, 1) for i, n in enumerate(names)]
+    got = {(r["doc_id"], r["unit"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(names.values()):
+        assert (i, "text", name) in got and (100 + i, "section", name) in got
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://WWW.Example.com/en/x?q", None), (2, "https://a.example.com/en/", ""), (3, "http://x.net/es/a#b", "<a href='http://bad.org/'>"), (4, None, None), (5, "no url", None), (6, "http://bad.org/", "<a href=//x.net/es/>"), (7, "http://good.org", '<a href="https://x.com/">'), (8, "x://net/fr/", None), (9, "http://y.com", "<a href='http://good.org'>")]
     got = {r["page_id"]: r for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
