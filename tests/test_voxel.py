@@ -117,3 +117,15 @@ def test_queries_match_sql(spark, small, name):
 def test_entry(spark):
     assert entry.entry(spark).limit(5).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bench_depth(spark, small):
+    import bench
+
+    assert bench.BENCH_DEPTH == 8
+    n = queries.points(spark, small).count()
+    with queries.at_depth(bench.BENCH_DEPTH):
+        own = queries.points(spark, small)
+        lines = spark.read.parquet(f"{small}/lineitem.parquet")
+        assert own.count() == lines.selectExpr("l_partkey % 256", "(l_suppkey * 7 + l_linenumber * 3) % 256", "CAST(l_quantity AS LONG) % 256").distinct().count() > n
+    assert queries.points(spark, small).count() == n

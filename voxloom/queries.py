@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,22 @@ def r4(c: Column | str) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), 4) + F.lit(0.0)
 
 
-def points(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
-    return voxel.voxel_view(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), depth)
+@contextmanager
+def at_depth(depth: int) -> Iterator[None]:
+    """Queries made inside work on the view of another depth (the SQL is that of DEPTH)."""
+    global DEPTH
+    own, DEPTH = DEPTH, depth
+    try:
+        yield
+    finally:
+        DEPTH = own
 
 
-def cloud(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFrame:
+    return voxel.voxel_view(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), DEPTH if depth is None else depth)
+
+
+def cloud(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFrame:
     return voxel.with_yuv(points(spark, sf_dir, depth))
 
 
