@@ -2,18 +2,23 @@
 
 Merge-type (BPE) encoding by backtracking. An Aho-Corasick automaton over the
 pieces gives, for each position, the longest piece that starts there. The
-encoder walks left to right with the longest piece, accepts it if it may stand
-next to the piece before it, otherwise tries its next shorter prefix piece, and
-takes the last piece back where none fits. A bitfield marks positions from
+encoder walks left to right with the longest piece (off the automaton's first
+walk, by its trie), accepts it if it may stand next to the piece before it,
+otherwise tries its next shorter prefix piece, and takes the last piece back
+where none fits. A bitfield marks positions from
 which no valid rest was found, so that each is tried once. Two pieces may be
 neighbours exactly if merging their joined text from characters yields the two
 again; a sequence all of whose neighbours may stand together is the one that
 merging the whole text would give, since the first merge across a border would
-also happen in the text of the two pieces alone.
+also happen in the text of the two pieces alone. Up to that first merge the
+joined text merges as the two pieces do, so each piece is merged once, and for a
+pair only the parts that meet at the border are merged anew.
 
 A piece with the space mark has it only at its front, so a text is encoded in
-chunks that start where a run of marks starts. Each worker keeps the ids of
-chunks that it has seen, up to a fixed number.
+chunks that start where a run of marks starts; where no piece of the vocabulary
+has a letter beside another character, chunks end between such two, too. Each worker keeps the ids of
+chunks that it has seen, up to a fixed number; of the older ones those go that
+were not met again.
 
 Defined results: a null text counts as empty; an empty text has only the begin
 and end ids. Rows are independent, so repeated rows, repeated ids and null ids
@@ -23,12 +28,14 @@ give their own rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -39,14 +46,53 @@ from pyspark.sql import types as T
 from voxloom.llm.common import slices
 
 MARK = "▁"
+#: Chunks that begin with a run of marks.
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+def _fine_chunks(pieces: Iterable[str]) -> re.Pattern:
+    """Chunks that also end between letters and other characters; what a piece has beside others counts as one of these."""
+    beside = {pair for p in pieces for pair in itertools.pairwise(p.lstrip(MARK))}
+    letter, others = re.compile(r"[^\W\d_]"), ""
+    while found := {x for a, b in beside for x, y in ((a, b), (b, a)) if letter.match(x) and not letter.match(y)}:
+        others += re.escape("".join(sorted(found)))
+        letter = re.compile(rf"[^\W\d_{others}]")
+    rest = rf"(?:[^\w{MARK}]++|[\d_{others}]++)"
+    return re.compile(rf"{MARK}+(?:{letter.pattern}++|{rest}*+)|{letter.pattern}++|{rest}++")
+
+
+#: Above all ranks.
+_NEVER = 1 << 60
+
+
+class _Sides(NamedTuple):
+    alone: bool  # merging the piece's own characters gives the piece
+    steady: bool  # its merges come in the order of their ranks
+    front: list[tuple[str, int]]  # each first part, and the rank of the merge that takes it up
+    back: list[tuple[str, int]]  # each last part, likewise
+
+
+class _Kept(dict):
+    """What was made for a key, kept up to a number of keys (for good where there is none)."""
+
+    def __init__(self, make: Callable, limit: int = 0, known: dict | None = None):
+        super().__init__(known or {})
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        made = self.make(key)
+        if self.limit:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = made
+        return made
+
+
 class PieceCodec:
     """Encoder and decoder for one BPE model with byte fallback and identity normalisation."""
 
-    #: Chunks whose ids are kept, and pairs of pieces whose verdict is kept, in one worker.
-    MAX_CHUNKS, MAX_PAIRS = 250_000, 300_000
+    #: Chunks whose ids are kept in each of two generations, and verdicts on pairs of pieces, that are kept in one worker.
+    MAX_CHUNKS, MAX_PAIRS = 125_000, 200_000
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,16 +118,22 @@ class PieceCodec:
         self.rank = {p: order[model.get_score(i)] for p, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, (len(piece), piece))
+            self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), "") for p in self.ids}
+        self.most = max(map(len, self.ids), default=1)
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.split = _fine_chunks(self.ids).findall
+        self.fitting = _Kept(self._fitting, self.MAX_PAIRS)
+        self.deepest = _Kept(self._deepest, self.MAX_PAIRS)
+        self.sides: dict[str, _Sides] = {}
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.single: dict[str, bool] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.packed = _Kept(lambda p: b"".join(struct.pack("<I", self.byte_ids[b]) for b in p.encode()), known={p: struct.pack("<I", i) for p, i in self.ids.items()})
+        self.decoded = _Kept(str.encode, known={p: self.bytes_of[i] for p, i in self.ids.items()})
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging a short text from its characters gives."""
+    def merged(self, text: str, steps: list[tuple[int, int, str]] | None = None) -> list[str]:
+        """The pieces that merging a short text from its characters gives; steps: gets (rank, place, piece) of each merge."""
         parts: list[str] = list(text)
         after = [*range(1, len(parts)), -1]
         before = [*range(-1, len(parts) - 1)]
@@ -91,10 +143,12 @@ class PieceCodec:
                 heap.append((r, i, i + 1, parts[i] + parts[i + 1]))
         heapify(heap)
         while heap:
-            _, i, j, piece = heappop(heap)
+            r, i, j, piece = heappop(heap)
             if not parts[i] or not parts[j] or after[i] != j or parts[i] + parts[j] != piece:
                 continue
             parts[i], parts[j] = piece, ""
+            if steps is not None:
+                steps.append((r, i, piece))
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -103,69 +157,117 @@ class PieceCodec:
                     heappush(heap, (r, a, b, parts[a] + parts[b]))
         return [p for p in parts if p]
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay apart when their joined text is merged anew."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= self.MAX_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+    def _sides(self, piece: str) -> _Sides:
+        """How the first and the last part of a piece grow while it is merged from its characters."""
+        if (known := self.sides.get(piece)) is None:
+            steps: list[tuple[int, int, str]] = []
+            alone = self.merged(piece, steps) == [piece]
+            ranks = [r for r, _, _ in steps]
+            front = [(p, r) for r, at, p in steps if at == 0]
+            back = [(p, r) for r, at, p in steps if at + len(p) == len(piece)]
+            known = self.sides[piece] = _Sides(
+                alone,
+                ranks == sorted(ranks),
+                [(p, r) for p, r in zip([piece[0], *[p for p, _ in front]], [*[r for _, r in front], _NEVER], strict=True)],
+                [(p, r) for p, r in zip([piece[-1], *[p for p, _ in back]], [*[r for _, r in back], _NEVER], strict=True)],
+            )
         return known
 
-    def _alone(self, piece: str) -> bool:
-        if (known := self.single.get(piece)) is None:
-            known = self.single[piece] = self.merged(piece) == [piece]
-        return known
+    def fits(self, left: str, right: str) -> bool:
+        """Whether the two pieces stay apart when their joined text is merged anew; a piece at the start must be one."""
+        return self._remerged(left, right) if left else self._sides(right).alone
+
+    def _fitting(self, key: tuple[str, str]) -> str:
+        """The longest of a piece and its shorter prefix pieces that may follow the left one."""
+        left, piece = key
+        while piece and not self.fits(left, piece):
+            piece = self.shorter.get(piece, "")
+        return piece
+
+    def _deepest(self, start: str) -> str:
+        """The longest piece with which the beginning of some piece begins; a character outside the vocabulary itself."""
+        return next((start[:n] for n in range(len(start), 0, -1) if start[:n] in self.ids), start[0])
+
+    def _remerged(self, left: str, right: str) -> bool:
+        """Merge the joined text anew, of which only what happens at the border is not known from the two pieces.
+
+        As long as nothing merges across the border, the merges of the joined text are those of
+        the two pieces, lower ranks first. So it is enough to go through the pairs of parts that meet at the
+        border, and to see whether a pair would merge before one of its two parts goes into a larger one.
+        """
+        a, b = self._sides(left), self._sides(right)
+        if not (a.alone and b.alone):
+            return False
+        if not (a.steady and b.steady):
+            return self.merged(left + right) == [left, right]
+        i = j = 0
+        rank = self.rank.get
+        while True:
+            (x, until), (y, end) = a.back[i], b.front[j]
+            # Of equal ranks the leftmost pair goes first: the left piece's, the border's, the right piece's.
+            if (r := rank(x + y)) is not None and r < until and r <= end:
+                return False
+            if until <= end:
+                if until == _NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of one chunk; characters outside the vocabulary stand alone."""
+        fitting, prefix, deepest, shorter, most = self.fitting, self.automaton.longest_prefix, self.deepest, self.shorter, self.most
         # Mostly the longest matches one after the other may all stand together.
-        ahead = [found[1] for _, found in self.automaton.iter_long(text)]
-        if "".join(ahead) == text and self._alone(ahead[0]) and all(map(self.fits, ahead, ahead[1:])):
+        ahead = [piece for _, piece in self.automaton.iter_long(text)]
+        found = [fitting[x] for x in zip(("", *ahead), ahead, strict=False)]
+        whole = "".join(ahead) == text
+        if whole and found == ahead:
             return ahead
-        n = len(text)
-        longest = [1] * n
-        for last, (length, _) in self.automaton.iter(text):
-            start = last - length + 1
-            if length > longest[start]:
-                longest[start] = length
+        n, out, at = len(text), [], 0
+        if whole:
+            # All before the first two that may not stand together is as the search finds it.
+            good = next(i for i, (x, y) in enumerate(zip(found, ahead, strict=True)) if x != y)
+            out, piece = ahead[:good], found[good]
+            at = sum(map(len, out))
+        else:
+            piece = fitting["", deepest[text[: prefix(text[:most])] or text[0]]]
         failed = bytearray((n >> 3) + 1)
-        out: list[str] = []
-        at, piece = 0, text[: longest[0]] if n else ""
-        while at < n:
-            stop = at + len(piece)
-            if not failed[stop >> 3] & (1 << (stop & 7)) and (self.fits(out[-1], piece) if out else self._alone(piece)):
+        while True:
+            while piece and failed[(stop := at + len(piece)) >> 3] >> (stop & 7) & 1:
+                piece = fitting[out[-1] if out else "", shorter.get(piece, "")]
+            if piece:
                 out.append(piece)
-                at = stop
-                piece = text[at : at + longest[at]] if at < n else ""
-                continue
-            piece = self.shorter.get(piece, "")
-            while not piece:
+                at += len(piece)
+                if at == n:
+                    return out
+                window = text[at : at + most]
+                piece = fitting[piece, deepest[window[: prefix(window)] or window[0]]]
+            else:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("the text cannot be encoded with this vocabulary")
                 last = out.pop()
                 at -= len(last)
-                piece = self.shorter.get(last, "")
-        return out
+                piece = fitting[out[-1] if out else "", shorter.get(last, "")]
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Packed ids of a chunk and the bytes that they decode to."""
-        found: list[int] = []
-        for piece in self.pieces(chunk):
-            i = self.ids.get(piece)
-            found += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
+        kept = self.older.pop(chunk, None)
+        if kept is None:
+            found = self.pieces(chunk)
+            kept = b"".join(map(self.packed.__getitem__, found)), b"".join(map(self.decoded.__getitem__, found))
         if len(self.chunks) >= self.MAX_CHUNKS:
-            self.chunks.clear()
-        kept = self.chunks[chunk] = struct.pack(f"<{len(found)}I", *found), b"".join(map(self.bytes_of.__getitem__, found))
+            # What was not asked for since the last time goes.
+            self.older, self.chunks = self.chunks, {}
+        self.chunks[chunk] = kept
         return kept
 
     def encode_packed(self, text: str | None) -> tuple[bytes, bytes]:
         """(ids with begin and end as little-endian unsigned 32-bit integers, decoded UTF-8)."""
         marked = f"{MARK}{text}".replace(" ", MARK) if text else ""
-        chunks = ([marked] if marked else []) if self.whole else _CHUNK.findall(marked)
-        known, make = self.chunks, self._chunk
-        parts = [known.get(c) or make(c) for c in chunks]
+        chunks = ([marked] if marked else []) if self.whole else self.split(marked)
+        known = self.chunks.get
+        parts = [known(c) or self._chunk(c) for c in chunks]
         ids = b"".join([struct.pack("<I", self.begin), *[p[0] for p in parts], struct.pack("<I", self.end)])
         decoded = b"".join([p[1] for p in parts])
         return ids, decoded[1:] if decoded.startswith(b" ") else decoded
