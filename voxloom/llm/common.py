@@ -65,3 +65,10 @@ def without_ids(docs: DataFrame, gone: DataFrame, column: str, key: str) -> Data
     gone = checkpointed(gone)
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(side, docs[key].cast("long") == side[column].cast("long"), "left_anti")
+
+
+def with_ids(docs: DataFrame, wanted: DataFrame, column: str, key: str) -> DataFrame:
+    """docs of the rows whose key is in wanted; the counted ids are broadcast up to BROADCAST_IDS."""
+    wanted = checkpointed(wanted)
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.join(side, docs[key].cast("long") == side[column].cast("long"), "left_semi")

@@ -1,14 +1,15 @@
 """Benchmark items inside documents, by size-partitioned MinHash containment search.
 
-All in DataFrame expressions. Items are partitioned by the size of their set of
-word shingles. For a set of q shingles of which a share t must lie in a
-document, the q - ceil(t*q) + 1 shingles of least hash (the bottom of the set's
-MinHash order) cannot all be absent, so a sketch of that size, set per size
-partition, misses no document. Document shingles are probed against the
-sketches by an equi-join on the hash; a hit gives a candidate pair, and pairs
-whose document has fewer than ceil(t*q) shingles are dropped by size. For the candidates
-alone the shingles are made again as text and the containment is counted
-exactly.
+All in DataFrame expressions. Items are partitioned by the size q of their set of
+word shingles, each size a partition of its own with the MinHash sketch that its size
+asks for: of q shingles of which a share t must lie in a document, the
+q - ceil(t*q) + 1 of least hash (the bottom of the set's MinHash order) cannot
+all be absent. So, other than with signatures of one length for all sizes, no document
+is missed. Document shingles, made in one scan, are probed against the sketches
+by an equi-join on the hash; a hit gives a candidate pair, and a partition whose
+items ask for more shingles than the document has is passed over. For the
+candidates alone the shingles are made again as text, and the containment is
+counted exactly.
 
 Words are maximal runs of letters and digits in lower case. Defined results: an
 item with fewer words than a shingle is one shingle of all its words, looked
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import without_ids
+from voxloom.llm.common import checkpointed, with_ids, without_ids
 
 #: Up to so many sketch rows (16 bytes each) are sent to all executors: 8 MB.
 BROADCAST_ROWS = 500_000
@@ -59,39 +60,32 @@ def item_sketches(benchmark: DataFrame, *, size: int = 5, percent: int = 80, key
     return need.withColumn("sketch", F.expr("slice(array_sort(transform(hashes, h -> struct(xxhash64(h, 7) AS o, h AS h))).h, 1, q - need + 1)")).drop("hashes")
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast where its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def find_items(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_key, n_shingles, n_shared): documents that hold percent of an item's distinct shingles, or more."""
     items = item_sketches(benchmark, size=size, percent=percent, key=item_key, text=item_text)
-    widths = sorted((r[0], r[1]) for r in items.groupBy("width").agg(F.sum(F.size("sketch"))).collect())  # at most ``size`` rows
+    sketches = checkpointed(items.select(F.explode("sketch").alias("h"), "item", "width", "need"))
+    counted = {r[0]: r[1] for r in sketches.groupBy("width").count().collect()}  # at most ``size`` rows
+    # One scan makes the shingles of all widths that items have.
+    each = [f"IF(size(w) < {n}, CAST(array() AS array<bigint>), {_sql_hashes('w', n)})" for n in sorted(counted)]
     words = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), words_of(F.col(text)).alias("w"))
-    candidates = None
-    for width, rows in widths:
-        sketch = items.where(F.col("width") == width).select(F.explode("sketch").alias("h"), "item", "need")
-        probes = words.where(F.size("w") >= width).select("doc", F.size("w").alias("n"), F.explode(F.expr(_sql_hashes("w", width))).alias("h"))
-        hits = probes.join(_bounded(sketch, rows), "h").where(F.col("n") - (width - 1) >= F.col("need")).select("doc", "item")
-        candidates = hits if candidates is None else candidates.union(hits)
-    if candidates is None:
-        kind = benchmark.schema[item_key].dataType
-        return docs.select(F.col(key), F.lit(None).cast(kind).alias(item_key), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared")).where(F.lit(False))
-    return _verified(candidates.distinct(), words, benchmark, size, percent, key, item_key, item_text)
-
-
-def _verified(candidates: DataFrame, words: DataFrame, benchmark: DataFrame, size: int, percent: int, key: str, item_key: str, item_text: str) -> DataFrame:
+    probes = words.select("doc", F.size("w").alias("n"), F.explode(F.expr(f"concat({', '.join(each or ['CAST(array() AS array<bigint>)'])})")).alias("h"))
+    side = F.broadcast(sketches) if sum(counted.values()) <= BROADCAST_ROWS else sketches
+    hits = probes.join(side, "h").where(F.col("n") - (F.col("width") - 1) >= F.col("need")).select("doc", "item")
+    return _verified(checkpointed(hits.distinct()), docs, benchmark, size, percent, key, text, item_key, item_text)
+
+
+def _verified(candidates: DataFrame, docs: DataFrame, benchmark: DataFrame, size: int, percent: int, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
     item_words = benchmark.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), words_of(F.col(item_text)).alias("v")).where("size(v) > 0")
     item_words = item_words.withColumn("width", F.least(F.lit(size), F.size("v")))
-    item_sets = item_words.select("item", "width", F.array_distinct(_by_width(size, lambda n: _sql_texts("v", n))).alias("wanted"))
-    of_doc = candidates.groupBy("doc").agg(F.collect_set("item").alias("items"))  # as many as the benchmark has
-    held = words.join(of_doc.hint("shuffle_hash"), "doc")
-    # The usual width's shingles are made once a document, before the document meets its items.
-    made = held.select("items", "doc", "w", F.expr(_sql_texts("w", size)).alias("full"))
-    pairs = made.select("doc", F.explode("items").alias("item"), "w", "full").join(item_sets, "item")
-    own = F.when(F.col("width") == size, F.col("full")).otherwise(_by_width(size, lambda n: _sql_texts("w", n)))
-    counted = pairs.select("doc", "item", F.size("wanted").alias("n_shingles"), F.size(F.array_intersect(own, "wanted")).alias("n_shared"))
+    item_sets = item_words.select("item", F.struct("item", "width", F.array_distinct(_by_width(size, lambda n: _sql_texts("v", n))).alias("wanted")).alias("one"))
+    # Only the candidates' texts are shuffled and cut into words again; each meets its items in one row.
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"), F.xxhash64(key).alias("of"))
+    held = with_ids(rows, candidates.select(F.xxhash64("doc").alias("wanted")).distinct(), "wanted", "of").select("doc", words_of(F.col("t")).alias("w"))
+    of_doc = candidates.join(item_sets, "item").groupBy("doc").agg(F.collect_list("one").alias("items"))  # as many as the benchmark has
+    made = held.join(of_doc.hint("shuffle_hash"), "doc").select("doc", "items", "w", F.expr(_sql_texts("w", size)).alias("full"))
+    own = " ".join(f"WHEN {n} THEN {'full' if n == size else _sql_texts('w', n)}" for n in range(1, size + 1))
+    counts = F.expr(f"transform(items, x -> struct(x.item AS item, size(x.wanted) AS n_shingles, size(array_intersect(CASE x.width {own} END, x.wanted)) AS n_shared))")
+    counted = made.select("doc", F.explode(counts).alias("x")).select("doc", "x.*")
     good = counted.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     return good.groupBy("doc", "item").agg(F.max(F.struct("n_shared", "n_shingles")).alias("best")).select(F.col("doc").alias(key), F.col("item").alias(item_key), "best.n_shingles", "best.n_shared")
 

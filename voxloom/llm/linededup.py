@@ -26,6 +26,10 @@ from pyspark.sql import types as T
 from voxloom.llm.common import ASCII_SPACE, checkpointed, slices
 
 
+#: Common lines that may be sent to all executors: 12 MB.
+BROADCAST_LINES = 500_000
+
+
 def line_key(line: str) -> bytes:
     """The key: ASCII white space stripped at both ends, A-Z in lower case."""
     return line.strip(ASCII_SPACE).encode().lower()
@@ -60,7 +64,10 @@ def lines_to_drop(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, ke
     """(doc, gone): the hashes of the lines that each document loses, for those that lose any."""
     pairs = checkpointed(line_hashes(docs, min_chars, key=key, text=text))
     common = pairs.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    lost = pairs.join(common.drop("n_docs"), ["h1", "h2"]).where("doc <> keeper")
+    common = checkpointed(common.drop("n_docs"))
+    # The counted hashes go to all executors, so that the pairs of a very common line stay where they are; beyond, AQE splits its side.
+    side = F.broadcast(common) if common.count() <= BROADCAST_LINES else common
+    lost = pairs.join(side, ["h1", "h2"]).where("doc <> keeper")
     return lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 

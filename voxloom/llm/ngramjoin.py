@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import checkpointed, slices, without_ids
+from voxloom.llm.common import checkpointed, slices, with_ids, without_ids
 from voxloom.llm.components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -262,7 +262,7 @@ def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key:
     """(a, b): spanning links inside the tied groups. groups: (doc, group, n_shingles, s1, s2) of each class that is tied."""
     def in_parts(rows: DataFrame) -> DataFrame:
         sized = rows.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
-        return rows.join(sized.select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts")), "group")
+        return rows.join(sized.where("rows > 1").select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts")), "group")
 
     first = in_parts(groups)
     # Links need sizes of a ratio: a large group falls into classes of sizes, of which only neighbours can link.
@@ -283,7 +283,8 @@ def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key:
     )
     # A document has a few tasks: two classes, and in each the parts of a large group.
     of_doc = placed.groupBy("doc", "s1", "s2").agg(F.collect_list(task).alias("tasks"))
-    whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("words"))
+    # Only the tied documents' texts are shuffled.
+    whole = with_ids(docs, placed.select(F.col("doc").alias("__tied")).distinct(), "__tied", key).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("words"))
     tied = whole.join(of_doc.hint("shuffle_hash"), "doc")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,14 +318,12 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, key: s
     own = checkpointed(set_digests(docs, n, key=key, text=text))
     classes = own.where("n_shingles > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("head"), F.max("n_shingles").alias("n_shingles"))
     heads = own.where("doc is not null and n_shingles > 0").select("doc", "s1", "s2").distinct().join(classes, ["s1", "s2"])
-    ties = _ties(docs, n, percent, key, text).distinct()
     to_head = checkpointed(heads.select("doc", "head"))
-    tied = ties.join(to_head.withColumnsRenamed({"doc": "a", "head": "x"}), "a").join(to_head.withColumnsRenamed({"doc": "b", "head": "y"}), "b").where("x <> y").select("x", "y")
-    groups = connected_components(tied, "x", "y").withColumnsRenamed({"node": "head", "component": "group"})
+    # Rows with equal sets, and rows of one id with several sets, tie each other.
+    same = to_head.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
+    groups = connected_components(_ties(docs, n, percent, key, text).union(same)).withColumnsRenamed({"node": "head", "component": "group"})
     grouped = checkpointed(classes.join(groups, "head").select(F.col("head").alias("doc"), "group", "n_shingles", "s1", "s2"))
     links = _group_links(grouped, docs, n, percent, key, text)
-    # Rows with one id and several sets tie those sets, too.
-    same = to_head.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
     found = connected_components(links.union(same)).withColumnsRenamed({"node": "doc", "component": "least"})
     return own.join(found, "doc", "left").select(F.col("doc").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"))
 

@@ -10,19 +10,26 @@ document labels, turns their sum, their maximum and the number of likely tokens
 into a score, and runs of likely tokens into offsets.
 
 Fitting reads a bounded sample of labelled documents, chosen by a hash of the
-id: at most ``max_docs`` with at most ``max_chars`` characters each. Scoring
-reads every text whole. Only the text is an input of a score.
+id: at most ``max_docs``, of any length. Spark counts the words in which toxic
+and clean documents differ, cuts windows of tokens from anywhere in the texts (around
+marked tokens in toxic documents) and makes the inputs of the document layer; the
+chain is fitted by one task that reads at most ``max_windows`` windows of either
+kind. Only words, weights and a few numbers for each sampled document reach the
+driver. Scoring reads every text whole. Only the text is an input of a score.
 
 Defined results: null and empty texts get the score of a document without
 tokens. Without labels of both kinds, every score is the share of toxic labels
 (0 where there are none), and no span is found. Null labels and labels of
-missing documents are passed over. Rows are independent otherwise.
+missing documents or null texts are passed over; of several labels of an id the
+largest counts, of several texts of an id the last in order of text. Rows are
+independent otherwise, so repeated rows have equal scores.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import crc32_of_id, slices
+from voxloom.llm.common import checkpointed, crc32_of_id, slices
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
 _TOKEN = re.compile(r"\S+")
@@ -149,73 +156,67 @@ def summary(p: np.ndarray) -> tuple[float, float, float, float]:
     return 1.0, math.log1p(float(p.sum())), float(p.max()), math.log1p(float((p > 0.5).sum()))
 
 
-def _telling(docs: list[tuple[list[str], int]], least: float = 30.0, ratio: float = 5.0) -> set[str]:
-    """Words and word beginnings that toxic documents hold beyond chance."""
-    def names(tokens: list[str]) -> set[str]:
-        words = {bare_word(t) for t in set(tokens)} - {""}
-        return {f"w={w}" for w in words} | {f"p={w[:n]}" for w in words for n in PREFIXES if len(w) > n}
-
-    # Only what several toxic documents hold is counted among the clean ones, to spare the driver's memory.
-    toxic_counts: Counter = Counter()
-    for tokens, toxic in docs:
-        if toxic:
-            toxic_counts.update(names(tokens))
-    seen = (Counter(), {name: a for name, a in toxic_counts.items() if a >= 5})
-    del toxic_counts
-    for tokens, toxic in docs:
-        if not toxic:
-            seen[0].update(seen[1].keys() & names(tokens))
-    total = [sum(not toxic for _, toxic in docs), sum(bool(toxic) for _, toxic in docs)]
-    base, found = total[1] / (total[0] + total[1]), set()
-    for name, a in seen[1].items():
-        b = seen[0][name]
-        share = a / (a + b)
-        if a < 5 or share <= base:
-            continue
-        g = 2 * (a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0.0))
-        if g > least and (a + 0.5) * (total[0] + 1) > ratio * (b + 0.5) * (total[1] + 1) and share > 0.8:
-            found.add(name)
-    return found
-
-
-def _marked(token: str, telling: set[str]) -> bool:
+def _names(text: str) -> set[str]:
+    """Words and word beginnings of a text, by which telling ones are counted."""
+    words = {bare_word(t) for t in set(text.split())} - {""}
+    return {f"w={w}" for w in words} | {f"p={w[:n]}" for w in words for n in PREFIXES if len(w) > n}
+
+
+def telling_words(sample: DataFrame, clean: int, toxic: int, *, least: float = 30.0, ratio: float = 5.0) -> list[str]:
+    """Words and word beginnings that toxic documents of sample (y, t) hold beyond chance; a few hundred."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                seen: tuple[Counter, Counter] = (Counter(), Counter())
+                for t, y in zip(part.column("t").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    seen[y].update(_names(t))
+                names = list(seen[0].keys() | seen[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][n] for n in names], pa.int64()) for y in (1, 0))], ["name", "a", "b"])
+
+    sums = sample.select("y", "t").mapInArrow(count, "name string, a long, b long").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a, b, share, base = F.col("a"), F.col("b"), F.col("a") / (F.col("a") + F.col("b")), toxic / (clean + toxic)
+    g = 2 * (a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    beyond = (a >= 5) & (share > max(base, 0.8)) & (g > least) & ((a + 0.5) * (clean + 1) > ratio * (b + 0.5) * (toxic + 1))
+    return [r["name"] for r in sums.where(beyond).select("name").collect()]
+
+
+def _marked(token: str, telling: frozenset[str]) -> bool:
     word = bare_word(token)
     return bool(word) and (f"w={word}" in telling or any(f"p={word[:n]}" in telling for n in PREFIXES if len(word) > n))
 
 
-def fit(texts: list[str], labels: list[int], *, prior: float | None = None, rounds: int = 60, context: int = 40, decay: float = 1e-3) -> ToxicModel:
-    """Fit the chain to derived token labels, then the document layer to the document labels.
+def cut_windows(sample: DataFrame, telling: list[str], *, context: int = 40) -> DataFrame:
+    """(y, h, tokens, marks): every marked token of toxic documents with its surroundings, and all of the clean ones in pieces as long.
 
-    Every marked token of the sample is used with ``context`` tokens around it, and
-    as much of each clean document.
+    h is a hash by which windows are drawn, whatever their place in the text.
     """
-    share = sum(labels) / len(labels) if labels else 0.0
-    prior = share if prior is None else prior
-    if not labels or share in (0.0, 1.0):
-        return ToxicModel(prior=prior)
-    # One object for each distinct token: the driver holds pointers, not the tokens of every text.
-    shared: dict[str, str] = {}
-    docs = [([shared.setdefault(w, w) for w in t.split()], y) for t, y in zip(texts, labels, strict=True)]
-    telling = _telling(docs)
-    if not telling:
-        return ToxicModel(prior=prior)
-    known: dict[str, bool] = {}
-    spans, truth = [], []
-    for tokens, toxic in docs:
-        marks = [known[t] if t in known else known.setdefault(t, _marked(t, telling)) for t in tokens]
-        hits = [i for i, m in enumerate(marks) if m] if toxic else []
-        if not toxic:
-            spans.append(tokens[: 4 * context])
-            truth.append(np.zeros(len(spans[-1])))
-            hits = []
-        until = 0
-        for i in hits:
-            if i < until:
-                continue
-            a, b = max(until, i - context), min(len(tokens), i + context)
-            spans.append(tokens[a:b])
-            truth.append(np.array(marks[a:b], dtype=float))
-            until = b
+    known_names = frozenset(telling)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            for part in slices(batch, "t"):
+                out: list[tuple[int, int, str, bytes]] = []
+                for k, t, y in zip(*(part.column(c).to_pylist() for c in ("k", "t", "y")), strict=True):
+                    tokens = t.split()
+                    if len(known) > 200_000:
+                        known.clear()
+                    marks = bytes([known[w] if w in known else known.setdefault(w, _marked(w, known_names)) for w in tokens]) if y else bytes(len(tokens))
+                    until = 0
+                    for i in [i for i, m in enumerate(marks) if m] if y else range(context, len(tokens) + context, 2 * context):
+                        if i < until:
+                            continue
+                        a, b = max(until, i - context), min(len(tokens), i + context)
+                        out.append((y, zlib.crc32(f"{k} {a}".encode()), " ".join(tokens[a:b]), marks[a:b]))
+                        until = b
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.string(), pa.binary()))], ["y", "h", "tokens", "marks"])
+
+    return sample.select("k", "t", "y").mapInArrow(cut, "y int, h long, tokens string, marks binary")
+
+
+def fit_chain(spans: list[list[str]], truth: list[np.ndarray], *, rounds: int = 60, decay: float = 1e-3) -> tuple[dict[str, float], float, tuple[float, ...]]:
+    """Weights, bias and moves of the chain for token sequences and their token labels."""
     vocabulary: dict[str, int] = {}
     rows = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in s], dtype=np.int64) for s in spans]
     feats = [form_features(t) for t in vocabulary]
@@ -251,12 +252,37 @@ def fit(texts: list[str], labels: list[int], *, prior: float | None = None, roun
         w += 0.5 * gradient / np.sqrt(squares)
         bias += 0.5 * error.sum() / math.sqrt(bias_sq)
         moves += 0.3 * move_gradient / np.sqrt(moves_sq)
-    model = ToxicModel({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 0.02}, float(bias), tuple(map(float, moves)), (), prior)
-    del spans, truth, rows, feats, owner, column, word, y, now, nxt
-    emit = _Emissions(model)
-    p = marginals([np.fromiter(map(emit.__getitem__, tokens), float, len(tokens)) for tokens, _ in docs], model.moves)
-    model.layer = _logistic(np.array([summary(x) for x in p]), np.array(labels, dtype=float), prior)
-    return model
+    return {f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 0.02}, float(bias), tuple(map(float, moves))
+
+
+def _fit_in_one_task(windows: DataFrame, max_windows: int) -> ToxicModel:
+    """The chain of at most max_windows windows of either kind, fitted by one executor task; its weights come back as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((h, tokens, marks) for b in batches for h, tokens, marks in zip(*(b.column(c).to_pylist() for c in ("h", "tokens", "marks")), strict=True))
+        if rows:
+            shared: dict[str, str] = {}
+            weights, bias, moves = fit_chain([[shared.setdefault(w, w) for w in tokens.split()] for _, tokens, _ in rows], [np.frombuffer(m, np.uint8).astype(float) for _, _, m in rows])
+            named = {**weights, " bias": bias, **{f" move{i}": m for i, m in enumerate(moves)}}
+            yield pa.RecordBatch.from_arrays([pa.array(named.keys(), pa.string()), pa.array(named.values(), pa.float64())], ["name", "weight"])
+
+    drawn = [windows.where(F.col("y") == y).orderBy("h", "tokens").limit(max_windows) for y in (0, 1)]
+    found = {r["name"]: r["weight"] for r in drawn[0].unionByName(drawn[1]).select("h", "tokens", "marks").coalesce(1).mapInArrow(run, "name string, weight double").collect()}
+    return ToxicModel({k: v for k, v in found.items() if k[0] != " "}, found.get(" bias", 0.0), tuple(found.get(f" move{i}", 0.0) for i in range(4)))
+
+
+def _summaries(sample: DataFrame, model: ToxicModel) -> DataFrame:
+    """(k, y, and what the document layer sees) of each sampled document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit = _Emissions(model)
+        for batch in batches:
+            for part in slices(batch, "t"):
+                tokens = [t.split() for t in part.column("t").to_pylist()]
+                seen = np.array([summary(p) for p in marginals([np.fromiter(map(emit.__getitem__, x), float, len(x)) for x in tokens], model.moves)]).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), *(pa.array(np.ascontiguousarray(c)) for c in seen.T)], ["k", "y", "s0", "s1", "s2", "s3"])
+
+    return sample.select("k", "y", "t").mapInArrow(run, "k long, y int, s0 double, s1 double, s2 double, s3 double")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 50) -> tuple[float, ...]:
@@ -279,23 +305,32 @@ def document_score(model: ToxicModel, p: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, max_docs: int = 2500, max_chars: int = 12_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, max_docs: int = 2500, max_windows: int = 6000, context: int = 40) -> ToxicModel:
     """Fit on labelled rows whose crc32(id as text) mod folds is not 0.
 
-    The sample is the ``max_docs`` labelled documents of up to ``max_chars``
-    characters with the least hash of their id, so at most 30 million characters
-    and in practice about 10 MB reach the driver. The share of toxic labels, by
-    which the document layer is weighted, is that of all labels of the folds.
+    The sample is the ``max_docs`` labelled documents with the least hash of their id.
+    Of their windows of up to 2 * ``context`` tokens, ``max_windows`` of either kind
+    go into the fit. The share of toxic labels, by which the document layer is
+    weighted, is that of all labels of the folds.
     """
     open_labels = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).where(crc32_of_id("k") % folds != 0)
     n, toxic = open_labels.agg(F.count("*"), F.sum("y")).first()
     if not n:
         return ToxicModel()
-    chosen = open_labels.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(2 * max_docs)
-    short = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.length("t") <= max_chars)
-    # At most 2 * max_docs rows of two numbers: 100 KB.
-    rows = short.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "k").limit(max_docs).collect()
-    return fit([r["t"] for r in rows], [r["y"] for r in rows], prior=toxic / n)
+    # max_docs rows of two numbers: 50 KB.
+    chosen = open_labels.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_docs)
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    sample = checkpointed(texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.max("t").alias("t")))
+    size, bad = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    prior = toxic / n
+    telling = telling_words(sample, size - bad, bad) if 0 < bad < size else []
+    if not telling:
+        return ToxicModel(prior=prior)
+    model = _fit_in_one_task(cut_windows(sample, telling, context=context), max_windows)
+    model.prior = prior
+    rows = _summaries(sample, model).orderBy("k").collect()
+    model.layer = _logistic(np.array([tuple(r)[2:] for r in rows]), np.array([r["y"] for r in rows], dtype=float), prior)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicModel, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
