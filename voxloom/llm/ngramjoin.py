@@ -11,17 +11,16 @@ away. Three steps keep it from touching all pairs:
    to reach the threshold t, at most H = (1 - t)(x + y)/(1 + t) n-grams may lie
    in one of them only. With the hash space cut into more than H ranges, at
    least one range holds the same n-grams in both. Each document therefore sends
-   one digest per range (for its class of sizes and for the class below), and
-   documents that share a digest are tied by edges to the first document of its
+   one digest per range (for its class of sizes and for the class below, as two
+   nodes), and nodes that share a digest are tied by edges to the first node of its
    list, as the sorted digests stream by. Ranges in which a document has nothing
    do not tie; where they are so many that the bound could hold for empty ranges
    alone, the document also sends digests under another hash, and only after
    the last of several hashes are empty ranges tied. No list is capped and
    no link is lost. A passage that many documents share fills a whole range
    only where it makes up most of a document, so common passages tie nothing.
-3. The tied groups are the blocks. A group that is larger than a block falls into
-   classes of sizes, each taken with the next, and a class that is still larger is
-   cut into blocks, each pair of which is one task. Inside a task, columns
+3. The tied groups, each of one class of sizes and the next, are the blocks. A
+   group that is larger than a block is cut into blocks, each pair of which is one task. Inside a task, columns
    with many rows are multiplied as dense tiles and the others by their lists;
    overlap counts are compared exactly with 185 * overlap >= 85 * (x + y) (for
    t = 0.85), and only a spanning forest of the links leaves the task.
@@ -44,7 +43,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import checkpointed, slices, with_ids, without_ids
@@ -116,21 +115,19 @@ def _ranges(lower_class: int, percent: int) -> tuple[int, int]:
     return (odd + 1 + spare, spare) if odd else (0, 0)
 
 
-def range_digests(grams: np.ndarray, percent: int) -> np.ndarray:
-    """The digests by which a set is tied to any other with which it may link."""
+def range_digests(grams: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The digests by which a set is tied to any other with which it may link: of its class of sizes, and of the class below."""
+    none = np.empty(0, np.uint64)
     if not len(grams):
-        return np.empty(0, np.uint64)
+        return [none, none]
     starts = _classes(percent)
     own = int(np.searchsorted(starts, len(grams), side="right")) - 1
-    found = []
+    out = []
     for lower in (own, own - 1):
-        if lower < 0:
-            continue
-        k, spare = _ranges(lower, percent)
-        if not k:
-            continue
-        for attempt in range(TRIES):
-            g = grams if not attempt else np.sort(_mix(grams + np.uint64(attempt) * _M1))
+        k, spare = _ranges(lower, percent) if lower >= 0 else (0, 0)
+        found = [none]
+        for attempt in range(TRIES if k else 0):
+            g = grams if not attempt else np.sort(_mix(grams + np.array([attempt], np.uint64) * _M1))
             part = ((g >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             salt = _mix(np.array([lower * 8 + attempt], np.uint64))
@@ -140,7 +137,8 @@ def range_digests(grams: np.ndarray, percent: int) -> np.ndarray:
             if attempt == TRIES - 1:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), part[first])
                 found.append(_mix(_mix((empty + np.uint64(1)) * _M1 ^ salt) + _M2))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+        out.append(np.concatenate(found))
+    return out
 
 
 def set_digests(docs: DataFrame, n: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,15 +156,22 @@ def set_digests(docs: DataFrame, n: int, *, key: str = "doc_id", text: str = "te
 
 
 def _ties(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b): documents that share a range digest, each with the first of the digest's list."""
+    """(a, b): nodes whose documents share a range digest, each with the first of the digest's list.
+
+    A document has two nodes, 2 * id for its class of sizes and 2 * id + 1 for the class below
+    (wrapped beyond 64 bits, where two ids may come to share a node), so that ties of one class of sizes
+    do not go on in the next.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             for part in slices(batch, text):
-                digests = [range_digests(g, percent) for g in gram_sets(part.column(text).to_pylist(), n, words)]
+                digests = [d for g in gram_sets(part.column(text).to_pylist(), n, words) for d in range_digests(g, percent)]
                 flat = np.concatenate(digests) if digests else np.empty(0, np.uint64)
-                owner = np.repeat(part.column(key).to_numpy(zero_copy_only=False), [len(d) for d in digests])
+                nodes = np.repeat(part.column(key).to_numpy(zero_copy_only=False).astype(np.int64) * 2, 2)
+                nodes[1::2] += 1
+                owner = np.repeat(nodes, [len(d) for d in digests])
                 for at in range(0, len(flat), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 17)].view(np.int64)), pa.array(owner[at : at + (1 << 17)].astype(np.int64))], ["digest", "doc"])
 
@@ -185,7 +190,9 @@ def _ties(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(heads[tied].astype(np.int64)), pa.array(doc[tied])], ["a", "b"])
 
     sent = docs.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull()).mapInArrow(send, "digest long, doc long")
-    return sent.repartition("digest").sortWithinPartitions("digest", "doc").mapInArrow(tie, "a long, b long")
+    ties = sent.repartition("digest").sortWithinPartitions("digest", "doc").mapInArrow(tie, "a long, b long")
+    # All ties of a node come together, so that contraction leaves about one row a node however many partitions there are.
+    return ties.repartition("b")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -264,12 +271,7 @@ def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key:
         sized = rows.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
         return rows.join(sized.where("rows > 1").select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts")), "group")
 
-    first = in_parts(groups)
-    # Links need sizes of a ratio: a large group falls into classes of sizes, of which only neighbours can link.
-    size_class = F.floor(F.log("n_shingles") / (math.log(100 / percent) * 1.0001))
-    by_class = first.where("parts > 1").select("doc", F.explode(F.array(size_class, size_class - 1)).alias("lower"), "group", "n_shingles", "s1", "s2")
-    by_class = by_class.withColumn("group", F.xxhash64("group", "lower")).drop("lower")
-    placed = checkpointed(first.where("parts = 1").select("doc", "group", "n_shingles", "s1", "s2", "parts").unionByName(in_parts(by_class)))
+    placed = checkpointed(in_parts(groups))
     total = placed.where("parts = 1").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bins = max(1, math.ceil(total / (BLOCK_GRAMS // 4)))
     # A small group goes to a bin with others; a large one to each pair of its parts.
@@ -313,6 +315,11 @@ def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key:
     return rows.groupBy("task").applyInPandas(multiply, "a long, b long")
 
 
+def _node(column: str) -> Column:
+    """The node of an id and a bit; the shift wraps as doubling does in the tasks, whatever the session's ANSI mode."""
+    return F.call_function("shiftleft", F.col(column), F.lit(1)).bitwiseOR(F.col("bit"))
+
+
 def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; documents link when 100 * overlap >= percent * union."""
     own = checkpointed(set_digests(docs, n, key=key, text=text))
@@ -321,8 +328,11 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, key: s
     to_head = checkpointed(heads.select("doc", "head"))
     # Rows with equal sets, and rows of one id with several sets, tie each other.
     same = to_head.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
-    groups = connected_components(_ties(docs, n, percent, key, text).union(same)).withColumnsRenamed({"node": "head", "component": "group"})
-    grouped = checkpointed(classes.join(groups, "head").select(F.col("head").alias("doc"), "group", "n_shingles", "s1", "s2"))
+    both = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("bit")
+    nodes = same.select("a", "b", both).select(_node("b").alias("a"), _node("a").alias("b"))
+    groups = connected_components(_ties(docs, n, percent, key, text).union(nodes)).withColumnsRenamed({"component": "group"})
+    of_class = classes.select("head", "n_shingles", "s1", "s2", both).withColumn("node", _node("head"))
+    grouped = checkpointed(of_class.join(groups, "node").select(F.col("head").alias("doc"), "group", "n_shingles", "s1", "s2"))
     links = _group_links(grouped, docs, n, percent, key, text)
     found = connected_components(links.union(same)).withColumnsRenamed({"node": "doc", "component": "least"})
     return own.join(found, "doc", "left").select(F.col("doc").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"))
