@@ -173,11 +173,64 @@ def test_pii_spans(spark, messy):
     assert pii.find_spans(messy).count() == messy.count()
 
 
-def test_quality_counts(messy):
-    for r in quality.judge(messy).collect():
-        assert r["kept"] in (True, False) and not (r["base_failed"] and r["kept"])
-    long = quality.judge(messy).where(F.col("n_words") == 9000).first()
-    assert long["n_repeat_words"] == 0 and not long["base_failed"]
+def plain_counts(t):
+    """The six counts of the contract, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    held = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)} if len(words) < 2000 else set()
+    lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    failed = len(words) < 50 or 100 * len(held) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(held), failed
+
+
+def bin_of(v):
+    return v if v < 128 else v >> (v.bit_length() - 7) << (v.bit_length() - 7)
+
+
+def test_quality_matches_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}") for i, t in enumerate(texts())]
+    for i in range(400):
+        words = [r.choice(WORDS) + r.choice(WORDS) + str(r.randrange(90)) * (r.random() < 0.1) for _ in range(r.randint(20, 120))]
+        if i % 20 == 7:
+            words = [w + "#$%" for w in words]
+        if i % 20 == 11:
+            words = [w.upper() * 3 for w in words]
+        if i % 25 == 3:
+            words += words[:30]
+        rows.append((1000 + i, ("\n" if i % 2 else " ").join(words) + " a & b", ("en", "de", None)[i % 3], ("a", "b", "rare")[(i % 7 == 0) + (i % 97 == 0)]))
+    rows += [rows[-1], (None, rows[-2][1], "en", "a"), (5000, None, "en", None)]
+    got = sorted(map(tuple, quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()), key=str)
+    counts = [plain_counts(t or "") for _, t, _, _ in rows]
+    groups: dict = {}
+    values = []
+    for (_, t, lang, source), c in zip(rows, counts, strict=True):
+        t = t or ""
+        upper, marks, lines = len(re.findall("[A-Z]", t)), t.count("!"), len([x for x in t.split("\n") if x.strip()])
+        own = {"symbols": c[2] * 10000 // c[1], "upper": upper * 10000 // c[1], "marks": marks * 10000 // c[1], "repeats": c[4] * 10000 // c[0], "dup_lines": c[3] * 10000 // lines, "word_length": c[1] * 100 // c[0], "word_chars": c[1], "n_words": c[0], "n_lines": lines} if c[0] else {}
+        values.append(own)
+        if not c[5]:
+            for group in ((lang, source), (lang,), ()):
+                for name, v in own.items():
+                    groups.setdefault((group, name), []).append(bin_of(v))
+    def q(group, name, percent):
+        found = sorted(groups[group, name])
+        exact = found[-(-len(found) * percent // 100) - 1]
+        return (len(found) * exact + 100 * q(group[:-1], name, percent)) / (len(found) + 100) if group else exact
+    want, fences = [], {}
+    for (i, _, lang, source), c, own in zip(rows, counts, values, strict=True):
+        good = not c[5]
+        for name, (_, size, below) in quality.RATIOS.items() if good else ():
+            key = (lang, source), name
+            if key not in fences:
+                unit = (100 if name == "word_length" else 10000) / q((lang, source), size, 50)
+                q10, q50, q90 = (q((lang, source), name, x) for x in (10, 50, 90))
+                fences[key] = q90 + 6 * max(q90 - q50, unit), q10 - 6 * max(q50 - q10, unit) if below else -1
+            good &= fences[key][1] <= own[name] <= fences[key][0]
+        want.append((i, *c, good))
+    assert got == sorted(want, key=str)
+    assert {w[-2:] for w in want} == {(True, False), (False, False), (False, True)}
+    assert all(len({f[0] for (g, n), f in fences.items() if n == name}) > 1 for name in quality.RATIOS)
 
 
 def test_sketch_bins(spark):

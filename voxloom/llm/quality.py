@@ -1,18 +1,21 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Counts are taken from every whole text in one Arrow pass. Six ratios a
-document, as integers, go into a mergeable quantile sketch per language and
-source: a histogram whose bins are exact below 128 and 1/64 wide above, so that
+document, as integers, and three sizes go into a mergeable quantile sketch per language
+and source: a histogram whose bins are exact below 128 and 1/64 wide above, so that
 sketches merge by adding counts, in any order, and give the same quantiles
-whatever the partitioning. The sketches of small groups are merged upwards (to
-the language, then to all). Fences around the median, as wide as the undisturbed
-half of the distribution suggests, replace fixed cutoffs and are joined back to
-the documents.
+whatever the partitioning. Documents that fail the base rule stay out. The quantiles of a
+group are blended with those of its language, and these with those of all, by
+rows: as if PRIOR_ROWS rows of the wider group stood beside the group's own, so nothing
+switches at some size. The upper fence is q90 + SPREADS * max(q90 - q50, unit),
+where the unit is what a single occurrence adds to a document of the group's median
+size; the lower fence of the word length mirrors it (q10, q50). No cutoff is fixed.
+The fences are joined back to the documents.
 
 Defined results: a null text has no words. Null languages and sources are groups
-of their own. Ratios of texts without words do not enter the sketches; such
-texts fail the base rule. Rows are independent, so repeated rows and ids count
-as often as they occur.
+of their own. Texts without words fail the base rule. Rows are independent, so
+repeated rows and ids count as often as they occur. Equal documents of a group have
+equal verdicts, and a value on the fence is kept.
 """
 
 from __future__ import annotations
@@ -31,17 +34,20 @@ _SPACE = ASCII_SPACE.encode()
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
-#: Ratio: (its SQL, slack added to the upper fence, and to the lower one where there is one).
+#: Ratio: (its SQL, the size of which it is a share (in 10,000; word_length: in 100), whether there is a lower fence).
 RATIOS = {
-    "symbols": ("n_symbols * 10000 div word_chars", 100, None),
-    "upper": ("n_upper * 10000 div word_chars", 1000, None),
-    "marks": ("n_marks * 10000 div word_chars", 150, None),
-    "repeats": ("n_repeat_words * 10000 div n_words", 3500, None),
-    "dup_lines": ("n_dup_lines * 10000 div n_lines", 5000, None),
-    "word_length": ("word_chars * 100 div n_words", 150, 150),
+    "symbols": ("n_symbols * 10000 div word_chars", "word_chars", False),
+    "upper": ("n_upper * 10000 div word_chars", "word_chars", False),
+    "marks": ("n_marks * 10000 div word_chars", "word_chars", False),
+    "repeats": ("n_repeat_words * 10000 div n_words", "n_words", False),
+    "dup_lines": ("n_dup_lines * 10000 div n_lines", "n_lines", False),
+    "word_length": ("word_chars * 100 div n_words", "n_words", True),
 }
-#: Widths of the fences in spreads, and rows from which a group stands for itself.
-SPREADS, MIN_ROWS = 6, 200
+SIZES = ("word_chars", "n_words", "n_lines")
+QUANTILES = (10, 50, 90)
+#: Widths of the fences in spreads, and rows of the wider group that are blended into a group's.
+SPREADS, PRIOR_ROWS = 6, 100
+BASE_FAILED = "(n_words < 50 OR n_repeat_words * 100 > n_words * 50)"
 
 
 def base_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -91,9 +97,10 @@ def sketch_bin(value: Column) -> Column:
 
 
 def group_sketches(counts: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(groups, ratio, bin, n): the sketch of each group and ratio. Merge by summing n."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("ratio"), F.expr(sql).alias("value")) for name, (sql, _, _) in RATIOS.items()])).alias("r")
-    return counts.where("n_words > 0").select(*groups, pairs).groupBy(*groups, F.col("r.ratio").alias("ratio"), sketch_bin(F.col("r.value")).alias("bin")).agg(F.count("*").alias("n"))
+    """(groups, ratio, bin, n): the sketch of each group and ratio (or size). Merge by summing n."""
+    values = [(name, sql) for name, (sql, _, _) in RATIOS.items()] + [(size, size) for size in SIZES]
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("ratio"), F.expr(sql).alias("value")) for name, sql in values])).alias("r")
+    return counts.where(f"NOT {BASE_FAILED}").select(*groups, pairs).groupBy(*groups, F.col("r.ratio").alias("ratio"), sketch_bin(F.col("r.value")).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
@@ -101,35 +108,36 @@ def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
     merged = sketches.groupBy(*groups, "ratio", "bin").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*groups, "ratio")
     ranked = merged.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "rows": F.sum("n").over(own)})
-    at = {q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * q, F.col("bin"))).alias(f"q{q}") for q in (10, 50, 90)}
+    at = {q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * q, F.col("bin"))).alias(f"q{q}") for q in QUANTILES}
     return ranked.groupBy(*groups, "ratio").agg(F.max("rows").alias("rows"), *at.values())
 
 
-def thresholds(sketches: DataFrame, groups: tuple[str, str] = ("lang", "source"), *, spreads: int = SPREADS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(groups, one column ``<ratio>_high`` or ``<ratio>_low`` per fence): of the group, or of what it is merged into."""
+def thresholds(sketches: DataFrame, groups: tuple[str, str] = ("lang", "source"), *, spreads: int = SPREADS, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(groups, one column ``<ratio>_high`` or ``<ratio>_low`` per fence) of every group."""
     sketches = checkpointed(sketches)
     lang, _ = groups
     own, of_lang, of_all = quantiles(sketches, list(groups)), quantiles(sketches, [lang]), quantiles(sketches, [])
-    names = ("rows", "q10", "q50", "q90")
+    names = ("rows", *(f"q{q}" for q in QUANTILES))
     of_lang = of_lang.select(F.col(lang).alias("__lang"), F.col("ratio").alias("__r1"), *[F.col(c).alias(f"l_{c}") for c in names])
     of_all = of_all.select(F.col("ratio").alias("__r2"), *[F.col(c).alias(f"a_{c}") for c in names])
     both = own.join(of_lang, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("ratio") == F.col("__r1"))).join(of_all, F.col("ratio") == F.col("__r2"))
-    pick = lambda c: F.when(F.col("rows") >= min_rows, F.col(c)).when(F.col("l_rows") >= min_rows, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    q10, q50, q90 = pick("q10"), pick("q50"), pick("q90")
+    blend = lambda q, rows, wider: (F.col(rows) * F.col(q) + prior_rows * wider) / (F.col(rows) + prior_rows)
+    blended = {q: blend(q, "rows", blend(f"l_{q}", "l_rows", F.col(f"a_{q}"))) for q in names[1:]}
+    wide = both.withColumns({f"b_{q}": c for q, c in blended.items()}).groupBy(*groups).agg(*[F.max(F.when(F.col("ratio") == r, F.col(f"b_{q}"))).alias(f"{r}_{q}") for r in (*RATIOS, *SIZES) for q in names[1:]])
     fences = []
-    for name, (_, above, below) in RATIOS.items():
-        of = F.col("ratio") == name
-        fences.append(F.max(F.when(of, q50 + spreads * (q50 - q10) + above)).alias(f"{name}_high"))
-        if below is not None:
-            # Long words are rare in clean text, so the upper half tells the spread below.
-            fences.append(F.max(F.when(of, q50 - spreads * F.least(q90 - q50, q50 - q10) - below)).alias(f"{name}_low"))
-    return both.groupBy(*groups).agg(*fences)
+    for name, (_, size, below) in RATIOS.items():
+        unit = (100 if name == "word_length" else 10_000) / F.col(f"{size}_q50")
+        q10, q50, q90 = (F.col(f"{name}_{q}") for q in names[1:])
+        fences.append((q90 + spreads * F.greatest(q90 - q50, unit)).alias(f"{name}_high"))
+        if below:
+            fences.append((q10 - spreads * F.greatest(q50 - q10, unit)).alias(f"{name}_low"))
+    return wide.select(*groups, *fences)
 
 
-def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
+def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), spreads: int = SPREADS, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """(key, COUNTS, base_failed, kept) of every row."""
     counts = checkpointed(base_counts(docs, key=key, text=text, groups=groups))
-    limits = thresholds(group_sketches(counts, groups), groups)
+    limits = thresholds(group_sketches(counts, groups), groups, spreads=spreads, prior_rows=prior_rows)
     limits = limits.select(*[F.col(g).alias(f"__{g}") for g in groups], *[c for c in limits.columns if c not in groups])
     on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
     joined = counts.join(limits, on[0] & on[1], "left")
@@ -137,9 +145,9 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: t
     for name, (sql, _, below) in RATIOS.items():
         value = F.expr(f"CASE WHEN n_words > 0 THEN {sql} END")
         good &= value <= F.col(f"{name}_high")
-        if below is not None:
+        if below:
             good &= value >= F.col(f"{name}_low")
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    failed = F.expr(BASE_FAILED)
     return joined.select(key, *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(good, F.lit(False))).alias("kept"))
 
 
