@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words in the contracts: \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Texts that a Python worker holds as objects at a time; Arrow batches are cut to it.
-SLICE_ROWS, SLICE_CHARS = 512, 8_000_000
+SLICE_ROWS, SLICE_CHARS = 512, 3_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

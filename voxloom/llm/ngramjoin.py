@@ -53,7 +53,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Hashes tried before empty ranges are tied.
 TRIES = 5
 #: Rows and n-grams of a block at most (a group of one very long document may exceed the latter).
-BLOCK_ROWS, BLOCK_GRAMS = 2500, 2_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 2000, 1_500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -251,10 +251,12 @@ def block_links(docs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
     sizes = np.array([len(s) for s in sets], np.int64)
     i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     two = len(j) > 0
-    shared = overlaps([sets[x] for x in i], [sets[x] for x in j] if two else None).astype(np.int64)
-    total = sizes[i][:, None] + sizes[j if two else i][None, :]
-    good = (100 + percent) * shared >= percent * total
-    good &= shared > 0
+    shared = overlaps([sets[x] for x in i], [sets[x] for x in j] if two else None)
+    good = np.empty(shared.shape, bool)
+    for at in range(0, len(i), 256):
+        strip, total = shared[at : at + 256].astype(np.int64), sizes[i][at : at + 256, None] + sizes[j if two else i][None, :]
+        good[at : at + 256] = ((100 + percent) * strip >= percent * total) & (strip > 0)
+    del shared
     if two:
         full = np.zeros((len(docs), len(docs)), bool)
         full[np.ix_(i, j)] = good

@@ -92,7 +92,7 @@ class PieceCodec:
     """Encoder and decoder for one BPE model with byte fallback and identity normalisation."""
 
     #: Chunks whose ids are kept in each of two generations, and verdicts on pairs of pieces, that are kept in one worker.
-    MAX_CHUNKS, MAX_PAIRS = 125_000, 200_000
+    MAX_CHUNKS, MAX_PAIRS = 80_000, 200_000
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -272,6 +272,10 @@ class PieceCodec:
         decoded = b"".join([p[1] for p in parts])
         return ids, decoded[1:] if decoded.startswith(b" ") else decoded
 
+    def forget(self) -> None:
+        """Give up the chunks seen, at the end of a task: the worker goes on to other work."""
+        self.older, self.chunks = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         packed = self.encode_packed(text)[0]
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
@@ -311,6 +315,7 @@ def encode(docs: DataFrame, model: str | None = None, *, text: str = "text", ids
                     offsets.append(offsets[-1] + len(p) // 4)
                 values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [*kept, ids])
+        made.forget()
 
     return docs.select(*kept).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -345,6 +350,7 @@ def digests(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", t
                     ],
                     [key, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        made.forget()
 
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return docs.select(key, text).mapInArrow(run, schema)

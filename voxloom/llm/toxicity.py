@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -218,15 +219,21 @@ def cut_windows(sample: DataFrame, telling: list[str], *, context: int = 40) ->
 def fit_chain(spans: list[list[str]], truth: list[np.ndarray], *, rounds: int = 60, decay: float = 1e-3) -> tuple[dict[str, float], float, tuple[float, ...]]:
     """Weights, bias and moves of the chain for token sequences and their token labels."""
     vocabulary: dict[str, int] = {}
-    rows = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in s], dtype=np.int64) for s in spans]
-    feats = [form_features(t) for t in vocabulary]
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    rows = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in s], dtype=np.int32) for s in spans]
     ids: dict[str, int] = {}
-    column = np.array([ids.setdefault(f, len(ids)) for own in feats for f in own], dtype=np.int64)
+    columns, sizes = array("q"), array("q")
+    for token in vocabulary:
+        own = form_features(token)
+        sizes.append(len(own))
+        columns.extend(ids.setdefault(f, len(ids)) for f in own)
+    tokens = len(vocabulary)
+    del vocabulary
+    column, owner = np.frombuffer(columns, np.int64), np.repeat(np.arange(tokens, dtype=np.int32), np.frombuffer(sizes, np.int64))
     lanes = Lanes(np.array([len(r) for r in rows], dtype=np.int64))
-    word, y = np.empty(int(lanes.starts[-1]), dtype=np.int64), np.empty(int(lanes.starts[-1]))
+    word, y = np.empty(int(lanes.starts[-1]), dtype=np.int32), np.empty(int(lanes.starts[-1]))
     for rank, i in enumerate(lanes.order):
         word[lanes.place(rank)], y[lanes.place(rank)] = rows[i], truth[i]
+    del rows
     # Pairs of neighbours: a token and the next of its sequence, as positions in the flat arrays.
     s = lanes.starts
     now = np.concatenate([np.arange(s[t], s[t] + s[t + 2] - s[t + 1]) for t in range(lanes.steps - 1)] or [np.empty(0, np.int64)])
@@ -235,12 +242,12 @@ def fit_chain(spans: list[list[str]], truth: list[np.ndarray], *, rounds: int =
     squares, bias_sq, moves_sq, n = np.full(len(ids), 1e-6), 1e-6, np.full(4, 1e-6), len(y)
     want = np.array([((y[now] == i) & (y[nxt] == j)).sum() for i in (0, 1) for j in (0, 1)], dtype=float)
     for _ in range(rounds):
-        of_word = bias + np.bincount(owner, w[column], len(feats))
+        of_word = bias + np.bincount(owner, w[column], tokens)
         e = of_word[word]
         left, right = odds_forward_backward(e, tuple(moves), lanes)
         odds = left * right
         error = y - odds / (1 + odds)
-        by_word = np.bincount(word, error, len(feats))
+        by_word = np.bincount(word, error, tokens)
         gradient = np.bincount(column, by_word[owner], len(ids)) - decay * n * 1e-3 * w
         t = np.exp(moves)
         q = np.exp(np.clip(e[nxt], -30, 30)) * right[nxt]
@@ -305,7 +312,7 @@ def document_score(model: ToxicModel, p: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, max_docs: int = 2500, max_windows: int = 6000, context: int = 40) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, max_docs: int = 2500, max_windows: int = 5000, context: int = 40) -> ToxicModel:
     """Fit on labelled rows whose crc32(id as text) mod folds is not 0.
 
     The sample is the ``max_docs`` labelled documents with the least hash of their id.
