@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words in the contracts: \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Texts that a Python worker holds as objects at a time; Arrow batches are cut to it.
+ARROW_ROWS = 2_000
 SLICE_ROWS, SLICE_CHARS = 512, 3_000_000
 
 
@@ -35,6 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after asking its session for Arrow batches of at most ARROW_ROWS rows: whole texts are long, and a batch is held on both sides."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a worker holds a bounded number of texts as Python objects."""
     lengths = batch.column(text).to_pandas().str.len().fillna(0).tolist() if batch.num_rows > 1 else [0] * batch.num_rows

@@ -12,6 +12,7 @@ hub. Nothing but two scalars of the edge table
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from voxloom.llm.common import checkpointed
 
 #: Rows of a contracted edge table that one task settles: 16 MB.
 ONE_TASK = 1_000_000
+#: Edges that a task gathers before it contracts them: 4 MB.
+MERGED = 250_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +49,15 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b = np.empty(0, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                a, b = forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                more.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                rows += batch.num_rows
+            if rows and (batch is None or rows >= max(len(a), MERGED)):
+                a, b = forest(np.concatenate([a, *(x for x, _ in more)]), np.concatenate([b, *(y for _, y in more)]))
+                more, rows = [], 0
         for at in range(0, len(a), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import ASCII_SPACE, checkpointed, slices
+from voxloom.llm.common import ASCII_SPACE, checkpointed, slices, small_batches
 
 
 #: Common lines that may be sent to all executors: 12 MB.
@@ -57,7 +57,7 @@ def line_hashes(docs: DataFrame, min_chars: int, *, key: str = "doc_id", text: s
                         owner.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(owner, pa.int64())], ["h1", "h2", "doc"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "h1 long, h2 long, doc long")
+    return small_batches(docs.select(F.col(key).cast("long").alias(key), text)).mapInArrow(run, "h1 long, h2 long, doc long")
 
 
 def lines_to_drop(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import checkpointed, slices, with_ids, without_ids
+from voxloom.llm.common import checkpointed, slices, small_batches, with_ids, without_ids
 from voxloom.llm.components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -152,7 +152,7 @@ def set_digests(docs: DataFrame, n: int, *, key: str = "doc_id", text: str = "te
                 digests = [np.frombuffer(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), np.int64) if len(g) else (None, None) for g in sets]
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(g) for g in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())], ["doc", "n_shingles", "s1", "s2"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "doc long, n_shingles long, s1 long, s2 long")
+    return small_batches(docs.select(F.col(key).cast("long").alias(key), text)).mapInArrow(run, "doc long, n_shingles long, s1 long, s2 long")
 
 
 def _ties(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import ASCII_SPACE, checkpointed, slices
+from voxloom.llm.common import ASCII_SPACE, checkpointed, slices, small_batches
 from voxloom.llm.ngramjoin import _M1, _mix, _Words
 
 _SPACE = ASCII_SPACE.encode()
@@ -70,7 +70,7 @@ def base_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gro
                 counts = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
                 yield pa.RecordBatch.from_arrays([part.column(key), *(part.column(g) for g in groups), *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], [key, *groups, *COUNTS])
 
-    return docs.select(key, *groups, text).mapInArrow(run, docs.select(key, *groups, *(F.lit(0).cast("long").alias(c) for c in COUNTS)).schema)
+    return small_batches(docs.select(key, *groups, text)).mapInArrow(run, docs.select(key, *groups, *(F.lit(0).cast("long").alias(c) for c in COUNTS)).schema)
 
 
 def _repeated(words: list[bytes], known: _Words) -> int:

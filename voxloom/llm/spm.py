@@ -43,7 +43,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from voxloom.llm.common import slices
+from voxloom.llm.common import slices, small_batches
 
 MARK = "▁"
 #: Chunks that begin with a run of marks.
@@ -317,7 +317,7 @@ def encode(docs: DataFrame, model: str | None = None, *, text: str = "text", ids
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [*kept, ids])
         made.forget()
 
-    return docs.select(*kept).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return small_batches(docs.select(*kept)).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, model: str | None = None, *, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -353,4 +353,4 @@ def digests(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", t
         made.forget()
 
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return small_batches(docs.select(key, text)).mapInArrow(run, schema)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import checkpointed, crc32_of_id, slices
+from voxloom.llm.common import checkpointed, crc32_of_id, slices, small_batches
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
 _TOKEN = re.compile(r"\S+")
@@ -175,7 +175,7 @@ def telling_words(sample: DataFrame, clean: int, toxic: int, *, least: float = 3
                 names = list(seen[0].keys() | seen[1].keys())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][n] for n in names], pa.int64()) for y in (1, 0))], ["name", "a", "b"])
 
-    sums = sample.select("y", "t").mapInArrow(count, "name string, a long, b long").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = small_batches(sample.select("y", "t")).mapInArrow(count, "name string, a long, b long").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b, share, base = F.col("a"), F.col("b"), F.col("a") / (F.col("a") + F.col("b")), toxic / (clean + toxic)
     g = 2 * (a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0.0))
     beyond = (a >= 5) & (share > max(base, 0.8)) & (g > least) & ((a + 0.5) * (clean + 1) > ratio * (b + 0.5) * (toxic + 1))
@@ -356,7 +356,7 @@ def score(docs: DataFrame, model: ToxicModel, *, text: str = "text", threshold:
                 arrays = [pa.array([document_score(model, x) for x in p], pa.float64()), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*kept, "toxic_score", "toxic_spans"])
 
-    return docs.select(*kept).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(span))]))
+    return small_batches(docs.select(*kept)).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(span))]))
 
 
 def _spans(text: str, p: np.ndarray, threshold: float) -> list[dict]:
