@@ -173,6 +173,17 @@ def test_pii_spans(spark, messy):
     assert pii.find_spans(messy).count() == messy.count()
 
 
+def test_pii_long_texts_and_clashing_names(spark):
+    text = "1" * 1_000_000 + " x@y.zz " + "4111 1111 1111 1111, " * 2000
+    df = spark.createDataFrame([(1, text, "a", "b", "c", "d")], "doc_id long, text string, __t string, __base string, __cand string, __row string")
+    got = pii.find_spans(df).first()
+    assert (got["__t"], got["__base"], got["__cand"], got["__row"]) == ("a", "b", "c", "d")
+    places = [(m.start(), 2, m.end(), "card") for m in re.finditer("4111 1111 1111 1111", text)]
+    assert [tuple(x) for x in got["base_spans"]] == [(1_000_001, 0, 1_000_007, "email"), *places][: len(got["base_spans"])] and len(got["base_spans"]) == 2001
+    spans = got["spans"]
+    assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]))
+
+
 def plain_counts(t):
     """The six counts of the contract, word by word."""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)

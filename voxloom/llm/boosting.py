@@ -39,6 +39,8 @@ class Boosted:
     base: float
     trees: list[Tree] = field(default_factory=list)
     threshold: float = 1.0
+    #: Of parts of the rows, where they were calibrated apart.
+    thresholds: dict[int, float] = field(default_factory=dict)
 
     def sql(self, prefix: str = "") -> str:
         """The probability as SQL over columns prefix + feature."""
@@ -64,14 +66,21 @@ def fit(x: dict[str, np.ndarray], positive: np.ndarray, negative: np.ndarray, *,
         tree = _grow(x, p * (1 - q) - n * q, (p + n) * q * (1 - q), np.ones(len(p), bool), depth, rate, ridge)
         model.trees.append(tree)
         margin = margin + tree.predict(x)
-    score = 1 / (1 + np.exp(-margin))
+    model.threshold = calibrated(model, x, p, n, precision=precision)
+    return model
+
+
+def calibrated(model: Boosted, x: dict[str, np.ndarray], positive: np.ndarray, negative: np.ndarray, *, precision: float) -> float:
+    """The least threshold with that precision over the counted rows; above all scores if there is none, or nothing is counted."""
+    if not len(positive) or not model.trees:
+        return 1.0
+    score = model.predict(x)
     order = np.argsort(-score, kind="stable")
-    upto = np.cumsum(p[order]) / np.cumsum(p[order] + n[order])
+    upto = np.cumsum(positive[order]) / np.cumsum(positive[order] + negative[order])
     # Equal scores stand or fall together.
     last = np.append(score[order][1:] != score[order][:-1], True)
     good = np.flatnonzero(last & (upto >= precision))
-    model.threshold = float(score[order][good[-1]]) - 1e-9 if len(good) else 1.0
-    return model
+    return float(score[order][good[-1]]) - 1e-9 if len(good) else 1.0
 
 
 def _grow(x: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, here: np.ndarray, depth: int, rate: float, ridge: float) -> Tree:

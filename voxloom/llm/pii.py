@@ -9,12 +9,13 @@ do not tell a plus sign or a literal at sign, so that what the rules know of one
 writing carries over to others. Over all candidates of all documents, Spark
 counts the combinations of bins, with and without overlap of a rule's span; the
 number of combinations is at most the product of the bins (``MAX_COMBINATIONS``).
-Trees boosted on these counts give a probability, and the least threshold with
-the asked precision over the counts selects the candidates that are added where
-no rule's span is.
+Trees boosted on these counts give a probability; for each generator the least
+threshold with the asked precision over candidates of held-out texts selects
+those that are added where no rule's span is.
 
 Defined results: null and empty texts have no spans. Offsets are code points,
-end exclusive. Rows are independent; ids may be null or repeated.
+end exclusive. Rows are independent; ids may be null or repeated. Columns of docs
+may have any name; base_spans and spans are replaced.
 """
 
 from __future__ import annotations
@@ -41,15 +42,17 @@ GENERATORS = (
 #: Kind that a selected candidate gets.
 ADDED = {"mail": "contact", "number": "number"}
 CONTEXT = 24
+#: Matches whose places are summed up together.
+STEP = 256
 FEATURES = ("gen", "digits", "shape", "seps", "luhn", "words", "dots", "before", "after")
 #: 2 generators x 9 digit bins x 6 shapes x 5 x 2 x 3 x 4 x 4 x 4.
 MAX_COMBINATIONS = 2 * 9 * 6 * 5 * 2 * 3 * 4 * 4 * 4
 
 _VALID = {
     "email": "true",
-    "ip": "forall(split({s}, '[.]'), p -> length(ltrim('0', p)) < 3 OR (length(ltrim('0', p)) = 3 AND ltrim('0', p) <= '255'))",
-    "card": "length({d}) BETWEEN 12 AND 19 AND {luhn}",
-    "phone": "length({d}) BETWEEN 9 AND 15",
+    "ip": "forall(split(c.span, '[.]'), p -> length(ltrim('0', p)) < 3 OR (length(ltrim('0', p)) = 3 AND ltrim('0', p) <= '255'))",
+    "card": "length(c.d) BETWEEN 12 AND 19 AND {luhn}",
+    "phone": "length(c.d) BETWEEN 9 AND 15",
 }
 
 
@@ -74,13 +77,15 @@ def _found(kind: str, needs: str, pattern: str) -> dict[str, Column]:
 def _placed(kind: str) -> Column:
     """array<struct<start, end, span, tail, head>> of the matches of a kind."""
     m, g = f"__m_{kind}", f"__g_{kind}"
-    starts = f"aggregate(sequence(0, size({m}) - 1), struct(0 AS at, CAST(array() AS array<int>) AS out), (a, i) -> struct(a.at + {g}[i].n + length({m}[i]) AS at, concat(a.out, array(a.at + {g}[i].n)) AS out), a -> a.out)"
-    return F.expr(f"CASE WHEN size({m}) > 0 THEN transform({starts}, (p, i) -> struct(p AS start, p + length({m}[i]) AS end, {m}[i] AS span, {g}[i].tail AS tail, {g}[i + 1].head AS head)) ELSE CAST(array() AS array<struct<start:int,end:int,span:string,tail:string,head:string>>) END")
+    # Prefix sums over blocks of STEP matches, so that no long array is copied once a match.
+    block = f"aggregate(sequence(b, least(b + {STEP - 1}, size({m}) - 1)), struct(a.at AS at, CAST(array() AS array<int>) AS out), (s, i) -> struct(s.at + {g}[i].n + length({m}[i]) AS at, concat(s.out, array(s.at + {g}[i].n)) AS out))"
+    starts = f"flatten(aggregate(sequence(0, size({m}) - 1, {STEP}), struct(0 AS at, CAST(array() AS array<array<int>>) AS out), (a, b) -> transform(array({block}), r -> struct(r.at AS at, concat(a.out, array(r.out)) AS out))[0], a -> a.out))"
+    return F.expr(f"CASE WHEN size({m}) > 0 THEN transform({starts}, (p, i) -> struct(p AS start, p + length({m}[i]) AS end, {m}[i] AS span, {g}[i].tail AS tail, {g}[i + 1].head AS head, regexp_replace({m}[i], '[^0-9]', '') AS d)) ELSE CAST(array() AS array<struct<start:int,end:int,span:string,tail:string,head:string,d:string>>) END")
 
 
 def _features(gen: int) -> str:
     """Binned features of a candidate c, as SQL of a struct."""
-    d = "regexp_replace(c.span, '[^0-9]', '')"
+    d = "c.d"
     shape = "right(regexp_replace(c.span, '[0-9]', '9'), 8)"
     side = lambda x: f"CASE WHEN {x} = '' THEN 0 WHEN {x} rlike '^\\\\s$' THEN 1 WHEN {x} rlike '^[A-Za-z0-9]$' THEN 2 ELSE 3 END"
     tail = "lower(c.tail)"
@@ -88,47 +93,62 @@ def _features(gen: int) -> str:
       CASE WHEN length({d}) >= 20 THEN 8 WHEN length({d}) >= 17 THEN 7 WHEN length({d}) >= 16 THEN 6 WHEN length({d}) >= 12 THEN 5 WHEN length({d}) >= 11 THEN 4 WHEN length({d}) >= 10 THEN 3 WHEN length({d}) >= 7 THEN 2 WHEN length({d}) >= 1 THEN 1 ELSE 0 END AS digits,
       CASE {shape} WHEN '999-9999' THEN 1 WHEN '999 9999' THEN 2 WHEN '999.9999' THEN 3 WHEN '99999999' THEN 4 ELSE CASE WHEN {shape} rlike '^[9.]+$' THEN 5 ELSE 0 END END AS shape,
       least(4, length(regexp_replace(c.span, '[^ ().-]', ''))) AS seps,
-      CASE WHEN length({d}) >= 12 AND {_luhn(d)} THEN 1 ELSE 0 END AS luhn,
+      CASE WHEN length({d}) BETWEEN 12 AND 19 AND {_luhn(d)} THEN 1 ELSE 0 END AS luhn,
       CASE WHEN {tail} rlike 'mail|phone|tel|call|contact|card|visa' THEN 1 WHEN {tail} rlike 'order|invoice|id|no[.]|version|isbn|date' THEN 2 ELSE 0 END AS words,
       least(3, length(regexp_replace(regexp_replace(c.span, '(?i)[(\\\\[]dot[)\\\\]]', '.'), '[^.]', ''))) AS dots,
       {side("right(c.tail, 1)")} AS before, {side("left(c.head, 1)")} AS after)"""
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __base: array<struct<start, rank, end, kind>> sorted by start and kind; __cand: candidates with features."""
-    rows = docs.withColumn("__t", F.col(text))
+    """(__row, __base, __cand) of each row of docs.
+
+    __row: all columns of docs, so that no name clashes; __base: array<struct<start, rank, end, kind>>
+    sorted by start and kind; __cand: candidates with features.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__t"))
     found: dict[str, Column] = {}
     for kind, needs, pattern in (*RULES, *GENERATORS):
         found |= _found(kind, needs, pattern)
     rows = rows.withColumns(found)
-    rows = rows.select(*docs.columns, *[_placed(k).alias(f"__p_{k}") for k, _, _ in (*RULES, *GENERATORS)])
+    rows = rows.select("__row", *[_placed(k).alias(f"__p_{k}") for k, _, _ in (*RULES, *GENERATORS)])
     good = []
     for rank, kind in enumerate(KINDS):
-        d = "regexp_replace(c.span, '[^0-9]', '')"
-        test = _VALID[kind].format(s="c.span", d=d, luhn=_luhn(d))
-        good.append(f"transform(filter(__p_{kind}, c -> {test}), c -> struct(c.start AS start, {rank} AS rank, c.end AS end, '{kind}' AS kind))")
+        good.append(f"transform(filter(__p_{kind}, c -> {_VALID[kind].format(luhn=_luhn('c.d'))}), c -> struct(c.start AS start, {rank} AS rank, c.end AS end, '{kind}' AS kind))")
     cands = [f"transform(__p_{k}, c -> struct(c.start AS start, c.end AS end, '{ADDED[k]}' AS kind, {_features(i)} AS f))" for i, (k, _, _) in enumerate(GENERATORS)]
-    return rows.select(*docs.columns, F.expr(f"array_sort(concat({', '.join(good)}))").alias("__base"), F.expr(f"concat({', '.join(cands)})").alias("__cand"))
+    return rows.select("__row", F.expr(f"array_sort(concat({', '.join(good)}))").alias("__base"), F.expr(f"concat({', '.join(cands)})").alias("__cand"))
 
 
 _HITS = "exists(__base, b -> b.start < c.end AND c.start < b.end)"
 
 
-def fit_selector(docs: DataFrame, *, text: str = "text", precision: float = 0.995) -> boosting.Boosted:
-    """Boosted trees from the counts of all candidates of docs. At most MAX_COMBINATIONS rows reach the driver."""
-    each = with_spans(docs.select(text), text).where("size(__cand) > 0").select(F.explode(F.expr(f"transform(__cand, c -> struct(c.f AS f, {_HITS} AS y))")).alias("c"))
-    counted = each.groupBy(*[F.col(f"c.f.{n}").alias(n) for n in FEATURES]).agg(F.count_if("c.y").alias("p"), F.count_if(~F.col("c.y")).alias("n")).orderBy(*FEATURES).collect()
-    x = {n: np.array([r[n] for r in counted], np.int64) for n in FEATURES}
-    return boosting.fit(x, np.array([r["p"] for r in counted]), np.array([r["n"] for r in counted]), precision=precision)
+def fit_selector(docs: DataFrame, *, text: str = "text", precision: float = 0.995, folds: int = 3) -> boosting.Boosted:
+    """Boosted trees from the counts of all candidates of docs. At most 2 * MAX_COMBINATIONS rows reach the driver.
+
+    The candidates of one in ``folds`` texts, by their hash, are held out of the trees; by them the least threshold
+    with the asked precision is set, for each generator on its own.
+    """
+    held = F.pmod(F.xxhash64(f"__row.{text}"), F.lit(folds)) == 0
+    # The number of rule spans is a second use of __base: used once, inside a function of each candidate, it would be made anew for each.
+    each = with_spans(docs.select(text), text).select(held.alias("held"), F.size("__base").alias("n_base"), F.explode(F.expr(f"transform(__cand, c -> struct(c.f AS f, {_HITS} AS y))")).alias("c"))
+    counted = each.groupBy("held", *[F.col(f"c.f.{n}").alias(n) for n in FEATURES]).agg(F.count_if("c.y").alias("p"), F.count_if(~F.col("c.y")).alias("n"), F.max("n_base")).orderBy("held", *FEATURES).collect()
+    of = lambda rows: ({n: np.array([r[n] for r in rows], np.int64) for n in FEATURES}, np.array([r["p"] for r in rows]), np.array([r["n"] for r in rows]))
+    model = boosting.fit(*of([r for r in counted if not r["held"]]), precision=precision)
+    model.thresholds = {gen: boosting.calibrated(model, *of([r for r in counted if r["held"] and r["gen"] == gen]), precision=precision) for gen in range(len(GENERATORS))}
+    return model
 
 
 def find_spans(docs: DataFrame, model: boosting.Boosted | None = None, *, text: str = "text") -> DataFrame:
-    """docs with base_spans and spans: arrays of (start, rank, end, kind) sorted by start, then rank."""
+    """docs with base_spans and spans: arrays of (start, rank, end, kind) sorted by start, then rank.
+
+    Of added spans that overlap, the one that begins first stays.
+    """
     model = model or fit_selector(docs, text=text)
     docs = docs.drop("base_spans", "spans")
     rows = with_spans(docs, text)
-    chosen = f"transform(filter(__cand, c -> NOT {_HITS} AND {model.sql('c.f.')} >= {model.threshold!r}D), c -> struct(c.start AS start, {len(KINDS)} AS rank, c.end AS end, c.kind AS kind))"
-    return rows.select(*docs.columns, F.col("__base").alias("base_spans"), F.expr(f"array_sort(concat(__base, {chosen}))").alias("spans"))
+    enough = f"{model.sql('c.f.')} >= CASE c.f.gen {' '.join(f'WHEN {g} THEN {t!r}D' for g, t in (model.thresholds or {0: model.threshold}).items())} ELSE {model.threshold!r}D END"
+    chosen = f"array_sort(transform(filter(__cand, c -> NOT {_HITS} AND {enough}), c -> struct(c.start AS start, {len(KINDS)} AS rank, c.end AS end, c.kind AS kind)))"
+    apart = f"aggregate({chosen}, CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string>>), (a, c) -> IF(size(a) > 0 AND c.start < a[size(a) - 1].end, a, concat(a, array(c))))"
+    return rows.select("__row.*", F.col("__base").alias("base_spans"), F.expr(f"array_sort(concat(__base, {apart}))").alias("spans"))
 
 
 def redact(docs: DataFrame, model: boosting.Boosted | None = None, *, text: str = "text", mask: str = "#") -> DataFrame:
