@@ -397,3 +397,71 @@ def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert 0 < out.count() <= n
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    clean = [f"{a}{b}" for a in ("ra", "se", "lo", "mi", "tu", "ke") for b in ("n", "st", "r", "tt", "k", "lm")]
+    story = lambda n=70: [r.choice(clean) + str(r.randrange(300)) for _ in range(n)]
+    docs, labels, items = [], [], [(0, " ".join(story(12))), (1, "too few words"), (2, None)]
+    for i in range(160):
+        words = story()
+        if toxic := i % 4 == 0:
+            for _ in range(5):
+                words[r.randrange(70)] = r.choice(("vilest,", "Wretch", "fiend."))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    base = [d[1] for d in docs if d[0] % 4]
+    docs += [(200, base[3]), (201, base[3].upper()), (202, base[4] + " tail of it"), (203, " ".join(base[5].split()[:35] + ["new"] + base[5].split()[35:]))]
+    docs += [(300 + k, f"{' '.join(story())}\n{LINE}\n{' '.join(story(3))}") for k in range(6)]
+    docs += [(400, " ".join(story(20)) + " " + items[0][1] + ", " + " ".join(story(20))), (401, " ".join(items[0][1].split()[:5])), (402, "x Too few WORDS y " + " ".join(story(60)))]
+    docs += [(500, None), (501, ""), (None, base[6])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc string, tied string"
+    rows = [(i, t, "en", None, None if t is None else len(t), "d", "t") for i, t in docs]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    where = str(tmp_path)
+    now = spark.read.parquet(f"{where}/documents.parquet")
+    out = lambda df: sorted(((x["doc_id"], x["text"]) for x in df.collect()), key=str)
+
+    kept = stages["toxicity"](spark, now, where).cache()
+    want = sorted(((i, t) for i, t in docs if i is None or i >= 160 or i % 4), key=str)
+    assert out(kept) == want and kept.columns == now.columns
+
+    kept, before = stages["line_dedup"](spark, kept, where).cache(), want
+    want = sorted(((i, t if not t or LINE not in t or i == 305 else "\n".join(x for x in t.split("\n") if x != LINE)) for i, t in before), key=str)
+    assert out(kept) == want and kept.where("length(text) <> n_chars").count() == 0
+
+    kept, before = stages["ngram_jaccard_join"](spark, kept, where).cache(), want
+    sets, find = jaccard([x for x in before if x[0] is not None], 5, 80)
+    gone = {i for i, s in sets if s and find(i) != i}
+    want = [x for x in before if x[0] not in gone]
+    assert out(kept) == want and gone == {200, 201, 202, 203}
+
+    kept, before = stages["benchmark_decontamination"](spark, kept, where).cache(), want
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    shingles = lambda w, n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+    leaks = set()
+    for i, t in before:
+        for _, item in items:
+            w = split(item)
+            own = shingles(w, min(5, len(w))) if w else set()
+            if own and len(own & shingles(split(t), min(5, len(w)))) * 100 >= 80 * len(own) and i is not None:
+                leaks.add(i)
+    want = [x for x in before if x[0] not in leaks]
+    assert out(kept) == want and leaks == {400, 402}
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=spm.model_path())
+    got = {x["doc_id"]: x["ids_sha256"] for x in stages["sentencepiece"](spark, kept, where).collect()}
+    for i, t in want:
+        ids = lib.encode(t or "", add_bos=True, add_eos=True)
+        assert got[i] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    whole = {x["doc_id"]: x["ids_sha256"] for x in corpus_pipeline.run(spark, where).collect()}
+    assert whole == got
+    empty = now.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, where).count() == 0
