@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from voxloom import oracles, queries
 from voxloom.functions.color import rgb_to_yuv, yuv_to_rgb
-from voxloom.operators import codec, ragft, spectral, voxel
+from voxloom.operators import codec, features, ragft, spectral, voxel
 from voxloom.plans import catalog
 from voxloom.plans.levels import level_plan, spans
 from voxloom.sources import ply
@@ -129,3 +129,38 @@ def test_bench_depth(spark, small):
         lines = spark.read.parquet(f"{small}/lineitem.parquet")
         assert own.count() == lines.selectExpr("l_partkey % 256", "(l_suppkey * 7 + l_linenumber * 3) % 256", "CAST(l_quantity AS LONG) % 256").distinct().count() > n
     assert queries.points(spark, small).count() == n
+
+
+def test_ply_of_several_parts_and_polygons(spark, tmp_path):
+    rows = [(i, 2 * i, 3 * i % 7, i % 256, 255 - i % 256, 7) for i in range(3000)]
+    own = spark.createDataFrame(rows, "x long, y long, z long, red int, green int, blue int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ply.write_ply(own, str(tmp_path / "parts"), 1023)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(tuple(r)[1:] for r in ply.read_ply(spark, str(tmp_path / "parts")).collect()) == rows
+    text = ["ply", "format ascii 1.0", "element vertex 5", *[f"property float {a}" for a in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue")], "element face 1", "property list uchar int vertex_indices", "end_header"]
+    (tmp_path / "8iVFBv2/loot/Ply").mkdir(parents=True)
+    (tmp_path / "8iVFBv2/loot/Ply/loot_vox10_1000.ply").write_text("\n".join([*text, *[f"{i} {i} {i} 1 2 3" for i in range(5)], "5 0 1 2 3 4", ""]))
+    points, depth = ply.load_frames(spark, "8iVFBv2", "loot", [1], str(tmp_path))
+    assert sorted(tuple(r) for r in points.collect()) == [(1, i, i, i, 1, 2, 3) for i in range(5)] and depth == 10
+
+
+def test_experiments_one_by_one(spark):
+    rows = [tuple(r) for r in catalog.experiments(spark).collect()]
+    assert len(rows) == len({r[:3] for r in rows}) == 135
+    sizes = {r[2]: list(r[3]) for r in rows if r[:2] == ("8iVFBv2", "loot")}
+    assert sizes["exp2_b44"] == [2, 2, 2, 2, 2, 4, 4] and sizes["exp2_b444"] == [2, 2, 2, 4, 4, 4] and sizes["exp2_b4444"] == [2, 4, 4, 4, 4]
+    depth = {("8iVFBv2",): 10, ("MVUB",): 9}
+    for dataset, _, name, bsize, multilevel in rows:
+        bits = sum(b.bit_length() - 1 for b in bsize)
+        assert bits == (9 if name in ("exp2_b44", "exp2_b444", "exp2_b4444") and dataset == "8iVFBv2" else depth[dataset,]) or not multilevel and len(bsize) == 1
+
+
+def test_self_loop_of_small_blocks(spark):
+    cell = [(0, x, y, z, 10 * x + 5, 20 * y + 5, 30 * z + 5) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
+    two = [(0, 8, 0, 0, 1, 2, 3), (0, 9, 0, 0, 200, 2, 3)]
+    points = voxel.with_yuv(spark.createDataFrame([*cell, *two], "frame_id int, x long, y long, z long, red int, green int, blue int"))
+    found = features.selfloop_vertices(points, 8).collect()
+    assert [(r["bx"], r["b_y"], r["bz"]) for r in found] == [(0, 0, 0)]

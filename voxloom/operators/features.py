@@ -53,15 +53,15 @@ def selfloop_vertices(points: DataFrame, size: int) -> DataFrame:
 
     Of the fifth of the vertices with the least degree (1/d summed), the one whose
     offset from the block's centroid projects least on the mean direction; without a
-    direction, the one of least degree. Small blocks (a fifth rounds to 0, or a fifth
-    of that fifth does) have none. Ties go by (x, y, z).
+    direction, the one of least degree. Blocks of which a fifth rounds to 0 have
+    none. Ties go by (x, y, z).
     """
     own = points.select("frame_id", *AXES, *block_of(size))
     deg = degrees(neighbour_edges(points, size), 1.0 / distance())
     ranked = own.join(deg.select("frame_id", *AXES, "degree"), ["frame_id", *AXES], "left").withColumn("degree", F.round(F.coalesce("degree", F.lit(0.0)), 6))
     block = Window.partitionBy(*KEYS)
     ranked = ranked.select("*", F.row_number().over(block.orderBy("degree", *AXES)).alias("pos"), F.count("*").over(block).alias("n"), *[F.avg(a).over(block).alias(f"g{a}") for a in AXES])
-    low = ranked.where("pos <= round(0.2D * n) AND round(0.2D * round(0.2D * n)) > 0")
+    low = ranked.where("pos <= round(0.2D * n)")
     aimed = low.join(mean_direction(directions(points, size)), list(KEYS))
     dot = F.round(sum((F.col(a) - F.col(f"g{a}")) * F.col(f"m{a}") for a in AXES), 6)
     # An unknown direction sorts as equal: the position then decides.

@@ -67,7 +67,7 @@ ranked AS (
   FROM own o LEFT JOIN deg d ON o.x = d.x AND o.y = d.y AND o.z = d.z WINDOW b AS (PARTITION BY o.bx, o.b_y, o.bz)
 ), loops AS (
   SELECT r.bx, r.b_y, r.bz, min(struct_pack(dot := coalesce(round((x - gx) * mx + (y - gy) * my + (z - gz) * mz, 6), 0e0), pos := pos, x := x, y := y, z := z)) AS s
-  FROM ranked r JOIN means m ON r.bx = m.bx AND r.b_y = m.b_y AND r.bz = m.bz WHERE pos <= round(0.2e0 * n) AND round(0.2e0 * round(0.2e0 * n)) > 0 GROUP BY ALL
+  FROM ranked r JOIN means m ON r.bx = m.bx AND r.b_y = m.b_y AND r.bz = m.bz WHERE pos <= round(0.2e0 * n) GROUP BY ALL
 )"""
 _COMPONENTS = """numbered AS (SELECT *, ((x - bx * 4) * 4 + (y - b_y * 4)) * 4 + (z - bz * 4) AS code FROM own),
 reach AS (SELECT x, y, z, code FROM numbered UNION SELECT e.nx, e.ny, e.nz, r.code FROM reach r JOIN edges e ON e.x = r.x AND e.y = r.y AND e.z = r.z),

@@ -19,6 +19,8 @@ SEQUENCES = (
 )
 #: Quantisation steps of every sweep.
 STEPS = (1, 2, 4, 8, 12, 16, 20, 24, 32, 64)
+#: Sizes of exp2_b44, exp2_b444 and exp2_b4444 on the sequences of depth 10, which stop a level short of the root.
+SHORT_FOURS = ((2, 2, 2, 2, 2, 4, 4), (2, 2, 2, 4, 4, 4), (2, 4, 4, 4, 4))
 
 
 def sequences(spark: SparkSession) -> DataFrame:
@@ -56,7 +58,8 @@ def experiments(spark: SparkSession) -> DataFrame:
     for dataset, sequence, _, _, depth, _ in SEQUENCES:
         finest = (2, 4, 8, 16) if dataset == "MVUB" else (2, 4, 8, 16, 32)
         rows += [(dataset, sequence, f"exp1_b{b}", _vector([b], depth), True) for b in finest]
-        rows += [(dataset, sequence, "exp2_b" + "".join(map(str, v)), _vector(v, depth), True) for v in ([4, 4], [4, 4, 4], [4, 4, 4, 4])]
+        fours = [_vector([4] * n, depth) for n in (2, 3, 4)] if dataset == "MVUB" else SHORT_FOURS
+        rows += [(dataset, sequence, "exp2_b" + "4" * n, list(v), True) for n, v in zip((2, 3, 4), fours, strict=True)]
         rows += [(dataset, sequence, f"exp_zhang_b{b}", [b], False) for b in (2, 4, 8, 16)]
         if dataset == "8iVFBv2":
             rows += [(dataset, sequence, "exp2_b" + "".join(map(str, v)), _vector(v, depth), True) for v in ([4, 8], [4, 4, 8], [4, 8, 8], [8, 8, 8])]

@@ -2,45 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxloom.plans.catalog import frame_path
+
 HEADER_LINES = 200
 
 
-def read_header(spark: SparkSession, path: str) -> dict[str, object]:
-    """{vertices, faces, properties, width, lines} by keyword; at most HEADER_LINES lines are looked at."""
-    lines = [r[0] for r in spark.read.text(path).limit(HEADER_LINES).collect()]
-    out: dict[str, object] = {"vertices": 0, "faces": 0, "properties": [], "width": None, "lines": 0}
-    element = ""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a text file, or of a folder whose parts follow each other by name; lines count from 0.
+
+    Only the line counts of the file splits (one row each) are summed up in order; the rows stay where they are.
+    """
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    splits = own.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = splits.withColumn("before", F.sum("n").over(Window.orderBy("file", "at")) - F.col("n")).drop("n")
+    return own.join(F.broadcast(before), ["file", "at"]).select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
+def read_header(spark: SparkSession, path: str, header_lines: int = HEADER_LINES) -> dict[str, object]:
+    """{vertices, faces, properties, width, lines, skip} by keyword; at most header_lines lines are looked at.
+
+    skip: lines of elements between the header and the vertices.
+    """
+    lines = [r["value"] for r in numbered_lines(spark, path).where(F.col("line") < header_lines).orderBy("line").collect()]
+    out: dict[str, object] = {"vertices": 0, "faces": 0, "properties": [], "width": None, "lines": 0, "skip": 0}
+    element, seen = "", 0
     for i, line in enumerate(lines):
         words = line.split()
         if words[:2] == ["format", "binary_little_endian"] or words[:2] == ["format", "binary_big_endian"]:
             raise ValueError("only ASCII PLY is read")
         if words[:1] == ["element"]:
             element = words[1]
-            out["vertices" if element == "vertex" else "faces"] = int(words[2])
+            if element == "vertex":
+                out["skip"] = seen
+            if element in ("vertex", "face"):
+                out["vertices" if element == "vertex" else "faces"] = int(words[2])
+            seen += int(words[2])
         elif words[:1] == ["property"] and element == "vertex":
             out["properties"].append(words[-1])
         elif words[:2] == ["comment", "width"]:
             out["width"] = int(words[2])
         elif words[:1] == ["end_header"]:
             return out | {"lines": i + 1}
-    raise ValueError(f"no end_header in the first {HEADER_LINES} lines of {path}")
+    raise ValueError(f"no end_header in the first {header_lines} lines of {path}")
 
 
-def read_ply(spark: SparkSession, path: str, frame_id: int = 0) -> DataFrame:
-    """(frame_id, x, y, z, red, green, blue) of one file's vertices.
+def read_ply(spark: SparkSession, path: str, frame_id: int = 0, header_lines: int = HEADER_LINES) -> DataFrame:
+    """(frame_id, x, y, z, red, green, blue) of the vertices of a file, or of a folder of parts.
 
-    A vertex row has as many numbers as the header names properties and its first
-    word is a number; header lines start with a word, and faces begin with a count
-    and have another number of words or, where they have the same, come in files
-    whose vertices have six properties and faces four.
+    Vertices are the lines that the header's counts give, whatever the faces look like.
     """
-    head = read_header(spark, path)
-    names = head["properties"]
-    words = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(words.alias("w")).where((F.size("w") == len(names)) & F.col("w")[0].rlike(r"^[-+0-9.]"))
+    head = read_header(spark, path, header_lines)
+    names, first = head["properties"], head["lines"] + head["skip"]
+    rows = numbered_lines(spark, path).where((F.col("line") >= first) & (F.col("line") < first + head["vertices"])).select(F.split(F.trim("value"), r"\s+").alias("w"))
     at = {n: F.col("w")[i] for i, n in enumerate(names)}
     return rows.select(
         F.lit(frame_id).alias("frame_id"),
@@ -49,6 +67,13 @@ def read_ply(spark: SparkSession, path: str, frame_id: int = 0) -> DataFrame:
     )
 
 
+def load_frames(spark: SparkSession, dataset: str, sequence: str, frames: list[int], root: str = ".") -> tuple[DataFrame, int]:
+    """(points of the frames of a catalogued sequence, counted from 1, as frame_id; their depth)."""
+    paths = {f: frame_path(dataset, sequence, f, root) for f in frames}
+    clouds = [read_ply(spark, path, f) for f, (path, _) in paths.items()]
+    return reduce(DataFrame.unionByName, clouds), next(depth for _, depth in paths.values())
+
+
 def depth_of(spark: SparkSession, path: str) -> int | None:
     """log2(width + 1) of the header's width comment, if it has one."""
     width = read_header(spark, path)["width"]
