@@ -381,6 +381,86 @@ def test_urls(spark):
     assert got[6]["verdict"] == "block" and got[7]["verdict"] == "allow"
 
 
+def test_url_ranks_match_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    hosts = [f"h{i}.org" for i in range(20)] + ["com", "a.com", "b.a.com", "c.net", "d.net"]
+    rows = []
+    for i in range(150):
+        host = hosts[min(int(r.expovariate(0.2)), len(hosts) - 1)] if i else "h0.org"
+        links = r.sample(hosts + ["far.edge"], r.randrange(4))
+        rows.append((i, f"http://{host}/{r.choice(['es/', 'en/'])}{i}", " ".join(f"<a href='http://{h}/'>x</a>" for h in links)))
+    weights, share, pages, good, bad = {}, {}, {}, {}, {}
+    for _, url, page in rows:
+        host, path = url[7:].split("/", 1)
+        pages[host] = pages.get(host, 0) + 1
+        good[host] = good.get(host, 0) + host.endswith("com")
+        bad[host] = bad.get(host, 0) + (host.endswith(".net") and path.startswith("es/"))
+        for other in {x.split("/")[0] for x in page.split("http://")[1:]} - {host}:
+            weights[host, other] = weights.get((host, other), 0) + 1
+    for host in pages:
+        parts = host.split(".")
+        if up := next((u for i in range(1, len(parts)) if (u := ".".join(parts[i:])) in pages), None):
+            for pair in ((host, up), (up, host)):
+                weights[pair] = weights.get(pair, 0) + pages[host]
+    names = sorted({h for pair in weights for h in pair} | set(pages))
+    at = {h: i for i, h in enumerate(names)}
+
+    def walk(seeds, pairs):
+        m = np.zeros((len(names), len(names)))
+        for (src, dst), n in pairs.items():
+            m[at[dst], at[src]] = n
+        m /= np.maximum(m.sum(0), 1e-300)
+        s = np.array([float(seeds.get(h, 0)) for h in names])
+        return np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * s)
+
+    back = {(dst, src): n for (src, dst), n in weights.items()}
+    with np.errstate(invalid="ignore"):
+        trust, distrust = (np.nan_to_num(walk(s, w) / walk(pages, w)) for s, w in ((good, weights), (bad, back)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert len(weights) > 60
+    for bound in (urlgraph.BROADCAST_HOSTS, 0):
+        monkeypatch.setattr(urlgraph, "BROADCAST_HOSTS", bound)
+        for x in urlgraph.judge(table, tolerance=1e-7).collect():
+            i = at[x["host"]]
+            assert abs(x["trust"] - trust[i]) < 1e-4 and abs(x["distrust"] - distrust[i]) < 1e-4
+            if x["rule"] is None and abs(distrust[i] - 0.5) > 1e-3 and abs(distrust[i] - trust[i]) > 1e-3:
+                assert x["verdict"] == ("block" if distrust[i] >= 0.5 and distrust[i] > trust[i] else "allow")
+
+
+def test_html_covers_what_repeated_substrings_of_any_length_cover():
+    r = random.Random(5)
+    passages = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (3, 6, 7, 15, 40)]
+    pages = []
+    for i in range(12):
+        own = []
+        for _ in range(r.randrange(1, 6)):
+            parts = [r.choice(passages) if r.random() < 0.6 else " ".join(r.choice(WORDS[:6]) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 3))]
+            own.append((0, " ".join(parts)))
+        pages.append(own)
+    held = {}
+    for p, own in enumerate(pages):
+        for _, text in own:
+            w = text.split()
+            for a in range(len(w)):
+                for b in range(a + 1, len(w) + 1):
+                    if b - a >= html.RUN or (a, b) == (0, len(w)):
+                        # A block shorter than a run is repeated only as a whole block.
+                        held.setdefault((tuple(w[a:b]), b - a < html.RUN), set()).add(p)
+    want = []
+    for own in pages:
+        want.append([])
+        for _, text in own:
+            w = text.split()
+            covered = set()
+            for a in range(len(w)):
+                for b in range(a + 1, len(w) + 1):
+                    if len(held.get((tuple(w[a:b]), b - a < html.RUN), ())) >= html.least_pages(len(pages), 0):
+                        covered |= set(range(a, b)) if b - a >= html.RUN or (a, b) == (0, len(w)) else set()
+            want[-1].append(len(covered) == len(w))
+    assert html.repeated_blocks(pages) == want
+    assert 5 < sum(map(sum, want)) < sum(map(len, want)) - 5
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")

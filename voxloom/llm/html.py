@@ -6,7 +6,9 @@ out; blocks inside an article (or else a main element) are marked as main. Then
 the pages of a host are put together: their token streams are concatenated, a
 suffix array of the concatenation is built by prefix doubling (to the depth of
 the shortest run that counts), and suffixes that are neighbours in it with an
-equal beginning are runs that distinct pages repeat. Blocks that such runs cover
+equal beginning are runs that distinct pages repeat. That depth settles all longer
+substrings too: one that enough pages repeat consists of shortest runs that these
+pages repeat, so both cover the same tokens. Blocks that such runs cover
 wholly are boilerplate; blocks of unique runs stay. Outside of marked main text a
 run counts once MIN_PAGES pages and the share SHARE of the pages hold it; inside,
 where quoted passages are legitimate, the larger share MAIN_SHARE is asked for. A
