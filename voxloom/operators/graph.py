@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from voxloom.functions.space import AXES, BLOCK, block_of
 #: One of each pair of opposite directions of the 26 neighbours; the other is the mirror.
 HALF = tuple(o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0))
 KEYS = ("frame_id", *BLOCK)
+#: Edge of the cells of whole blocks that one call labels.
+CELL = 32
 
 
 def neighbour_edges(points: DataFrame, size: int, values: tuple[str, ...] = ("cy",)) -> DataFrame:
@@ -86,35 +90,38 @@ def laplacian(edges: DataFrame, weight: Column, loops: DataFrame | None = None,
 def components(points: DataFrame, size: int) -> DataFrame:
     """(keys, x, y, z, component): number of the component's least vertex in (x, y, z) order of the block.
 
-    The least label spreads along the edges of each block until it is the same
-    everywhere; a block of size b needs at most b^3 rounds, in practice a few.
+    Components do not leave their blocks, so one shuffle deals whole blocks, CELL
+    voxels a side at most, to tasks; a task's memory is bounded by its voxels.
     """
-    own = points.select("frame_id", *AXES, *block_of(size))
-    code = F.expr(f"(((x - bx * {size}) * {size}) + (y - b_y * {size})) * {size} + (z - bz * {size})")
-    label = own.select(*KEYS, *AXES, code.alias("label"))
-    edges = neighbour_edges(points.withColumn("cy", F.lit(0.0)), size).select("frame_id", *AXES, "nx", "ny", "nz")
-    for i in range(size**3):
-        said = edges.join(label.select("frame_id", *AXES, "label"), ["frame_id", *AXES]).groupBy("frame_id", "nx", "ny", "nz").agg(F.min("label").alias("heard"))
-        new = label.join(said.withColumnsRenamed({"nx": "x", "ny": "y", "nz": "z"}), ["frame_id", *AXES], "left").select(*KEYS, *AXES, F.least("label", "heard").alias("new"), "label")
-        new = _cut(new) if i % 4 == 3 else new
-        done = i % 4 == 3 and not new.where("new <> label").limit(1).count()
-        label = new.select(*KEYS, *AXES, F.col("new").alias("label"))
-        if done:
-            break
-    return label.withColumnRenamed("label", "component")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder; in local sessions without one, in a temporary folder."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and not (context.master or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    cell = max(size, CELL)
+    own = points.select("frame_id", *AXES, *block_of(size), *block_of(cell, names=("cell_x", "cell_y", "cell_z")))
+    made = own.select(*KEYS, *AXES, F.lit(0).cast("long").alias("component")).schema
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[list(AXES)].to_numpy() % cell
+        pdf = pdf[[*KEYS, *AXES]].copy()
+        pdf["component"] = _labels(at, size, cell)
+        return pdf
+
+    return own.groupBy("frame_id", "cell_x", "cell_y", "cell_z").applyInPandas(label, made)
+
+
+def _labels(at: np.ndarray, size: int, cell: int) -> np.ndarray:
+    """The least number of each voxel's component: numbers spread to the 26 neighbours of the block until nothing changes."""
+    blocks, inside = at // size, at % size
+    place = (np.ravel_multi_index(blocks.T, (cell // size,) * 3), *inside.T)
+    number = np.ravel_multi_index(inside.T, (size,) * 3)
+    grid = np.full(((cell // size) ** 3, size, size, size), size**3, np.int64)
+    grid[place] = number
+    while True:
+        spread = grid
+        for axis in (1, 2, 3):
+            padded = np.pad(spread, [(0, 0) if i != axis else (1, 1) for i in range(4)], constant_values=size**3)
+            spread = np.minimum.reduce([np.take(padded, range(i, i + size), axis) for i in range(3)])
+        if (spread[place] == number).all():
+            return number
+        number = spread[place]
+        grid[place] = number
 
 
 def component_centroids(labelled: DataFrame, weight: str | None = None) -> DataFrame:

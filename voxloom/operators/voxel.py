@@ -9,12 +9,19 @@ from voxloom.functions.color import rgb_to_yuv
 from voxloom.functions.space import AXES, BLOCK, block_of, morton
 
 CHANNELS = ("cy", "cu", "cv")
+#: Consecutive order keys whose lines make one frame of the voxel view.
+ORDERS = 8_192
 
 
-def voxel_view(lineitem: DataFrame, depth: int, frame_id: int = 0) -> DataFrame:
-    """One point a voxel from order lines: (frame_id, x, y, z, red, green, blue)."""
+def voxel_view(lineitem: DataFrame, depth: int, orders: int = ORDERS) -> DataFrame:
+    """One point a voxel from order lines: (frame_id, x, y, z, red, green, blue).
+
+    The lines of ``orders`` consecutive order keys are a frame, so frames, and with
+    them points, edges and coefficients, grow with the table.
+    """
     n = 1 << depth
     at = lineitem.select(
+        F.floor(F.col("l_orderkey") / orders).cast("int").alias("frame_id"),
         (F.col("l_partkey") % n).alias("x"),
         ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 3) % n).alias("y"),
         (F.col("l_quantity").cast("long") % n).alias("z"),
@@ -22,7 +29,7 @@ def voxel_view(lineitem: DataFrame, depth: int, frame_id: int = 0) -> DataFrame:
         ((F.col("l_partkey") * 11) % 256).cast("int").alias("g"),
         ((F.col("l_suppkey") * 53) % 256).cast("int").alias("b"),
     )
-    return at.groupBy(*AXES).agg(F.min("r").alias("red"), F.min("g").alias("green"), F.min("b").alias("blue")).withColumn("frame_id", F.lit(frame_id))
+    return at.groupBy("frame_id", *AXES).agg(F.min("r").alias("red"), F.min("g").alias("green"), F.min("b").alias("blue"))
 
 
 def with_yuv(points: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from voxloom.functions.color import TO_YUV
+from voxloom.operators.voxel import ORDERS
 from voxloom.queries import CENTROIDS, DEPTH, STEPS
 
 _N = 1 << DEPTH
@@ -11,10 +12,10 @@ _YUV = ", ".join(
     for i, n in enumerate(("cy", "cu", "cv"))
 )
 _BASE = f"""pts AS (
-  SELECT l_partkey % {_N} AS x, (l_suppkey * 7 + l_linenumber * 3) % {_N} AS y, CAST(l_quantity AS BIGINT) % {_N} AS z,
+  SELECT CAST(l_orderkey // {ORDERS} AS INTEGER) AS frame_id, l_partkey % {_N} AS x, (l_suppkey * 7 + l_linenumber * 3) % {_N} AS y, CAST(l_quantity AS BIGINT) % {_N} AS z,
     CAST(min((l_orderkey * 37) % 256) AS INTEGER) AS red, CAST(min((l_partkey * 11) % 256) AS INTEGER) AS green, CAST(min((l_suppkey * 53) % 256) AS INTEGER) AS blue
-  FROM lineitem GROUP BY 1, 2, 3
-), cloud AS (SELECT x, y, z, red, green, blue, {_YUV} FROM pts)"""
+  FROM lineitem GROUP BY 1, 2, 3, 4
+), cloud AS (SELECT frame_id, x, y, z, red, green, blue, {_YUV} FROM pts)"""
 
 
 def _edges(size: int) -> str:
@@ -23,8 +24,8 @@ def _edges(size: int) -> str:
 offsets AS (SELECT a.v AS dx, b.v AS dy, c.v AS dz FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v), (VALUES (-1), (0), (1)) c(v) WHERE NOT (a.v = 0 AND b.v = 0 AND c.v = 0)),
 sent AS (SELECT own.*, x + dx AS tx, y + dy AS ty, z + dz AS tz, abs(dx) + abs(dy) + abs(dz) AS d2 FROM own, offsets),
 edges AS (
-  SELECT s.bx, s.b_y, s.bz, s.x, s.y, s.z, t.x AS nx, t.y AS ny, t.z AS nz, CAST(s.d2 AS INTEGER) AS d2, s.cy, t.cy AS n_cy
-  FROM sent s JOIN own t ON t.x = s.tx AND t.y = s.ty AND t.z = s.tz AND t.bx = s.bx AND t.b_y = s.b_y AND t.bz = s.bz
+  SELECT s.frame_id, s.bx, s.b_y, s.bz, s.x, s.y, s.z, t.x AS nx, t.y AS ny, t.z AS nz, CAST(s.d2 AS INTEGER) AS d2, s.cy, t.cy AS n_cy
+  FROM sent s JOIN own t ON t.frame_id = s.frame_id AND t.x = s.tx AND t.y = s.ty AND t.z = s.tz AND t.bx = s.bx AND t.b_y = s.b_y AND t.bz = s.bz
 )"""
 
 
@@ -37,99 +38,99 @@ def _r4(x: str, name: str) -> str:
     return f"round({x}, 4) + 0e0 AS {name}"
 
 
-_LEVELS = " UNION ALL ".join(f"SELECT CAST({DEPTH - i} AS INTEGER) AS level, x // {2 ** (i + 1)} AS x, y // {2 ** (i + 1)} AS y, z // {2 ** (i + 1)} AS z, count(*) AS q, sum(cy) / sqrt(count(*)) AS cy, sum(cu) / sqrt(count(*)) AS cu, sum(cv) / sqrt(count(*)) AS cv FROM cloud GROUP BY 2, 3, 4" for i in range(DEPTH))
+_LEVELS = " UNION ALL ".join(f"SELECT CAST({DEPTH - i} AS INTEGER) AS level, frame_id, x // {2 ** (i + 1)} AS x, y // {2 ** (i + 1)} AS y, z // {2 ** (i + 1)} AS z, count(*) AS q, sum(cy) / sqrt(count(*)) AS cy, sum(cu) / sqrt(count(*)) AS cu, sum(cv) / sqrt(count(*)) AS cv FROM cloud GROUP BY 2, 3, 4, 5" for i in range(DEPTH))
 _PYRAMID = f"pyramid AS ({_LEVELS})"
-_METRICS = """grads AS (SELECT bx, b_y, bz, abs(n_cy - cy) / 256e0 AS g FROM edges),
-gm AS (SELECT bx, b_y, bz, avg(g) AS m1, CASE WHEN count(*) = 1 THEN 0e0 ELSE stddev_samp(g) END AS m2 FROM grads WHERE g <> 0 GROUP BY ALL),
-pm AS (SELECT bx, b_y, bz, count(*) AS n, avg(cy) AS m3, CASE WHEN count(*) = 1 THEN 0e0 ELSE stddev_samp(cy) END AS m4 FROM own GROUP BY ALL),
-metrics AS (SELECT pm.bx, pm.b_y, pm.bz, n, m1, m2, m3, m4 FROM pm LEFT JOIN gm ON pm.bx = gm.bx AND pm.b_y = gm.b_y AND pm.bz = gm.bz)"""
+_METRICS = """grads AS (SELECT frame_id, bx, b_y, bz, abs(n_cy - cy) / 256e0 AS g FROM edges),
+gm AS (SELECT frame_id, bx, b_y, bz, avg(g) AS m1, CASE WHEN count(*) = 1 THEN 0e0 ELSE stddev_samp(g) END AS m2 FROM grads WHERE g <> 0 GROUP BY ALL),
+pm AS (SELECT frame_id, bx, b_y, bz, count(*) AS n, avg(cy) AS m3, CASE WHEN count(*) = 1 THEN 0e0 ELSE stddev_samp(cy) END AS m4 FROM own GROUP BY ALL),
+metrics AS (SELECT pm.frame_id, pm.bx, pm.b_y, pm.bz, n, m1, m2, m3, m4 FROM pm LEFT JOIN gm ON pm.frame_id = gm.frame_id AND pm.bx = gm.bx AND pm.b_y = gm.b_y AND pm.bz = gm.bz)"""
 _FEATURES = _METRICS + """, known AS (SELECT * FROM metrics WHERE m1 IS NOT NULL AND m2 IS NOT NULL),
 norms AS (SELECT sqrt(sum(m1 * m1)) AS n1, sqrt(sum(m2 * m2)) AS n2, sqrt(sum(m4 * m4)) AS n4 FROM known),
-feats AS (SELECT bx, b_y, bz, m1 / n1 AS m1, m2 / n2 AS m2, m4 / n4 AS m4 FROM known, norms)"""
-_DISTS = _FEATURES + ", dists AS (" + " UNION ALL ".join(f"SELECT bx, b_y, bz, {i} AS cluster, round(sqrt((m1 - {a}) * (m1 - {a}) + (m2 - {b}) * (m2 - {b}) + (m4 - {c}) * (m4 - {c})), 9) AS distance FROM feats" for i, (a, b, c) in enumerate(CENTROIDS)) + ")"
-_NEAREST = _DISTS + ", nearest AS (SELECT bx, b_y, bz, min(struct_pack(d := distance, c := cluster)) AS best FROM dists GROUP BY ALL)"
-_DIRECTED = """jumps AS (SELECT bx, b_y, bz, x, y, z, min(struct_pack(g := floor((cy - n_cy) / 256e0 * 1e6 + 0.5e0) / 1e6, nx := nx, ny := ny, nz := nz, d2 := d2)) AS s FROM edges GROUP BY ALL),
+feats AS (SELECT frame_id, bx, b_y, bz, m1 / n1 AS m1, m2 / n2 AS m2, m4 / n4 AS m4 FROM known, norms)"""
+_DISTS = _FEATURES + ", dists AS (" + " UNION ALL ".join(f"SELECT frame_id, bx, b_y, bz, {i} AS cluster, round(sqrt((m1 - {a}) * (m1 - {a}) + (m2 - {b}) * (m2 - {b}) + (m4 - {c}) * (m4 - {c})), 9) AS distance FROM feats" for i, (a, b, c) in enumerate(CENTROIDS)) + ")"
+_NEAREST = _DISTS + ", nearest AS (SELECT frame_id, bx, b_y, bz, min(struct_pack(d := distance, c := cluster)) AS best FROM dists GROUP BY ALL)"
+_DIRECTED = """jumps AS (SELECT frame_id, bx, b_y, bz, x, y, z, min(struct_pack(g := floor((cy - n_cy) / 256e0 * 1e6 + 0.5e0) / 1e6, nx := nx, ny := ny, nz := nz, d2 := d2)) AS s FROM edges GROUP BY ALL),
 directed AS (
-  SELECT o.bx, o.b_y, o.bz, o.x, o.y, o.z, coalesce(abs(j.s.g), 0e0) AS weight,
+  SELECT o.frame_id, o.bx, o.b_y, o.bz, o.x, o.y, o.z, coalesce(abs(j.s.g), 0e0) AS weight,
     coalesce((o.x - j.s.nx) / sqrt(j.s.d2), 0e0) AS ux, coalesce((o.y - j.s.ny) / sqrt(j.s.d2), 0e0) AS uy, coalesce((o.z - j.s.nz) / sqrt(j.s.d2), 0e0) AS uz
-  FROM own o LEFT JOIN (SELECT * FROM jumps WHERE s.g < -0.02e0) j ON o.x = j.x AND o.y = j.y AND o.z = j.z
+  FROM own o LEFT JOIN (SELECT * FROM jumps WHERE s.g < -0.02e0) j ON o.frame_id = j.frame_id AND o.x = j.x AND o.y = j.y AND o.z = j.z
 ), sums AS (
-  SELECT bx, b_y, bz, CASE WHEN sum(weight) <> 0 THEN sum(weight * ux) / sum(weight) END AS sx, CASE WHEN sum(weight) <> 0 THEN sum(weight * uy) / sum(weight) END AS sy, CASE WHEN sum(weight) <> 0 THEN sum(weight * uz) / sum(weight) END AS sz
+  SELECT frame_id, bx, b_y, bz, CASE WHEN sum(weight) <> 0 THEN sum(weight * ux) / sum(weight) END AS sx, CASE WHEN sum(weight) <> 0 THEN sum(weight * uy) / sum(weight) END AS sy, CASE WHEN sum(weight) <> 0 THEN sum(weight * uz) / sum(weight) END AS sz
   FROM directed GROUP BY ALL
 ), means AS (
-  SELECT bx, b_y, bz, CASE WHEN n > 0 THEN sx / n END AS mx, CASE WHEN n > 0 THEN sy / n END AS my, CASE WHEN n > 0 THEN sz / n END AS mz
+  SELECT frame_id, bx, b_y, bz, CASE WHEN n > 0 THEN sx / n END AS mx, CASE WHEN n > 0 THEN sy / n END AS my, CASE WHEN n > 0 THEN sz / n END AS mz
   FROM (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS n FROM sums)
 )"""
-_LOOPS = _DIRECTED + """, deg AS (SELECT x, y, z, sum(1e0 / sqrt(d2)) AS degree FROM edges GROUP BY ALL),
+_LOOPS = _DIRECTED + """, deg AS (SELECT frame_id, x, y, z, sum(1e0 / sqrt(d2)) AS degree FROM edges GROUP BY ALL),
 ranked AS (
-  SELECT o.bx, o.b_y, o.bz, o.x, o.y, o.z, row_number() OVER (PARTITION BY o.bx, o.b_y, o.bz ORDER BY round(coalesce(degree, 0e0), 6), o.x, o.y, o.z) AS pos, count(*) OVER b AS n,
+  SELECT o.frame_id, o.bx, o.b_y, o.bz, o.x, o.y, o.z, row_number() OVER (PARTITION BY o.frame_id, o.bx, o.b_y, o.bz ORDER BY round(coalesce(degree, 0e0), 6), o.x, o.y, o.z) AS pos, count(*) OVER b AS n,
     avg(o.x) OVER b AS gx, avg(o.y) OVER b AS gy, avg(o.z) OVER b AS gz
-  FROM own o LEFT JOIN deg d ON o.x = d.x AND o.y = d.y AND o.z = d.z WINDOW b AS (PARTITION BY o.bx, o.b_y, o.bz)
+  FROM own o LEFT JOIN deg d ON o.frame_id = d.frame_id AND o.x = d.x AND o.y = d.y AND o.z = d.z WINDOW b AS (PARTITION BY o.frame_id, o.bx, o.b_y, o.bz)
 ), loops AS (
-  SELECT r.bx, r.b_y, r.bz, min(struct_pack(dot := coalesce(round((x - gx) * mx + (y - gy) * my + (z - gz) * mz, 6), 0e0), pos := pos, x := x, y := y, z := z)) AS s
-  FROM ranked r JOIN means m ON r.bx = m.bx AND r.b_y = m.b_y AND r.bz = m.bz WHERE pos <= round(0.2e0 * n) GROUP BY ALL
+  SELECT r.frame_id, r.bx, r.b_y, r.bz, min(struct_pack(dot := coalesce(round((x - gx) * mx + (y - gy) * my + (z - gz) * mz, 6), 0e0), pos := pos, x := x, y := y, z := z)) AS s
+  FROM ranked r JOIN means m ON r.frame_id = m.frame_id AND r.bx = m.bx AND r.b_y = m.b_y AND r.bz = m.bz WHERE pos <= round(0.2e0 * n) GROUP BY ALL
 )"""
 _COMPONENTS = """numbered AS (SELECT *, ((x - bx * 4) * 4 + (y - b_y * 4)) * 4 + (z - bz * 4) AS code FROM own),
-reach AS (SELECT x, y, z, code FROM numbered UNION SELECT e.nx, e.ny, e.nz, r.code FROM reach r JOIN edges e ON e.x = r.x AND e.y = r.y AND e.z = r.z),
-labelled AS (SELECT x, y, z, x // 4 AS bx, y // 4 AS b_y, z // 4 AS bz, min(code) AS component FROM reach GROUP BY x, y, z),
-centroids AS (SELECT bx, b_y, bz, component, count(*) AS n, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz FROM labelled GROUP BY bx, b_y, bz, component)"""
-_PAIR = "x, y, z, nx, ny, nz"
+reach AS (SELECT frame_id, x, y, z, code FROM numbered UNION SELECT e.frame_id, e.nx, e.ny, e.nz, r.code FROM reach r JOIN edges e ON e.frame_id = r.frame_id AND e.x = r.x AND e.y = r.y AND e.z = r.z),
+labelled AS (SELECT frame_id, x, y, z, x // 4 AS bx, y // 4 AS b_y, z // 4 AS bz, min(code) AS component FROM reach GROUP BY frame_id, x, y, z),
+centroids AS (SELECT frame_id, bx, b_y, bz, component, count(*) AS n, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz FROM labelled GROUP BY frame_id, bx, b_y, bz, component)"""
+_PAIR = "frame_id, x, y, z, nx, ny, nz"
 
 
 def oracle_sql() -> dict[str, str]:
     energy = ", ".join(f"{_r4(f'sum({c}) / sqrt(count(*))', f'dc{i}')}, round(sum({c} * {c}), 2) AS energy{i}" for i, c in enumerate(("cy", "cu", "cv")))
     yuv = ", ".join(_r4(c, c) for c in ("cy", "cu", "cv"))
-    block8 = "x // 8 AS bx, y // 8 AS b_y, z // 8 AS bz"
+    block8 = "frame_id, x // 8 AS bx, y // 8 AS b_y, z // 8 AS bz"
     means = ", ".join(_r4(c, c) for c in ("mx", "my", "mz"))
     dev = "exp(-d2 / 2e0 - ((n_cy - cy) / 256e0) * ((n_cy - cy) / 256e0) / (2e0 * 0.1e0 * 0.1e0))"
     morton = " + ".join(f"((({v} >> {i}) & 1) << {3 * i + k})" for i in range(DEPTH - 3) for k, v in enumerate(("bz", "b_y", "bx")))
     return {
-        "rgb_to_yuv": _q(f"SELECT x, y, z, {yuv} FROM cloud"),
-        "yuv_roundtrip": _q("SELECT x, y, z, red, green, blue FROM pts"),
-        "voxel_blocks": _q("SELECT x // 4 AS bx, y // 4 AS b_y, z // 4 AS bz, count(*) AS n FROM pts GROUP BY 1, 2, 3"),
-        "block_boundaries": _q(f"SELECT bx, b_y, bz, start_row, lead(start_row, 1, (SELECT count(*) + 1 FROM pts)) OVER (ORDER BY start_row) - 1 AS end_row FROM (SELECT bx, b_y, bz, CAST(sum(n) OVER (ORDER BY {morton}) - n + 1 AS BIGINT) AS start_row FROM (SELECT {block8}, count(*) AS n FROM pts GROUP BY 1, 2, 3))"),
-        "q_pyramid": _q("SELECT level, x, y, z, q FROM pyramid", more=_PYRAMID),
-        "dc_pyramid": _q(f"SELECT level, x, y, z, q, {yuv} FROM pyramid", more=_PYRAMID),
+        "rgb_to_yuv": _q(f"SELECT frame_id, x, y, z, {yuv} FROM cloud"),
+        "yuv_roundtrip": _q("SELECT frame_id, x, y, z, red, green, blue FROM pts"),
+        "voxel_blocks": _q("SELECT frame_id, x // 4 AS bx, y // 4 AS b_y, z // 4 AS bz, count(*) AS n FROM pts GROUP BY 1, 2, 3, 4"),
+        "block_boundaries": _q(f"SELECT frame_id, bx, b_y, bz, start_row, start_row + n - 1 AS end_row FROM (SELECT frame_id, bx, b_y, bz, n, CAST(sum(n) OVER (PARTITION BY frame_id ORDER BY {morton}) - n + 1 AS BIGINT) AS start_row FROM (SELECT {block8}, count(*) AS n FROM pts GROUP BY 1, 2, 3, 4))"),
+        "q_pyramid": _q("SELECT level, frame_id, x, y, z, q FROM pyramid", more=_PYRAMID),
+        "dc_pyramid": _q(f"SELECT level, frame_id, x, y, z, q, {yuv} FROM pyramid", more=_PYRAMID),
         "neighbor_edges": _q(f"SELECT {_PAIR}, d2 FROM edges", edges=8),
         "edge_weights_luma": _q(f"SELECT {_PAIR}, {_r4('2e0 / (sqrt(d2) * (1e0 + abs(n_cy - cy) / 256e0))', 'w')} FROM edges", edges=8),
         "edge_weights_bilateral": _q(f"SELECT {_PAIR}, {_r4(dev, 'w')} FROM edges", edges=8),
         "gaussian_weights": _q(
-            f"SELECT r.x, r.y, r.z, r.nx, r.ny, r.nz, {_r4('r.w / (a.deg * b.deg)', 'w')} FROM raw r JOIN deg a ON a.x = r.x AND a.y = r.y AND a.z = r.z JOIN deg b ON b.x = r.nx AND b.y = r.ny AND b.z = r.nz",
+            f"SELECT r.frame_id, r.x, r.y, r.z, r.nx, r.ny, r.nz, {_r4('r.w / (a.deg * b.deg)', 'w')} FROM raw r JOIN deg a ON a.frame_id = r.frame_id AND a.x = r.x AND a.y = r.y AND a.z = r.z JOIN deg b ON b.frame_id = r.frame_id AND b.x = r.nx AND b.y = r.ny AND b.z = r.nz",
             edges=8,
-            more="spread AS (SELECT bx, b_y, bz, avg(d2 / 4e0) / 3e0 AS s2 FROM edges GROUP BY ALL), raw AS (SELECT e.*, exp(-d2 / (2e0 * s2)) AS w FROM edges e JOIN spread s ON e.bx = s.bx AND e.b_y = s.b_y AND e.bz = s.bz), deg AS (SELECT x, y, z, sum(w) AS deg FROM raw GROUP BY ALL)",
+            more="spread AS (SELECT frame_id, bx, b_y, bz, avg(d2 / 4e0) / 3e0 AS s2 FROM edges GROUP BY ALL), raw AS (SELECT e.*, exp(-d2 / (2e0 * s2)) AS w FROM edges e JOIN spread s ON e.frame_id = s.frame_id AND e.bx = s.bx AND e.b_y = s.b_y AND e.bz = s.bz), deg AS (SELECT frame_id, x, y, z, sum(w) AS deg FROM raw GROUP BY ALL)",
         ),
-        "vertex_degree": _q(f"SELECT x, y, z, {_r4('sum(2e0 / sqrt(d2))', 'degree')} FROM edges GROUP BY x, y, z", edges=8),
-        "laplacian_triples": _q(f"SELECT {_PAIR}, {_r4('-2e0 / sqrt(d2)', 'l')} FROM edges UNION ALL SELECT x, y, z, x, y, z, {_r4('sum(2e0 / sqrt(d2))', 'l')} FROM edges GROUP BY x, y, z", edges=8),
-        "selfloop_laplacian": _q(f"SELECT bx, b_y, bz, {_r4('sum(l)', 'trace')} FROM (SELECT bx, b_y, bz, 2e0 / sqrt(d2) AS l FROM edges UNION ALL SELECT bx, b_y, bz, 2e0 FROM loops) GROUP BY bx, b_y, bz", edges=8, more=_LOOPS),
-        "block_metrics": _q(f"SELECT bx, b_y, bz, n, {', '.join(_r4(m, m) for m in ('m1', 'm2', 'm3', 'm4'))} FROM metrics", edges=8, more=_METRICS),
-        "gradient_direction": _q(f"SELECT x, y, z, weight, {', '.join(_r4(c, c) for c in ('ux', 'uy', 'uz'))} FROM directed", edges=8, more=_DIRECTED),
-        "mean_direction": _q(f"SELECT bx, b_y, bz, {means} FROM means", edges=8, more=_DIRECTED),
+        "vertex_degree": _q(f"SELECT frame_id, x, y, z, {_r4('sum(2e0 / sqrt(d2))', 'degree')} FROM edges GROUP BY frame_id, x, y, z", edges=8),
+        "laplacian_triples": _q(f"SELECT {_PAIR}, {_r4('-2e0 / sqrt(d2)', 'l')} FROM edges UNION ALL SELECT frame_id, x, y, z, x, y, z, {_r4('sum(2e0 / sqrt(d2))', 'l')} FROM edges GROUP BY frame_id, x, y, z", edges=8),
+        "selfloop_laplacian": _q(f"SELECT frame_id, bx, b_y, bz, {_r4('sum(l)', 'trace')} FROM (SELECT frame_id, bx, b_y, bz, 2e0 / sqrt(d2) AS l FROM edges UNION ALL SELECT frame_id, bx, b_y, bz, 2e0 FROM loops) GROUP BY frame_id, bx, b_y, bz", edges=8, more=_LOOPS),
+        "block_metrics": _q(f"SELECT frame_id, bx, b_y, bz, n, {', '.join(_r4(m, m) for m in ('m1', 'm2', 'm3', 'm4'))} FROM metrics", edges=8, more=_METRICS),
+        "gradient_direction": _q(f"SELECT frame_id, x, y, z, weight, {', '.join(_r4(c, c) for c in ('ux', 'uy', 'uz'))} FROM directed", edges=8, more=_DIRECTED),
+        "mean_direction": _q(f"SELECT frame_id, bx, b_y, bz, {means} FROM means", edges=8, more=_DIRECTED),
         "mean_arrow": _q(
-            f"SELECT bx, b_y, bz, {', '.join(_r4(f'CASE WHEN n > 0 THEN s{a} / n END', f'm{a}') for a in 'xyz')} FROM arrows",
+            f"SELECT frame_id, bx, b_y, bz, {', '.join(_r4(f'CASE WHEN n > 0 THEN s{a} / n END', f'm{a}') for a in 'xyz')} FROM arrows",
             edges=8,
-            more=_DIRECTED + ", arrows AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS n FROM (SELECT bx, b_y, bz, avg(ux) FILTER (weight > 0) AS sx, avg(uy) FILTER (weight > 0) AS sy, avg(uz) FILTER (weight > 0) AS sz FROM directed GROUP BY ALL))",
+            more=_DIRECTED + ", arrows AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS n FROM (SELECT frame_id, bx, b_y, bz, avg(ux) FILTER (weight > 0) AS sx, avg(uy) FILTER (weight > 0) AS sy, avg(uz) FILTER (weight > 0) AS sz FROM directed GROUP BY ALL))",
         ),
-        "selfloop_vertex": _q("SELECT bx, b_y, bz, s.x AS x, s.y AS y, s.z AS z FROM loops", edges=8, more=_LOOPS),
-        "block_energy": _q(f"SELECT {block8}, count(*) AS n, {energy} FROM cloud GROUP BY 1, 2, 3"),
-        "block_spectrum_trace": _q(f"SELECT o.bx, o.b_y, o.bz, {_r4('coalesce(sum(2e0 / sqrt(d2)), 0e0)', 'trace')} FROM own o LEFT JOIN edges e ON o.x = e.x AND o.y = e.y AND o.z = e.z GROUP BY 1, 2, 3", edges=2),
-        "laplacian_quadratic_form": _q("SELECT o.bx, o.b_y, o.bz, round(coalesce(sum(1e0 / sqrt(d2) * (e.cy - n_cy) * (e.cy - n_cy)), 0e0), 3) + 0e0 AS form FROM own o LEFT JOIN edges e ON o.x = e.x AND o.y = e.y AND o.z = e.z GROUP BY 1, 2, 3", edges=2),
-        "components": _q("SELECT x, y, z, component FROM labelled", edges=4, more=_COMPONENTS, recursive=True),
-        "component_centroids": _q(f"SELECT bx, b_y, bz, component, n, {', '.join(_r4(f'g{a}', f'g{a}') for a in 'xyz')} FROM centroids", edges=4, more=_COMPONENTS, recursive=True),
+        "selfloop_vertex": _q("SELECT frame_id, bx, b_y, bz, s.x AS x, s.y AS y, s.z AS z FROM loops", edges=8, more=_LOOPS),
+        "block_energy": _q(f"SELECT {block8}, count(*) AS n, {energy} FROM cloud GROUP BY 1, 2, 3, 4"),
+        "block_spectrum_trace": _q(f"SELECT o.frame_id, o.bx, o.b_y, o.bz, {_r4('coalesce(sum(2e0 / sqrt(d2)), 0e0)', 'trace')} FROM own o LEFT JOIN edges e ON o.frame_id = e.frame_id AND o.x = e.x AND o.y = e.y AND o.z = e.z GROUP BY 1, 2, 3, 4", edges=2),
+        "laplacian_quadratic_form": _q("SELECT o.frame_id, o.bx, o.b_y, o.bz, round(coalesce(sum(1e0 / sqrt(d2) * (e.cy - n_cy) * (e.cy - n_cy)), 0e0), 3) + 0e0 AS form FROM own o LEFT JOIN edges e ON o.frame_id = e.frame_id AND o.x = e.x AND o.y = e.y AND o.z = e.z GROUP BY 1, 2, 3, 4", edges=2),
+        "components": _q("SELECT frame_id, x, y, z, component FROM labelled", edges=4, more=_COMPONENTS, recursive=True),
+        "component_centroids": _q(f"SELECT frame_id, bx, b_y, bz, component, n, {', '.join(_r4(f'g{a}', f'g{a}') for a in 'xyz')} FROM centroids", edges=4, more=_COMPONENTS, recursive=True),
         "complete_graph_weights": _q(
-            f"SELECT bx, b_y, bz, i, j, {_r4('2e0 / d', 'w')} FROM (SELECT a.bx, a.b_y, a.bz, a.component AS i, b.component AS j, sqrt((a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) + (a.gz - b.gz) * (a.gz - b.gz)) AS d FROM centroids a JOIN centroids b ON a.bx = b.bx AND a.b_y = b.b_y AND a.bz = b.bz AND a.component <> b.component) WHERE d > 0",
+            f"SELECT frame_id, bx, b_y, bz, i, j, {_r4('2e0 / d', 'w')} FROM (SELECT a.frame_id, a.bx, a.b_y, a.bz, a.component AS i, b.component AS j, sqrt((a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) + (a.gz - b.gz) * (a.gz - b.gz)) AS d FROM centroids a JOIN centroids b ON a.frame_id = b.frame_id AND a.bx = b.bx AND a.b_y = b.b_y AND a.bz = b.bz AND a.component <> b.component) WHERE d > 0",
             edges=4, more=_COMPONENTS, recursive=True,
         ),
-        "ragft_roundtrip": _q(f"SELECT x, y, z, {yuv} FROM cloud"),
-        "quantized_dc": _q("SELECT level, x, y, z, round((round(cy, 4) + 0e0) / 64e0) * 64e0 AS cy FROM pyramid", more=_PYRAMID),
+        "ragft_roundtrip": _q(f"SELECT frame_id, x, y, z, {yuv} FROM cloud"),
+        "quantized_dc": _q("SELECT level, frame_id, x, y, z, round((round(cy, 4) + 0e0) / 64e0) * 64e0 AS cy FROM pyramid", more=_PYRAMID),
         "psnr_dc": _q(
-            f"SELECT level, step, n, round(mse, 9) AS mse, {_r4('CASE WHEN mse > 0 THEN -10e0 * log10(mse) END', 'psnr')} FROM (SELECT level, CAST(step AS INTEGER) AS step, count(*) AS n, sum((c - round(c / step) * step) * (c - round(c / step) * step)) / (count(*) * (255e0 * 255e0)) AS mse FROM (SELECT level, round(cy, 4) + 0e0 AS c FROM pyramid), (VALUES {', '.join(f'({s})' for s in STEPS)}) s(step) GROUP BY 1, 2)",
+            f"SELECT frame_id, level, step, n, round(mse, 9) AS mse, {_r4('CASE WHEN mse > 0 THEN -10e0 * log10(mse) END', 'psnr')} FROM (SELECT frame_id, level, CAST(step AS INTEGER) AS step, count(*) AS n, sum((c - round(c / step) * step) * (c - round(c / step) * step)) / (count(*) * (255e0 * 255e0)) AS mse FROM (SELECT frame_id, level, round(cy, 4) + 0e0 AS c FROM pyramid), (VALUES {', '.join(f'({s})' for s in STEPS)}) s(step) GROUP BY 1, 2, 3)",
             more=_PYRAMID,
         ),
-        "feature_norms": _q(f"SELECT bx, b_y, bz, {', '.join(_r4(m, m) for m in ('m1', 'm2', 'm4'))} FROM feats", edges=8, more=_FEATURES),
-        "nearest_centroid": _q(f"SELECT bx, b_y, bz, best.c AS cluster, {_r4('best.d', 'distance')} FROM nearest", edges=8, more=_NEAREST),
-        "topk_per_centroid": _q(f"SELECT cluster, CAST(rank AS INTEGER) AS rank, bx, b_y, bz, {_r4('distance', 'distance')} FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, bx, b_y, bz) AS rank FROM dists) WHERE rank <= 3", edges=8, more=_DISTS),
+        "feature_norms": _q(f"SELECT frame_id, bx, b_y, bz, {', '.join(_r4(m, m) for m in ('m1', 'm2', 'm4'))} FROM feats", edges=8, more=_FEATURES),
+        "nearest_centroid": _q(f"SELECT frame_id, bx, b_y, bz, best.c AS cluster, {_r4('best.d', 'distance')} FROM nearest", edges=8, more=_NEAREST),
+        "topk_per_centroid": _q(f"SELECT cluster, CAST(rank AS INTEGER) AS rank, frame_id, bx, b_y, bz, {_r4('distance', 'distance')} FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, frame_id, bx, b_y, bz) AS rank FROM dists) WHERE rank <= 3", edges=8, more=_DISTS),
         "cluster_sizes": _q("SELECT best.c AS cluster, count(*) AS n FROM nearest GROUP BY 1", edges=8, more=_NEAREST),
         "gradient_histogram": _q("SELECT CAST(CASE WHEN m < 0 THEN 0 WHEN m >= 0.5 THEN 21 ELSE floor(m / 0.5e0 * 20) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT round(m1, 6) AS m FROM metrics WHERE m1 IS NOT NULL) GROUP BY 1", edges=8, more=_METRICS),
-        "sorted_blocks": _q(f"SELECT bx, b_y, bz, {_r4('m1', 'm1')}, {_r4('m2', 'm2')} FROM metrics", edges=8, more=_METRICS),
-        "axis_extents": _q(f"SELECT {block8}, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z, {', '.join(_r4(f'avg({a})', f'mean_{a}') for a in 'xyz')} FROM pts GROUP BY 1, 2, 3"),
+        "sorted_blocks": _q(f"SELECT frame_id, bx, b_y, bz, {_r4('m1', 'm1')}, {_r4('m2', 'm2')} FROM metrics", edges=8, more=_METRICS),
+        "axis_extents": _q(f"SELECT {block8}, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z, {', '.join(_r4(f'avg({a})', f'mean_{a}') for a in 'xyz')} FROM pts GROUP BY 1, 2, 3, 4"),
     }

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.color import yuv_to_rgb
-from voxloom.functions.space import AXES, BLOCK, block_of
+from voxloom.functions.space import AXES
 from voxloom.operators import codec, features, graph, ragft, viewdata, voxel
+from voxloom.operators.graph import KEYS
 
 #: Octree depth of the view, and fixed centroids of the clustering queries (normalised m1, m2, m4).
 DEPTH = 6
 CENTROIDS = [(0.01, 0.01, 0.01), (0.04, 0.04, 0.04), (0.06, 0.05, 0.08)]
 STEPS = (1, 4, 16, 64)
+VOXEL = ("frame_id", *AXES)
 
 
 def r4(c: Column | str) -> Column:
@@ -42,51 +44,51 @@ def cloud(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFra
 
 
 def rgb_to_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cloud(spark, sf_dir).select(*AXES, *[r4(c).alias(c) for c in voxel.CHANNELS])
+    return cloud(spark, sf_dir).select(*VOXEL, *[r4(c).alias(c) for c in voxel.CHANNELS])
 
 
 def yuv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cloud(spark, sf_dir).select(*AXES, *[c.alias(n) for n, c in yuv_to_rgb().items()])
+    return cloud(spark, sf_dir).select(*VOXEL, *[c.alias(n) for n, c in yuv_to_rgb().items()])
 
 
 def voxel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxel.block_counts(points(spark, sf_dir), 4).select(*BLOCK, "n")
+    return voxel.block_counts(points(spark, sf_dir), 4).select(*KEYS, "n")
 
 
 def block_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxel.block_boundaries(points(spark, sf_dir), 8, DEPTH).select(*BLOCK, "start_row", "end_row")
+    return voxel.block_boundaries(points(spark, sf_dir), 8, DEPTH).select(*KEYS, "start_row", "end_row")
 
 
 def q_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxel.dc_pyramid(cloud(spark, sf_dir), [2] * DEPTH).select("level", *AXES, "q")
+    return voxel.dc_pyramid(cloud(spark, sf_dir), [2] * DEPTH).select("level", *VOXEL, "q")
 
 
 def dc_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxel.dc_pyramid(cloud(spark, sf_dir), [2] * DEPTH).select("level", *AXES, "q", *[r4(c).alias(c) for c in voxel.CHANNELS])
+    return voxel.dc_pyramid(cloud(spark, sf_dir), [2] * DEPTH).select("level", *VOXEL, "q", *[r4(c).alias(c) for c in voxel.CHANNELS])
 
 
 def neighbor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbour_edges(cloud(spark, sf_dir), 8).select(*AXES, "nx", "ny", "nz", "d2")
+    return graph.neighbour_edges(cloud(spark, sf_dir), 8).select(*VOXEL, "nx", "ny", "nz", "d2")
 
 
 def edge_weights_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbour_edges(cloud(spark, sf_dir), 8).select(*AXES, "nx", "ny", "nz", r4(graph.weight_luma()).alias("w"))
+    return graph.neighbour_edges(cloud(spark, sf_dir), 8).select(*VOXEL, "nx", "ny", "nz", r4(graph.weight_luma()).alias("w"))
 
 
 def edge_weights_bilateral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbour_edges(cloud(spark, sf_dir), 8).select(*AXES, "nx", "ny", "nz", r4(graph.weight_bilateral(1.0, 0.1)).alias("w"))
+    return graph.neighbour_edges(cloud(spark, sf_dir), 8).select(*VOXEL, "nx", "ny", "nz", r4(graph.weight_bilateral(1.0, 0.1)).alias("w"))
 
 
 def gaussian_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.gaussian_edges(graph.neighbour_edges(cloud(spark, sf_dir), 8)).select(*AXES, "nx", "ny", "nz", r4("w").alias("w"))
+    return graph.gaussian_edges(graph.neighbour_edges(cloud(spark, sf_dir), 8)).select(*VOXEL, "nx", "ny", "nz", r4("w").alias("w"))
 
 
 def vertex_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(graph.neighbour_edges(cloud(spark, sf_dir), 8), graph.weight_inverse()).select(*AXES, r4("degree").alias("degree"))
+    return graph.degrees(graph.neighbour_edges(cloud(spark, sf_dir), 8), graph.weight_inverse()).select(*VOXEL, r4("degree").alias("degree"))
 
 
 def laplacian_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.laplacian(graph.neighbour_edges(cloud(spark, sf_dir), 8), graph.weight_inverse()).select(*AXES, "nx", "ny", "nz", r4("l").alias("l"))
+    return graph.laplacian(graph.neighbour_edges(cloud(spark, sf_dir), 8), graph.weight_inverse()).select(*VOXEL, "nx", "ny", "nz", r4("l").alias("l"))
 
 
 def selfloop_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,55 +96,55 @@ def selfloop_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cloud(spark, sf_dir)
     loops = features.selfloop_vertices(own, 8)
     lap = graph.laplacian(graph.neighbour_edges(own, 8), graph.weight_inverse(), loops)
-    return lap.where("x = nx AND y = ny AND z = nz").groupBy(*BLOCK).agg(r4(F.sum("l")).alias("trace"))
+    return lap.where("x = nx AND y = ny AND z = nz").groupBy(*KEYS).agg(r4(F.sum("l")).alias("trace"))
 
 
 def block_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.block_metrics(cloud(spark, sf_dir), 8).select(*BLOCK, "n", *[r4(m).alias(m) for m in ("m1", "m2", "m3", "m4")])
+    return features.block_metrics(cloud(spark, sf_dir), 8).select(*KEYS, "n", *[r4(m).alias(m) for m in ("m1", "m2", "m3", "m4")])
 
 
 def gradient_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.directions(cloud(spark, sf_dir), 8).select(*AXES, "weight", *[r4(c).alias(c) for c in ("ux", "uy", "uz")])
+    return features.directions(cloud(spark, sf_dir), 8).select(*VOXEL, "weight", *[r4(c).alias(c) for c in ("ux", "uy", "uz")])
 
 
 def mean_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.mean_direction(features.directions(cloud(spark, sf_dir), 8)).select(*BLOCK, *[r4(c).alias(c) for c in ("mx", "my", "mz")])
+    return features.mean_direction(features.directions(cloud(spark, sf_dir), 8)).select(*KEYS, *[r4(c).alias(c) for c in ("mx", "my", "mz")])
 
 
 def mean_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viewdata.arrows(features.directions(cloud(spark, sf_dir), 8)).select(*BLOCK, *[r4(c).alias(c) for c in ("mx", "my", "mz")])
+    return viewdata.arrows(features.directions(cloud(spark, sf_dir), 8)).select(*KEYS, *[r4(c).alias(c) for c in ("mx", "my", "mz")])
 
 
 def selfloop_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.selfloop_vertices(cloud(spark, sf_dir), 8).select(*BLOCK, *AXES)
+    return features.selfloop_vertices(cloud(spark, sf_dir), 8).select(*KEYS, *AXES)
 
 
 def block_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy of the spectral coefficients of 8-blocks, to be held against the energy of the attributes."""
     c = ragft.forward(cloud(spark, sf_dir), 8, DEPTH, multilevel=False)
-    return c.groupBy(*BLOCK).agg(F.count("*").alias("n"), *[r4(F.sum(F.when(F.col("k") == 0, F.col(f"c{i}")))).alias(f"dc{i}") for i in range(3)], *[F.round(F.sum(F.col(f"c{i}") * F.col(f"c{i}")), 2).alias(f"energy{i}") for i in range(3)])
+    return c.groupBy(*KEYS).agg(F.count("*").alias("n"), *[r4(F.sum(F.when(F.col("k") == 0, F.col(f"c{i}")))).alias(f"dc{i}") for i in range(3)], *[F.round(F.sum(F.col(f"c{i}") * F.col(f"c{i}")), 2).alias(f"energy{i}") for i in range(3)])
 
 
 def block_spectrum_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ragft.forward(cloud(spark, sf_dir), 2, DEPTH, multilevel=False).groupBy(*BLOCK).agg(r4(F.sum("freq")).alias("trace"))
+    return ragft.forward(cloud(spark, sf_dir), 2, DEPTH, multilevel=False).groupBy(*KEYS).agg(r4(F.sum("freq")).alias("trace"))
 
 
 def laplacian_quadratic_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ragft.forward(cloud(spark, sf_dir), 2, DEPTH, multilevel=False).groupBy(*BLOCK).agg((F.round(F.sum(F.col("freq") * F.col("c0") * F.col("c0")), 3) + F.lit(0.0)).alias("form"))
+    return ragft.forward(cloud(spark, sf_dir), 2, DEPTH, multilevel=False).groupBy(*KEYS).agg((F.round(F.sum(F.col("freq") * F.col("c0") * F.col("c0")), 3) + F.lit(0.0)).alias("form"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(points(spark, sf_dir), 4).select(*AXES, F.col("component").cast("long").alias("component"))
+    return graph.components(points(spark, sf_dir), 4).select(*VOXEL, F.col("component").cast("long").alias("component"))
 
 
 def component_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.component_centroids(graph.components(points(spark, sf_dir), 4))
-    return found.select(*BLOCK, F.col("component").cast("long").alias("component"), "n", *[r4(f"g{a}").alias(f"g{a}") for a in AXES])
+    return found.select(*KEYS, F.col("component").cast("long").alias("component"), "n", *[r4(f"g{a}").alias(f"g{a}") for a in AXES])
 
 
 def complete_graph_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.complete_graph(graph.component_centroids(graph.components(points(spark, sf_dir), 4)))
-    return found.select(*BLOCK, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r4("w").alias("w"))
+    return found.select(*KEYS, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r4("w").alias("w"))
 
 
 def ragft_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,17 +154,17 @@ def ragft_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ragft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cloud(spark, sf_dir)
     back = ragft.inverse(ragft.forward(own, [2, 4, 2, 4], DEPTH), own, [2, 4, 2, 4], DEPTH)
-    return back.select(*AXES, *[r4(f"c{i}").alias(c) for i, c in enumerate(voxel.CHANNELS)])
+    return back.select(*VOXEL, *[r4(f"c{i}").alias(c) for i, c in enumerate(voxel.CHANNELS)])
 
 
 def quantized_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
     dc = voxel.dc_pyramid(cloud(spark, sf_dir), [2] * DEPTH)
-    return codec.quantised(dc.withColumn("cy", r4("cy")), 64.0, ("cy",)).select("level", *AXES, "cy")
+    return codec.quantised(dc.withColumn("cy", r4("cy")), 64.0, ("cy",)).select("level", *VOXEL, "cy")
 
 
 def psnr_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
     dc = voxel.dc_pyramid(cloud(spark, sf_dir), [2] * DEPTH).withColumn("cy", r4("cy"))
-    return codec.distortion(dc, STEPS, "cy", ("level",)).select("level", "step", "n", F.round("mse", 9).alias("mse"), r4("psnr").alias("psnr"))
+    return codec.distortion(dc, STEPS, "cy", ("frame_id", "level")).select("frame_id", "level", "step", "n", F.round("mse", 9).alias("mse"), r4("psnr").alias("psnr"))
 
 
 def psnr_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,19 +177,19 @@ def rate_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = features.block_metrics(cloud(spark, sf_dir), 8)
-    return features.normalised(raw.select(*BLOCK, "m1", "m2", "m4"), ["m1", "m2", "m4"])
+    return features.normalised(raw.select(*KEYS, "m1", "m2", "m4"), ["m1", "m2", "m4"])
 
 
 def feature_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).select(*BLOCK, *[r4(m).alias(m) for m in ("m1", "m2", "m4")])
+    return _features(spark, sf_dir).select(*KEYS, *[r4(m).alias(m) for m in ("m1", "m2", "m4")])
 
 
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.nearest_centroid(_features(spark, sf_dir), CENTROIDS, ["m1", "m2", "m4"]).select(*BLOCK, "cluster", r4("distance").alias("distance"))
+    return features.nearest_centroid(_features(spark, sf_dir), CENTROIDS, ["m1", "m2", "m4"]).select(*KEYS, "cluster", r4("distance").alias("distance"))
 
 
 def topk_per_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.nearest_rows(_features(spark, sf_dir), CENTROIDS, ["m1", "m2", "m4"], list(BLOCK)).select("cluster", "rank", *BLOCK, r4("distance").alias("distance"))
+    return features.nearest_rows(_features(spark, sf_dir), CENTROIDS, ["m1", "m2", "m4"], list(KEYS)).select("cluster", "rank", *KEYS, r4("distance").alias("distance"))
 
 
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +197,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.kmeans_blocks(_features(spark, sf_dir), ["m1", "m2", "m4"]).select(*BLOCK, "cluster")
+    return features.kmeans_blocks(_features(spark, sf_dir), ["m1", "m2", "m4"]).select(*KEYS, "cluster")
 
 
 def gradient_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,12 +205,12 @@ def gradient_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_metrics(spark, sf_dir).select(*BLOCK, "m1", "m2").orderBy(F.asc_nulls_last("m1"), *BLOCK)
+    return block_metrics(spark, sf_dir).select(*KEYS, "m1", "m2").orderBy(F.asc_nulls_last("m1"), *KEYS)
 
 
 def axis_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = voxel.with_blocks(points(spark, sf_dir), 8)
-    return viewdata.axis_extents(own, BLOCK).select(*BLOCK, *[f"{m}_{a}" for m in ("min", "max") for a in AXES], *[r4(f"mean_{a}").alias(f"mean_{a}") for a in AXES])
+    return viewdata.axis_extents(own, KEYS).select(*KEYS, *[f"{m}_{a}" for m in ("min", "max") for a in AXES], *[r4(f"mean_{a}").alias(f"mean_{a}") for a in AXES])
 
 
 def coeff_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
