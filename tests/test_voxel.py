@@ -164,3 +164,27 @@ def test_self_loop_of_small_blocks(spark):
     points = voxel.with_yuv(spark.createDataFrame([*cell, *two], "frame_id int, x long, y long, z long, red int, green int, blue int"))
     found = features.selfloop_vertices(points, 8).collect()
     assert [(r["bx"], r["b_y"], r["bz"]) for r in found] == [(0, 0, 0)]
+
+
+def test_violations(spark):
+    rows = [(0, 0, 0, 0, 1, 1, 1), (0, 0, 0, 0, 2, 2, 2), (0, 8, 0, 0, 1, 1, 1), (0, 1, None, 1, 1, 1, 1), (0, 1, 1, 1, None, 1, 1), (1, 7, 7, 7, 1, 1, 1)]
+    points = spark.createDataFrame(rows, "frame_id int, x long, y long, z long, red int, green int, blue int")
+    assert sorted(map(tuple, voxel.violations(points, 3).collect())) == [(0, 5, 2, 1, 1), (1, 1, 0, 0, 0)]
+
+
+def test_sweep_of_two_frames(spark, tmp_path):
+    from voxloom.plans import sweep
+
+    (tmp_path / "MVUB/phil9/ply").mkdir(parents=True)
+    head = ["ply", "format ascii 1.0", "element vertex 30", *[f"property float {a}" for a in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue")], "end_header"]
+    for frame in (0, 1):
+        body = [f"{i} {i // 2} {i // 3 + frame} {8 * i} {255 - i} {3 * i + frame}" for i in range(30)]
+        (tmp_path / f"MVUB/phil9/ply/frame{frame:04d}.ply").write_text("\n".join([*head, *body, ""]))
+    plan = [("MVUB", "phil9", "exp1_b4", [2] * 7 + [4], True), ("MVUB", "phil9", "exp_zhang_b4", [4], False)]
+    rd = sweep.run(spark, plan, [1, 2], str(tmp_path / "rd"), str(tmp_path), (1, 16)).collect()
+    assert sorted((r["dataset"], r["sequence"], r["experiment"], r["frame"], r["step"], r["nvox"]) for r in rd) == sorted(("MVUB", "phil9", e, f, s, 30) for e in ("exp1_b4", "exp_zhang_b4") for f in (1, 2) for s in (1, 16))
+    assert all(r["seconds"] > 0 and r["bytes"] > 0 for r in rd)
+    of = {(r["experiment"], r["frame"], r["step"]): (r["mse"], r["bytes"]) for r in rd}
+    assert all(of[e, f, 1][0] < of[e, f, 16][0] and of[e, f, 1][1] > of[e, f, 16][1] for e, f, _ in of)
+    with pytest.raises(ValueError):
+        sweep.run(spark, [("MVUB", "phil9", "exp4_b2", [2] * 9, True)], [1], str(tmp_path / "rd"), str(tmp_path))

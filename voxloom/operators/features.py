@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.space import AXES, block_of
-from voxloom.operators.graph import KEYS, degrees, distance, neighbour_edges
+from voxloom.operators.graph import KEYS, degrees, distance, neighbour_edges, weight_inverse
+from voxloom.operators.voxel import CHANNELS
 
 JUMP = 0.02
 
@@ -69,6 +70,26 @@ def selfloop_vertices(points: DataFrame, size: int) -> DataFrame:
     return chosen.select(*KEYS, *[F.col(f"s.{a}").alias(a) for a in AXES])
 
 
+def block_records(points: DataFrame, size: int) -> DataFrame:
+    """(keys, n, m1..m4, points, edges, selfloop_vertex): all that is known of a block in one row.
+
+    points: (x, y, z, channels, degree) in (x, y, z) order, degrees by 2/d; edges: (i, j, w)
+    by places in points, in order; selfloop_vertex: a place in points, or null. A row holds
+    at most size^3 points and 26 edges a point.
+    """
+    edges = neighbour_edges(points, size)
+    degree = degrees(edges, weight_inverse()).select("frame_id", *AXES, "degree")
+    own = points.select("frame_id", *AXES, *CHANNELS, *block_of(size)).join(degree, ["frame_id", *AXES], "left").fillna(0.0, ["degree"])
+    voxels = own.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(*AXES, *CHANNELS, "degree"))).alias("points"))
+    ends = edges.groupBy(*KEYS).agg(F.collect_list(F.struct(F.struct(*AXES).alias("a"), F.struct(*[F.col(f"n{a}").alias(a) for a in AXES]).alias("b"), weight_inverse().alias("w"))).alias("ends"))
+    loops = selfloop_vertices(points, size).select(*KEYS, F.struct(*AXES).alias("loop"))
+    rows = block_metrics(points, size).join(voxels, list(KEYS)).join(ends, list(KEYS), "left").join(loops, list(KEYS), "left")
+    rows = rows.withColumn("places", F.transform("points", lambda p: F.struct(*[p[a].alias(a) for a in AXES])))
+    place = lambda at: (F.array_position("places", at) - 1).cast("int")
+    listed = F.sort_array(F.transform(F.coalesce("ends", F.array()), lambda e: F.struct(place(e["a"]).alias("i"), place(e["b"]).alias("j"), e["w"].alias("w"))))
+    return rows.select(*KEYS, "n", "m1", "m2", "m3", "m4", "points", listed.alias("edges"), place(F.col("loop")).alias("selfloop_vertex"))
+
+
 def normalised(table: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose first two columns are known, each column divided by its norm over all rows."""
     known = table.dropna(subset=columns[:2])

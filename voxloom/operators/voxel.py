@@ -81,3 +81,12 @@ def block_energy(points: DataFrame, size: int, channels: tuple[str, ...] = CHANN
         dc = F.sum(c) / F.sqrt(F.count("*"))
         exprs += [dc.alias(f"dc_{c}"), (F.sum(F.col(c) * F.col(c)) - dc * dc).alias(f"ac_{c}")]
     return points.groupBy("frame_id", *block_of(size)).agg(F.count("*").alias("n"), *exprs)
+
+
+def violations(points: DataFrame, depth: int) -> DataFrame:
+    """(frame_id, n, n_null, n_outside, n_repeated): rows of a frame without a coordinate or colour, beyond [0, 2^depth), and beyond the first of their voxel."""
+    known = [F.col(c).isNotNull() for c in (*AXES, "red", "green", "blue")]
+    whole = known[0] & known[1] & known[2] & known[3] & known[4] & known[5]
+    outside = F.coalesce((F.least(*AXES) < 0) | (F.greatest(*AXES) >= 1 << depth), F.lit(False))
+    voxels = points.groupBy("frame_id", *AXES).agg(F.count("*").alias("n"), F.sum((~whole).cast("long")).alias("n_null"), F.sum(outside.cast("long")).alias("n_outside"))
+    return voxels.groupBy("frame_id").agg(*[F.sum(c).alias(c) for c in ("n", "n_null", "n_outside")], F.sum(F.col("n") - 1).alias("n_repeated"))

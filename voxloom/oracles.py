@@ -74,6 +74,13 @@ _COMPONENTS = """numbered AS (SELECT *, ((x - bx * 4) * 4 + (y - b_y * 4)) * 4 +
 reach AS (SELECT frame_id, x, y, z, code FROM numbered UNION SELECT e.frame_id, e.nx, e.ny, e.nz, r.code FROM reach r JOIN edges e ON e.frame_id = r.frame_id AND e.x = r.x AND e.y = r.y AND e.z = r.z),
 labelled AS (SELECT frame_id, x, y, z, x // 4 AS bx, y // 4 AS b_y, z // 4 AS bz, min(code) AS component FROM reach GROUP BY frame_id, x, y, z),
 centroids AS (SELECT frame_id, bx, b_y, bz, component, count(*) AS n, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz FROM labelled GROUP BY frame_id, bx, b_y, bz, component)"""
+_RECORDS = f"""{_METRICS}, {_LOOPS},
+placed AS (SELECT frame_id, bx, b_y, bz, x, y, z, row_number() OVER (PARTITION BY frame_id, bx, b_y, bz ORDER BY x, y, z) - 1 AS place FROM own),
+sent_from AS MATERIALIZED (SELECT e.*, p.place FROM edges e JOIN placed p ON e.frame_id = p.frame_id AND e.x = p.x AND e.y = p.y AND e.z = p.z),
+links AS (
+  SELECT e.frame_id, e.bx, e.b_y, e.bz, count(*) AS n_edges, sum(2e0 / sqrt(d2)) AS degree_sum, CAST(sum((p.place - e.place) * (p.place - e.place)) AS BIGINT) AS reach
+  FROM sent_from e JOIN placed p ON e.frame_id = p.frame_id AND e.nx = p.x AND e.ny = p.y AND e.nz = p.z GROUP BY ALL
+), looped AS (SELECT p.* FROM loops l JOIN placed p ON l.frame_id = p.frame_id AND l.s.x = p.x AND l.s.y = p.y AND l.s.z = p.z)"""
 _PAIR = "frame_id, x, y, z, nx, ny, nz"
 
 
@@ -133,4 +140,9 @@ def oracle_sql() -> dict[str, str]:
         "gradient_histogram": _q("SELECT CAST(CASE WHEN m < 0 THEN 0 WHEN m >= 0.5 THEN 21 ELSE floor(m / 0.5e0 * 20) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT round(m1, 6) AS m FROM metrics WHERE m1 IS NOT NULL) GROUP BY 1", edges=8, more=_METRICS),
         "sorted_blocks": _q(f"SELECT frame_id, bx, b_y, bz, {_r4('m1', 'm1')}, {_r4('m2', 'm2')} FROM metrics", edges=8, more=_METRICS),
         "axis_extents": _q(f"SELECT {block8}, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z, {', '.join(_r4(f'avg({a})', f'mean_{a}') for a in 'xyz')} FROM pts GROUP BY 1, 2, 3, 4"),
+        "block_records": _q(
+            f"SELECT m.frame_id, m.bx, m.b_y, m.bz, n, {', '.join(_r4(m, m) for m in ('m1', 'm2', 'm3', 'm4'))}, coalesce(n_edges, 0) AS n_edges, {_r4('coalesce(degree_sum, 0e0)', 'degree_sum')}, coalesce(reach, 0) AS reach, place AS selfloop_vertex FROM metrics m LEFT JOIN links k ON m.frame_id = k.frame_id AND m.bx = k.bx AND m.b_y = k.b_y AND m.bz = k.bz LEFT JOIN looped o ON m.frame_id = o.frame_id AND m.bx = o.bx AND m.b_y = o.b_y AND m.bz = o.bz",
+            edges=8, more=_RECORDS,
+        ),
+        "view_checks": _q(f"SELECT frame_id, count(*) AS n, 0::BIGINT AS n_null, count(*) FILTER (least(x, y, z) < 0 OR greatest(x, y, z) >= {_N // 2}) AS n_outside, count(*) - count(DISTINCT (x, y, z)) AS n_repeated FROM pts GROUP BY frame_id"),
     }

@@ -220,11 +220,24 @@ def coeff_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewdata.coeff_magnitudes(ragft.block_gft(plain, 4), ragft.block_gft(plain, 4, features.selfloop_vertices(own, 4)))
 
 
+def block_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and sums of each block's record."""
+    rows = features.block_records(cloud(spark, sf_dir), 8)
+    degree = F.aggregate("points", F.lit(0.0), lambda s, p: s + p["degree"])
+    far = F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s + (e["j"] - e["i"]) * (e["j"] - e["i"]))
+    return rows.select(*KEYS, "n", *[r4(m).alias(m) for m in ("m1", "m2", "m3", "m4")], F.size("edges").cast("long").alias("n_edges"), r4(degree).alias("degree_sum"), far.alias("reach"), F.col("selfloop_vertex").cast("long").alias("selfloop_vertex"))
+
+
+def view_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxel.violations(points(spark, sf_dir), DEPTH - 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         rgb_to_yuv, yuv_roundtrip, voxel_blocks, block_boundaries, q_pyramid, dc_pyramid, neighbor_edges, edge_weights_luma, edge_weights_bilateral, gaussian_weights,
         vertex_degree, laplacian_triples, selfloop_laplacian, block_metrics, gradient_direction, mean_direction, mean_arrow, selfloop_vertex, block_energy, block_spectrum_trace,
         laplacian_quadratic_form, components, component_centroids, complete_graph_weights, ragft_forward, ragft_roundtrip, quantized_dc, psnr_dc, psnr_by_step, rate_distortion,
         feature_norms, nearest_centroid, topk_per_centroid, cluster_sizes, kmeans_blocks, gradient_histogram, sorted_blocks, axis_extents, coeff_compare,
+        block_records, view_checks,
     )
     return {f.__name__: f for f in own}
