@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import decontam, html, licenses, linededup, ngramjoin, pii, quality, spm, toxicity, urlgraph
+from voxloom.llm import decontam, html, licenses, linededup, ngramjoin, ordersketch, pii, quality, spm, toxicity, urlgraph
 from voxloom.llm.common import crc32_of_id, table
 
 
@@ -67,6 +67,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordersketch.edited_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,5 +78,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_sentencepiece, op3_pii, op4_line_dedup, op5_toxicity, op6_html, op7_licenses, op8_decontamination, op9_urls, op10_ngram_join, pipeline)
+    own = (op1_quality, op2_sentencepiece, op3_pii, op4_line_dedup, op5_toxicity, op6_html, op7_licenses, op8_decontamination, op9_urls, op10_ngram_join, op13_order_minhash, pipeline)
     return {f.__name__: f for f in own}
