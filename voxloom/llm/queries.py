@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import decontam, html, licenses, linededup, ngramjoin, ordersketch, pii, quality, spm, toxicity, urlgraph, whitening
+from voxloom.llm import decontam, html, licenses, linededup, ngramjoin, ordersketch, pii, quality, spm, toxicity, trie, urlgraph, whitening
 from voxloom.llm.common import crc32_of_id, table
 
 
@@ -71,6 +71,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordersketch.edited_report(table(spark, sf_dir, "documents"))
 
@@ -82,5 +86,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_sentencepiece, op3_pii, op4_line_dedup, op5_toxicity, op6_html, op7_licenses, op8_decontamination, op9_urls, op10_ngram_join, op11_whitening, op13_order_minhash, pipeline)
+    own = (op1_quality, op2_sentencepiece, op3_pii, op4_line_dedup, op5_toxicity, op6_html, op7_licenses, op8_decontamination, op9_urls, op10_ngram_join, op11_whitening, op12_prefix_trie, op13_order_minhash, pipeline)
     return {f.__name__: f for f in own}
