@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.color import dequantise, quantise
+from voxloom.functions.space import BLOCK, morton
 
 COLUMNS = ("c0", "c1", "c2")
 
@@ -28,66 +35,206 @@ def distortion(coeffs: DataFrame, steps: tuple[int, ...], column: str = "c0", by
     return out.withColumn("psnr", F.when(F.col("mse") > 0, -10.0 * F.log10("mse")))
 
 
+#: Values of the coder's two parameters, k of runs and kr of magnitudes, both kept in quarters.
+_TOP = 120
+_STATES = (_TOP + 1) ** 2
+#: Parameters that a channel starts with.
+_START = (0, 8)
+#: Coefficients of a segment.
+SEGMENT = 1 << 16
+
+Token = tuple[int, int]
+
+
+def _coded(kp: int, krp: int, zeros: int, value: int | None) -> tuple[int, int, int]:
+    """(k, kr, bits) after a run of zeros and the value that ends it (None: the channel ends)."""
+    bits = 0
+    while zeros:
+        k = kp >> 2
+        if not k:
+            bits, krp, kp, zeros = bits + 1 + (krp >> 2), max(0, krp - 2), kp + 3, zeros - 1
+        elif zeros >> k:
+            bits, kp, zeros = bits + 1, min(_TOP, kp + 4), zeros - (1 << k)
+        else:
+            break
+    k = kp >> 2
+    if value is None:
+        return kp, krp, bits + (1 + k if zeros else 0)
+    u = 2 * value if value >= 0 else -2 * value - 1
+    u, bits = (u - 1, bits + 1 + k) if k else (u, bits)
+    p = u >> (krp >> 2)
+    bits += p + 1 + (krp >> 2)
+    krp = max(0, krp - 2) if p == 0 else min(_TOP, krp + p + 1) if p > 1 else krp
+    return max(0, kp - (6 if k else 1)), krp, bits
+
+
+def tokens(values: np.ndarray) -> tuple[list[Token], int]:
+    """((zeros before, value) of each value that is not 0, zeros at the end)."""
+    at = np.flatnonzero(values)
+    gaps = np.diff(np.concatenate([[-1], at])) - 1
+    return list(zip(gaps.tolist(), values[at].tolist(), strict=True)), int(len(values) - (at[-1] + 1 if len(at) else 0))
+
+
 def run_length_bits(values: list[int]) -> int:
     """Length in bits of an adaptive run-length and Golomb-Rice code of a sequence.
 
     The parameters k (runs) and kr (magnitudes) are kept in quarters and follow the
     values; they are this code's own choice after the published scheme.
     """
-    kp, krp, bits, i, n = 0, 8, 0, 0, len(values)
+    each, tail = tokens(np.asarray(values, np.int64))
+    kp, krp = _START
+    total = 0
+    for zeros, value in each:
+        kp, krp, bits = _coded(kp, krp, zeros, value)
+        total += bits
+    return total + _coded(kp, krp, tail, None)[2]
 
-    def rice(u: int) -> int:
-        nonlocal krp
-        p = u >> (krp >> 2)
-        cost = p + 1 + (krp >> 2)
-        krp = max(0, krp - 2) if p == 0 else min(120, krp + p + 1) if p > 1 else krp
-        return cost
 
-    while i < n:
-        k = kp >> 2
-        if not k:
-            u = 2 * values[i] if values[i] >= 0 else -2 * values[i] - 1
-            bits += rice(u)
-            kp = kp + 3 if u == 0 else max(0, kp - 1)
-            i += 1
+def transition(each: list[Token]) -> tuple[np.ndarray, np.ndarray]:
+    """(state after, bits) of tokens for every state (k * 121 + kr) that the coder may be in before them.
+
+    All states are carried on together; those that have become equal go on as one, and
+    once one is left it goes on alone.
+    """
+    kp, krp = np.divmod(np.arange(_STATES), _TOP + 1)
+    of, base, bits = np.arange(_STATES), np.zeros(_STATES, np.int64), np.zeros(_STATES, np.int64)
+    done = 0
+    while done < len(each) and len(kp) > 1:
+        for zeros, value in each[done : done + 4]:
+            left = np.full(len(kp), zeros)
+            while True:
+                k = kp >> 2
+                plain, run = (left > 0) & (k == 0), (left > 0) & (k > 0) & (left >> np.minimum(k, 62) > 0)
+                if not (plain | run).any():
+                    break
+                bits = bits + np.where(plain, 1 + (krp >> 2), run)
+                krp = np.where(plain, np.maximum(0, krp - 2), krp)
+                left = left - np.where(plain, 1, np.where(run, 1 << np.where(run, k, 0), 0))
+                kp = np.where(plain, kp + 3, np.where(run, np.minimum(_TOP, kp + 4), kp))
+            k, u = kp >> 2, 2 * value if value >= 0 else -2 * value - 1
+            u = np.where(k > 0, u - 1, u)
+            p = u >> (krp >> 2)
+            bits = bits + np.where(k > 0, 1 + k, 0) + p + 1 + (krp >> 2)
+            krp = np.where(p == 0, np.maximum(0, krp - 2), np.where(p > 1, np.minimum(_TOP, krp + p + 1), krp))
+            kp = np.maximum(0, kp - np.where(k > 0, 6, 1))
+        done = min(len(each), done + 4)
+        names, first, back = np.unique(kp * (_TOP + 1) + krp, return_index=True, return_inverse=True)
+        base, bits = base + bits[of], np.zeros(len(names), np.int64)
+        of, kp, krp = back[of], kp[first], krp[first]
+    base = base + bits[of]
+    if done < len(each):
+        a, b, total = int(kp[0]), int(krp[0]), 0
+        for zeros, value in each[done:]:
+            a, b, more = _coded(a, b, zeros, value)
+            total += more
+        return np.full(_STATES, a * (_TOP + 1) + b), base + total
+    return (kp * (_TOP + 1) + krp)[of], base
+
+
+def _segment(values: np.ndarray, starts: bool) -> dict[str, object]:
+    """What is to be known of a segment: its leading zeros and first other value, its zeros at the end, and the transition between.
+
+    A segment that starts a channel needs no more than the one state after its last token.
+    """
+    each, tail = tokens(values)
+    if starts or not each:
+        kp, krp = _START
+        total = 0
+        for zeros, value in each:
+            kp, krp, bits = _coded(kp, krp, zeros, value)
+            total += bits
+        return {"lead": 0, "value": None, "tail": tail, "state": kp * (_TOP + 1) + krp, "bits": total, "after": None, "sizes": None}
+    after, sizes = transition(each[1:])
+    pack = lambda x: zlib.compress(x.astype("<i8").tobytes(), 1)
+    return {"lead": each[0][0], "value": each[0][1], "tail": tail, "state": None, "bits": None, "after": pack(after), "sizes": pack(sizes)}
+
+
+def combined(segments: list[dict[str, object]]) -> int:
+    """Bits of a channel from its segments in order."""
+    (kp, krp), zeros, total = _START, 0, 0
+    for i, s in enumerate(segments):
+        if s["value"] is None:
+            # The first segment, or one of zeros alone.
+            if i == 0 and s["state"] is not None:
+                (kp, krp), total = divmod(s["state"], _TOP + 1), s["bits"]
+            zeros += s["tail"]
             continue
-        run = 0
-        while i < n and run < 1 << k and values[i] == 0:
-            run, i = run + 1, i + 1
-        if run == 1 << k:
-            bits += 1
-            kp = min(120, kp + 4)
-        elif i < n:
-            u = 2 * values[i] if values[i] >= 0 else -2 * values[i] - 1
-            bits += 1 + k + rice(u - 1)
-            kp = max(0, kp - 6)
-            i += 1
-        else:
-            bits += 1 + k
-    return bits
+        kp, krp, bits = _coded(kp, krp, zeros + s["lead"], s["value"])
+        after, sizes = (np.frombuffer(zlib.decompress(s[c]), "<i8") for c in ("after", "sizes"))
+        state = kp * (_TOP + 1) + krp
+        total += bits + int(sizes[state])
+        (kp, krp), zeros = divmod(int(after[state]), _TOP + 1), s["tail"]
+    return total + _coded(kp, krp, zeros, None)[2]
+
+
+_PARTS = "frame_id int, step int, channel int, place long, lead long, value long, tail long, state long, bits long, after binary, sizes binary, n long, error double"
+
 
+def ordered(coeffs: DataFrame, bits: int = 16) -> DataFrame:
+    """coeffs sorted over all tasks as a frame's channel is coded: lowest coefficients, then the levels from the coarsest, each in Morton order of its blocks."""
+    group = F.when(F.col("k") == 0, 0).otherwise(F.col("level"))
+    keyed = coeffs.withColumn("__group", group).withColumn("__m", morton(bits, BLOCK))
+    order = ("frame_id", "__group", "__m", "k")
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__m", "__group")
 
-def coded_bytes(coeffs: DataFrame, steps: tuple[int, ...], columns: tuple[str, ...] = COLUMNS, slab_bits: int = 12) -> DataFrame:
-    """(frame_id, step, bytes): size of all channels, coded in slabs.
 
-    A slab is the coefficients of one level whose block key falls into one of
-    2^slab_bits hash classes: bounded work a task, with a code that starts anew in
-    each slab.
+def channel_sizes(coeffs: DataFrame, steps: tuple[int, ...], columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(frame_id, step, channel, n, error, bytes): each channel of a frame coded as one sequence, and the squared error of its quantised values.
+
+    Tasks code segments of the sorted coefficients for every state that the coder may be in
+    at their beginning; one row a segment meets the others of its channel, and
+    these are chained in order. The sizes are those of the sequential coder.
     """
-    slab = F.pmod(F.xxhash64("level", F.shiftright("bx", 3), F.shiftright("b_y", 3), F.shiftright("bz", 3)), F.lit(1 << slab_bits))
-    rows = with_steps(coeffs.select("frame_id", "level", "bx", "b_y", "bz", "k", *columns), steps).withColumn("slab", slab)
-    rows = rows.withColumns({c: quantise(F.col(c), F.col("step")).cast("long") for c in columns})
 
-    def size(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["level", "k", "bx", "b_y", "bz"])
-        bits = sum(run_length_bits(pdf[c].tolist()) for c in columns)
-        return pd.DataFrame({"frame_id": [pdf["frame_id"].iloc[0]], "step": [pdf["step"].iloc[0]], "bytes": [(bits + 7) // 8]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, seen = TaskContext.get().partitionId(), 0, None
+        held: list[np.ndarray] = []
+
+        def told(rows: np.ndarray, starts: bool) -> Iterator[pa.RecordBatch]:
+            out = []
+            for step in steps:
+                # Halves go away from zero, as in quantise.
+                q = np.sign(rows[:, 1:]) * np.floor(np.abs(rows[:, 1:]) / step + 0.5)
+                for c in range(len(columns)):
+                    error = float(np.square(rows[:, 1 + c] - q[:, c] * step).sum())
+                    out.append({"frame_id": int(rows[0, 0]), "step": step, "channel": c, "place": part << 32 | number, "n": len(rows), "error": error, **_segment(q[:, c].astype(np.int64), starts)})
+            yield pa.RecordBatch.from_pylist(out, _schema(_PARTS))
+
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(np.stack([batch.column(c).to_numpy().astype(np.float64) for c in ("frame_id", *columns)], 1))
+            while held and (batch is None or sum(map(len, held)) >= SEGMENT):
+                rows = np.concatenate(held)
+                cut = min(SEGMENT, int(np.searchsorted(rows[:, 0], rows[0, 0], side="right")))
+                # Behind another frame's rows, a frame begins here; the partition's first may have begun before.
+                yield from told(rows[:cut], seen is not None and seen != rows[0, 0])
+                seen, number, held = rows[0, 0], number + 1, [rows[cut:]] if cut < len(rows) else []
+
+    parts = ordered(coeffs).select("frame_id", *columns).mapInArrow(run, _PARTS)
+
+    def chained(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+        out = {"frame_id": rows[0]["frame_id"], "step": rows[0]["step"], "channel": rows[0]["channel"], "n": sum(r["n"] for r in rows), "error": sum(r["error"] for r in rows), "bytes": (combined(rows) + 7) // 8}
+        return pa.Table.from_pylist([out], _schema(_SIZES))
+
+    return parts.groupBy("frame_id", "step", "channel").applyInArrow(chained, _SIZES)
+
+
+_SIZES = "frame_id int, step int, channel int, n long, error double, bytes long"
+
+
+def _schema(text: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in text.split(", ")])
+
 
-    each = rows.groupBy("frame_id", "step", "slab").applyInPandas(size, "frame_id int, step int, bytes long")
-    return each.groupBy("frame_id", "step").agg(F.sum("bytes").alias("bytes"))
+def coded_bytes(coeffs: DataFrame, steps: tuple[int, ...], columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(frame_id, step, bytes): size of all channels."""
+    return channel_sizes(coeffs, steps, columns).groupBy("frame_id", "step").agg(F.sum("bytes").alias("bytes"))
 
 
 def rate_distortion(coeffs: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    """(frame_id, step, nvox, mse, psnr, bytes)."""
-    d = distortion(coeffs, steps).withColumnRenamed("n", "nvox")
-    return d.join(coded_bytes(coeffs, steps), ["frame_id", "step"])
+    """(frame_id, step, nvox, mse, psnr, bytes), from one pass over the sorted coefficients."""
+    first = lambda c: F.sum(F.when(F.col("channel") == 0, F.col(c)))
+    out = channel_sizes(coeffs, steps).groupBy("frame_id", "step").agg(first("n").alias("nvox"), (first("error") / (first("n") * (255.0 * 255.0))).alias("mse"), F.sum("bytes").alias("bytes"))
+    return out.select("frame_id", "step", "nvox", "mse", F.when(F.col("mse") > 0, -10.0 * F.log10("mse")).alias("psnr"), "bytes")

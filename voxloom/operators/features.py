@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.space import AXES, block_of
-from voxloom.operators.graph import KEYS, degrees, distance, neighbour_edges, weight_inverse
+from voxloom.operators.graph import KEYS, distance, neighbour_edges, weight_inverse
 from voxloom.operators.voxel import CHANNELS
 
 JUMP = 0.02
@@ -17,29 +17,38 @@ def block_metrics(points: DataFrame, size: int) -> DataFrame:
 
     One sample has deviation 0; a block without differences has null m1 and m2.
     """
-    edges = neighbour_edges(points, size)
-    g = edges.select(*KEYS, (F.abs(F.col("n_cy") - F.col("cy")) / 256.0).alias("g")).where("g <> 0")
-    of_edges = g.groupBy(*KEYS).agg(F.avg("g").alias("m1"), F.when(F.count("*") == 1, 0.0).otherwise(F.stddev_samp("g")).alias("m2"))
-    of_points = points.groupBy("frame_id", *block_of(size)).agg(F.count("*").alias("n"), F.avg("cy").alias("m3"), F.when(F.count("*") == 1, 0.0).otherwise(F.stddev_samp("cy")).alias("m4"))
-    return of_points.join(of_edges, list(KEYS), "left").select(*KEYS, "n", "m1", "m2", "m3", "m4")
+    edges = neighbour_edges(points, size, itself=True)
+    g = F.abs(F.col("n_cy") - F.col("cy")) / 256.0
+    g, own = F.when((F.col("d2") > 0) & (g != 0), g), F.when(F.col("d2") == 0, F.col("cy"))
+    deviation = lambda c: F.when(F.count(c) == 1, 0.0).otherwise(F.stddev_samp(c))
+    of_block = edges.select(*KEYS, g.alias("g"), own.alias("own")).groupBy(*KEYS)
+    return of_block.agg(F.count("own").alias("n"), F.avg("g").alias("m1"), deviation("g").alias("m2"), F.avg("own").alias("m3"), deviation("own").alias("m4"))
 
 
-def directions(points: DataFrame, size: int) -> DataFrame:
-    """(keys, x, y, z, weight, ux, uy, uz): where each vertex's steepest luminance jump points, zero without one above JUMP.
+def vertices(points: DataFrame, size: int) -> DataFrame:
+    """(keys, x, y, z, near, degree, jump): of each point, sums of 1/d and of 2/d over its edges, and its jump with its end.
 
     The jump of a vertex is the least luminance difference towards a neighbour
     (its own luminance less the neighbour's); of equal ones the first neighbour
-    in (x, y, z) order counts.
+    in (x, y, z) order counts. It is null for a point without neighbours.
     """
     # In steps of a millionth, so that equal jumps are equal whatever the order of their sums.
     diff = F.floor((F.col("cy") - F.col("n_cy")) / 256.0 * 1e6 + 0.5) / 1e6
-    best = neighbour_edges(points, size).select(*KEYS, *AXES, "d2", F.struct(diff.alias("g"), "nx", "ny", "nz", "d2").alias("s"))
-    best = best.groupBy(*KEYS, *AXES).agg(F.min("s").alias("s")).where(F.abs("s.g") > JUMP).where("s.g < 0")
-    unit = [((F.col(a) - F.col(f"s.n{a}")) / F.sqrt(F.col("s.d2").cast("double"))).alias(f"u{a}") for a in AXES]
-    found = best.select("frame_id", *AXES, F.abs("s.g").alias("weight"), *unit)
-    own = points.select("frame_id", *AXES, *block_of(size))
-    joined = own.join(found, ["frame_id", *AXES], "left")
-    return joined.select(*KEYS, *AXES, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("weight", "ux", "uy", "uz")])
+    there = F.col("d2") > 0
+    rows = neighbour_edges(points, size, itself=True).select(*KEYS, *AXES, F.when(there, distance()).alias("d"), F.when(there, F.struct(diff.alias("g"), "nx", "ny", "nz", "d2")).alias("s"))
+    return rows.groupBy(*KEYS, *AXES).agg(F.coalesce(F.sum(1.0 / F.col("d")), F.lit(0.0)).alias("near"), F.coalesce(F.sum(2.0 / F.col("d")), F.lit(0.0)).alias("degree"), F.min("s").alias("jump"))
+
+
+def _pointed(rows: DataFrame) -> DataFrame:
+    """rows of vertices with weight and unit direction of the jumps, zero without one above JUMP."""
+    steep = (F.abs("jump.g") > JUMP) & (F.col("jump.g") < 0)
+    unit = {f"u{a}": F.when(steep, (F.col(a) - F.col(f"jump.n{a}")) / F.sqrt(F.col("jump.d2").cast("double"))).otherwise(0.0) for a in AXES}
+    return rows.withColumns({"weight": F.when(steep, F.abs("jump.g")).otherwise(0.0), **unit})
+
+
+def directions(points: DataFrame, size: int) -> DataFrame:
+    """(keys, x, y, z, weight, ux, uy, uz): where each vertex's steepest luminance jump points, zero without one above JUMP."""
+    return _pointed(vertices(points, size)).select(*KEYS, *AXES, "weight", "ux", "uy", "uz")
 
 
 def mean_direction(directed: DataFrame) -> DataFrame:
@@ -49,6 +58,20 @@ def mean_direction(directed: DataFrame) -> DataFrame:
     return m.select(*KEYS, *[F.try_divide(F.col(f"s{a}"), norm).alias(f"m{a}") for a in AXES])
 
 
+def _loops(rows: DataFrame) -> DataFrame:
+    """(keys, x, y, z): the vertex of each block for a self loop, from rows of vertices."""
+    block = Window.partitionBy(*KEYS)
+    known = _pointed(rows).withColumn("near", F.round("near", 6))
+    sums = {f"s{a}": F.try_divide(F.sum(F.col("weight") * F.col(f"u{a}")).over(block), F.sum("weight").over(block)) for a in AXES}
+    ranked = known.select("*", F.row_number().over(block.orderBy("near", *AXES)).alias("pos"), F.count("*").over(block).alias("n"), *[F.avg(a).over(block).alias(f"g{a}") for a in AXES], *[c.alias(n) for n, c in sums.items()])
+    norm = F.sqrt(sum(F.col(f"s{a}") * F.col(f"s{a}") for a in AXES))
+    low = ranked.where("pos <= round(0.2D * n)").select("*", *[F.try_divide(F.col(f"s{a}"), norm).alias(f"m{a}") for a in AXES])
+    dot = F.round(sum((F.col(a) - F.col(f"g{a}")) * F.col(f"m{a}") for a in AXES), 6)
+    # An unknown direction sorts as equal: the position then decides.
+    chosen = low.groupBy(*KEYS).agg(F.min(F.struct(F.coalesce(dot, F.lit(0.0)).alias("dot"), "pos", *AXES)).alias("s"))
+    return chosen.select(*KEYS, *[F.col(f"s.{a}").alias(a) for a in AXES])
+
+
 def selfloop_vertices(points: DataFrame, size: int) -> DataFrame:
     """(keys, x, y, z): at most one vertex of a block for a self loop.
 
@@ -57,17 +80,7 @@ def selfloop_vertices(points: DataFrame, size: int) -> DataFrame:
     direction, the one of least degree. Blocks of which a fifth rounds to 0 have
     none. Ties go by (x, y, z).
     """
-    own = points.select("frame_id", *AXES, *block_of(size))
-    deg = degrees(neighbour_edges(points, size), 1.0 / distance())
-    ranked = own.join(deg.select("frame_id", *AXES, "degree"), ["frame_id", *AXES], "left").withColumn("degree", F.round(F.coalesce("degree", F.lit(0.0)), 6))
-    block = Window.partitionBy(*KEYS)
-    ranked = ranked.select("*", F.row_number().over(block.orderBy("degree", *AXES)).alias("pos"), F.count("*").over(block).alias("n"), *[F.avg(a).over(block).alias(f"g{a}") for a in AXES])
-    low = ranked.where("pos <= round(0.2D * n)")
-    aimed = low.join(mean_direction(directions(points, size)), list(KEYS))
-    dot = F.round(sum((F.col(a) - F.col(f"g{a}")) * F.col(f"m{a}") for a in AXES), 6)
-    # An unknown direction sorts as equal: the position then decides.
-    chosen = aimed.groupBy(*KEYS).agg(F.min(F.struct(F.coalesce(dot, F.lit(0.0)).alias("dot"), "pos", *AXES)).alias("s"))
-    return chosen.select(*KEYS, *[F.col(f"s.{a}").alias(a) for a in AXES])
+    return _loops(vertices(points, size))
 
 
 def block_records(points: DataFrame, size: int) -> DataFrame:
@@ -77,11 +90,10 @@ def block_records(points: DataFrame, size: int) -> DataFrame:
     by places in points, in order; selfloop_vertex: a place in points, or null. A row holds
     at most size^3 points and 26 edges a point.
     """
-    edges = neighbour_edges(points, size)
-    degree = degrees(edges, weight_inverse()).select("frame_id", *AXES, "degree")
-    own = points.select("frame_id", *AXES, *CHANNELS, *block_of(size)).join(degree, ["frame_id", *AXES], "left").fillna(0.0, ["degree"])
-    voxels = own.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(*AXES, *CHANNELS, "degree"))).alias("points"))
-    ends = edges.groupBy(*KEYS).agg(F.collect_list(F.struct(F.struct(*AXES).alias("a"), F.struct(*[F.col(f"n{a}").alias(a) for a in AXES]).alias("b"), weight_inverse().alias("w"))).alias("ends"))
+    edges = neighbour_edges(points, size, CHANNELS, itself=True)
+    degree = F.sum(F.when(F.col("d2") > 0, weight_inverse()).otherwise(0.0)).alias("degree")
+    voxels = edges.groupBy(*KEYS, *AXES, *CHANNELS).agg(degree).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(*AXES, *CHANNELS, "degree"))).alias("points"))
+    ends = edges.where("d2 > 0").groupBy(*KEYS).agg(F.collect_list(F.struct(F.struct(*AXES).alias("a"), F.struct(*[F.col(f"n{a}").alias(a) for a in AXES]).alias("b"), weight_inverse().alias("w"))).alias("ends"))
     loops = selfloop_vertices(points, size).select(*KEYS, F.struct(*AXES).alias("loop"))
     rows = block_metrics(points, size).join(voxels, list(KEYS)).join(ends, list(KEYS), "left").join(loops, list(KEYS), "left")
     rows = rows.withColumn("places", F.transform("points", lambda p: F.struct(*[p[a].alias(a) for a in AXES])))
