@@ -104,7 +104,7 @@ def test_stream_of_frames(spark, tmp_path):
 SQL = oracles.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["dc_pyramid", "block_boundaries", "gaussian_weights", "selfloop_laplacian", "mean_arrow", "block_energy", "block_spectrum_trace", "complete_graph_weights", "ragft_roundtrip", "psnr_dc", "topk_per_centroid"])
+@pytest.mark.parametrize("name", ["dc_pyramid", "block_boundaries", "gaussian_weights", "selfloop_laplacian", "mean_arrow", "block_energy", "block_spectrum_trace", "complete_graph_weights", "ragft_roundtrip", "psnr_dc", "topk_per_centroid", "coefficient_order", "ragft_levels", "block_study", "cluster_members", "arrow_anchors", "block_records"])
 def test_queries_match_sql(spark, small, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{small}/lineitem.parquet'")
@@ -186,5 +186,79 @@ def test_sweep_of_two_frames(spark, tmp_path):
     assert all(r["seconds"] > 0 and r["bytes"] > 0 for r in rd)
     of = {(r["experiment"], r["frame"], r["step"]): (r["mse"], r["bytes"]) for r in rd}
     assert all(of[e, f, 1][0] < of[e, f, 16][0] and of[e, f, 1][1] > of[e, f, 16][1] for e, f, _ in of)
-    with pytest.raises(ValueError):
-        sweep.run(spark, [("MVUB", "phil9", "exp4_b2", [2] * 9, True)], [1], str(tmp_path / "rd"), str(tmp_path))
+
+
+def test_runs_share_levels(spark):
+    from voxloom.plans import shared, sweep
+
+    r = np.random.default_rng(3)
+    points = spark.createDataFrame([(int(f), *map(int, p), *map(int, r.integers(0, 256, 3))) for f in (0, 1) for p in np.unique(np.concatenate([r.integers(0, 256, (60, 3)), 100 + r.integers(0, 9, (250, 3))]), axis=0)], "frame_id int, x long, y long, z long, red int, green int, blue int")
+    runs = [shared.Run("exp1_b2", (2,) * 8), shared.Run("exp1_b4", (2,) * 6 + (4,)), shared.Run("exp2_b44", (2, 2, 2, 2, 4, 4)), shared.Run("exp_zhang_b8", 8, False), shared.Run("exp4_b4", (2,) * 6 + (4,), graph="gaussian")]
+    levels = shared.distinct_levels(runs, 8)
+    # Of 8 + 7 + 6 + 1 + 7 levels, the twos on 2/d above the finest fours are those of the first run.
+    assert len(levels) == 8 + 1 + 1 + 1 + 7
+    own = voxel.with_yuv(points)
+    got = shared.run_coefficients(own, runs, 8).cache()
+    for number, run in enumerate(runs):
+        alone = ragft.forward(own, list(run.bsize) if isinstance(run.bsize, tuple) else run.bsize, 8, run.multilevel, graph=run.graph)
+        a, b = (np.array(sorted(map(tuple, x.select(alone.columns).collect())), float) for x in (alone, got.where(f"run = {number}")))
+        assert a.shape == b.shape and np.allclose(a[:, :6], b[:, :6]) and np.allclose(np.abs(a[:, 6:]), np.abs(b[:, 6:]), atol=1e-6)
+    rd = {(x["experiment"], x["frame"]): x for x in sweep.measure_together(points, runs, 8, (4,)).collect()}
+    one = {x["frame"]: x for x in sweep.measure(points, "exp4_b4", [2] * 6 + [4], 8, True, (4,)).collect()}
+    assert len(rd) == 10 and all(rd["exp4_b4", f]["bytes"] == one[f]["bytes"] for f in (0, 1)) and rd["exp4_b4", 0]["mse"] != rd["exp1_b4", 0]["mse"]
+
+
+def test_gaussian_graph_is_found_again(spark):
+    r = np.random.default_rng(6)
+    own = cloud(spark, np.unique(r.integers(0, 16, (300, 3)), axis=0).tolist())
+    coeffs, seen = ragft.observed(ragft.forward(own, [2, 2, 4], 4, graph="gaussian"))
+    back = ragft.inverse(coeffs, own, [2, 2, 4], 4, graph="gaussian").join(own, ["x", "y", "z"]).collect()
+    assert len(back) == own.count() and max(abs(b["c0"] - b["cy"]) + abs(b["c1"] - b["cu"]) for b in back) < 1e-6
+    coeffs.count()
+    assert seen.get["n_not_finite"] == seen.get["n_weight"] == seen.get["n_frequency"] == 0
+
+
+def test_pieces_are_whole_cells():
+    import pyarrow as pa
+
+    cells = np.repeat(np.arange(40), np.arange(40) % 7 + 1)
+    rows = {"frame_id": np.zeros(len(cells), np.int32), "cell_x": cells, "cell_y": cells * 0, "cell_z": cells * 0, "v": np.arange(len(cells))}
+    batches = [pa.RecordBatch.from_pydict({n: c[a : a + 9] for n, c in rows.items()}) for a in range(0, len(cells), 9)]
+    for points in (1, 5, 30, 10_000):
+        parts = list(ragft._pieces(iter(batches), points))
+        assert np.array_equal(np.concatenate([p["v"] for p in parts]), rows["v"])
+        assert all(a["cell_x"][-1] != b["cell_x"][0] for a, b in zip(parts, parts[1:]))
+        assert len(parts) > 3 or points > 20
+
+
+def test_stacked_components_match_single_blocks():
+    r = np.random.default_rng(9)
+    v = np.stack([np.unique(r.integers(0, 8, (40, 3)), axis=0)[:9] for _ in range(60)])
+    q = r.integers(1, 5, v.shape[:2]).astype(float)
+    rows, freq = spectral.block_basis(v, q)
+    for i in range(len(v)):
+        one, f = spectral.block_basis(v[i : i + 1], q[i : i + 1])
+        assert np.allclose(one[0], rows[i]) and np.allclose(f[0], freq[i])
+        assert np.allclose(rows[i] @ rows[i].T, np.eye(9), atol=1e-9) and np.allclose(rows[i, 0], np.sqrt(q[i] / q[i].sum()))
+
+
+@pytest.mark.parametrize("size", [2, 4, 8, 16, 32, 64])
+def test_neighbour_edges_of_any_block_size(spark, size):
+    from voxloom.operators import graph
+
+    r = np.random.default_rng(size)
+    p = np.unique(r.integers(0, 40, (900, 3)) // [1, 2, 2], axis=0)
+    own = cloud(spark, p.tolist())
+    y = {tuple(x): c for *x, c in own.select("x", "y", "z", "cy").collect()}
+    want = {(*a, *b) for a in y for d in np.ndindex(3, 3, 3) if d != (1, 1, 1) for b in [tuple(int(i + j - 1) for i, j in zip(a, d, strict=True))] if b in y and all(i // size == j // size for i, j in zip(a, b, strict=True))}
+    got = graph.neighbour_edges(own, size).collect()
+    assert len(got) == len(want) and {tuple(x[c] for c in ("x", "y", "z", "nx", "ny", "nz")) for x in got} == want
+    assert all(x["cy"] == y[x["x"], x["y"], x["z"]] and x["n_cy"] == y[x["nx"], x["ny"], x["nz"]] and x["d2"] == abs(x["x"] - x["nx"]) + abs(x["y"] - x["ny"]) + abs(x["z"] - x["nz"]) for x in got)
+
+
+def test_neighbour_edges_deal_points_once(spark):
+    from voxloom.operators import graph
+
+    own = cloud(spark, [[1, 2, 3], [1, 2, 4]])
+    plan = graph.degrees(graph.neighbour_edges(own, 8), graph.weight_inverse())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -45,17 +45,58 @@ def block_counts(points: DataFrame, size: int) -> DataFrame:
     return points.groupBy("frame_id", *block_of(size)).agg(F.count("*").alias("n"))
 
 
+#: Bits of a place by which ranges are told apart: at most 4,096 ranges a frame.
+RANGES = 12
+
+
+def running_totals(rows: DataFrame, by: tuple[str, ...], place: str, bits: int, n: str = "n") -> DataFrame:
+    """rows with ``before``: the sum of n over the rows of the same ``by`` at a smaller place (a number of that many bits).
+
+    Sums of ranges of places are added up first, a few rows for each ``by``; inside a range, its own
+    rows are added up, so no task sees more than a range of a frame.
+    """
+    own = rows.withColumn("__range", F.shiftright(place, max(0, bits - RANGES)))
+    sums = own.groupBy(*by, "__range").agg(F.sum(n).alias("__sum"))
+    sums = sums.withColumn("__start", F.sum("__sum").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__sum")).drop("__sum")
+    inside = Window.partitionBy(*by, "__range").orderBy(place)
+    return own.join(sums, [*by, "__range"]).withColumn("before", F.col("__start") + F.sum(n).over(inside) - F.col(n)).drop("__range", "__start")
+
+
 def block_boundaries(points: DataFrame, size: int, depth: int) -> DataFrame:
     """(frame_id, block, start_row, end_row) in Morton order, rows counted from 1.
 
     Counts of blocks are summed in Morton order of the blocks, which gives the
     row ranges of the sorted cloud without sorting its points. Frames are apart.
     """
-    shift = size.bit_length() - 1
-    counts = block_counts(points, size).withColumn("m", morton(depth - shift, BLOCK))
-    order = Window.partitionBy("frame_id").orderBy("m")
-    upto = F.sum("n").over(order)
-    return counts.select("frame_id", *BLOCK, (upto - F.col("n") + 1).alias("start_row"), upto.alias("end_row"))
+    bits = depth - (size.bit_length() - 1)
+    counts = running_totals(block_counts(points, size).withColumn("m", morton(bits, BLOCK)), ("frame_id",), "m", 3 * bits)
+    return counts.select("frame_id", *BLOCK, (F.col("before") + 1).alias("start_row"), (F.col("before") + F.col("n")).alias("end_row"))
+
+
+def coefficient_positions(points: DataFrame, sizes: list[int], depth: int) -> DataFrame:
+    """(frame_id, level, bx, b_y, bz, k, position): where each coefficient of the transform stands in its frame's channel, from 1.
+
+    The lowest coefficients come first, then the levels from the coarsest, each in Morton order of its blocks
+    and by k. Geometry alone gives the counts: a block of n cells has n - 1 coefficients beside the lowest.
+    sizes: finest first.
+    """
+    cells, out, shift = points.select("frame_id", *AXES), None, 0
+    for i, b in enumerate(sizes):
+        shift += b.bit_length() - 1
+        level, bits = len(sizes) - i, depth - shift
+        blocks = cells.groupBy("frame_id", *block_of(b)).agg(F.count("*").alias("n"))
+        keyed = blocks.withColumn("m", morton(bits, BLOCK)).withColumn("level", F.lit(level))
+        part = keyed.select("frame_id", "level", F.lit(level).alias("group"), *BLOCK, "m", F.lit(1).alias("k"), (F.col("n") - 1).alias("n")).where("n > 0")
+        out = part if out is None else out.unionByName(part)
+        if level == 1:
+            out = out.unionByName(keyed.select("frame_id", "level", F.lit(0).alias("group"), *BLOCK, "m", F.lit(0).alias("k"), F.lit(1).cast("long").alias("n")))
+        cells = blocks.select("frame_id", *[F.col(k).alias(a) for k, a in zip(BLOCK, AXES, strict=True)])
+    width = 3 * (depth - (sizes[0].bit_length() - 1))
+    placed = out.withColumn("place", F.shiftleft(F.col("group").cast("long"), width).bitwiseOR(F.col("m")))
+    counted = running_totals(placed, ("frame_id",), "place", width + len(sizes).bit_length())
+    # A lowest coefficient is alone with its k of 0; others count from 1.
+    each = counted.select("frame_id", "level", *BLOCK, "before", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return each.select("frame_id", "level", *BLOCK, (F.col("k") + F.col("i")).cast("int").alias("k"), (F.col("before") + F.col("i") + 1).alias("position"))
 
 
 def dc_pyramid(points: DataFrame, sizes: list[int], channels: tuple[str, ...] = CHANNELS) -> DataFrame:

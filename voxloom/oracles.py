@@ -82,6 +82,21 @@ links AS (
   FROM sent_from e JOIN placed p ON e.frame_id = p.frame_id AND e.nx = p.x AND e.ny = p.y AND e.nz = p.z GROUP BY ALL
 ), looped AS (SELECT p.* FROM loops l JOIN placed p ON l.frame_id = p.frame_id AND l.s.x = p.x AND l.s.y = p.y AND l.s.z = p.z)"""
 _PAIR = "frame_id, x, y, z, nx, ny, nz"
+_CELLS = ", ".join(f"cells{i} AS (SELECT frame_id, x // {2**i} AS x, y // {2**i} AS y, z // {2**i} AS z, count(*) AS q, {', '.join(f'sum({c}) / sqrt(count(*)) AS {c}' for c in ('cy', 'cu', 'cv'))} FROM cloud GROUP BY 1, 2, 3, 4)" for i in range(DEPTH + 1))
+
+
+def _morton(bits: int) -> str:
+    return " + ".join(f"((({v} >> {i}) & 1) << {3 * i + k})" for i in range(bits) for k, v in enumerate(("bz", "b_y", "bx"))) or "0"
+
+
+_BLOCKS = ", ".join(f"blocks{i} AS (SELECT frame_id, x // 2 AS bx, y // 2 AS b_y, z // 2 AS bz, count(*) AS n, {', '.join(f'sum({c} * {c}) AS e{j}, sum(sqrt(q) * {c}) / sqrt(sum(q)) AS d{j}' for j, c in enumerate(('cy', 'cu', 'cv')))} FROM cells{i} GROUP BY 1, 2, 3, 4)" for i in range(DEPTH))
+_COUNTS = "counts AS (" + " UNION ALL ".join(
+    [f"SELECT frame_id, 1 AS level, 0 AS grp, bx, b_y, bz, {_morton(0)} AS m, 0 AS k, 1 AS n FROM blocks{DEPTH - 1}"]
+    + [f"SELECT frame_id, {DEPTH - i} AS level, {DEPTH - i} AS grp, bx, b_y, bz, {_morton(DEPTH - 1 - i)} AS m, 1 AS k, n - 1 AS n FROM blocks{i} WHERE n > 1" for i in range(DEPTH)]
+) + ")"
+# All cells of a block of edge 2 are neighbours: the trace of Q^-1/2 L Q^-1/2 is the sum over ordered pairs of 2 / (d q).
+_TRACES = "traces AS (" + " UNION ALL ".join(f"SELECT a.frame_id, {DEPTH - i} AS level, sum(2e0 / sqrt(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z)) / a.q) AS trace FROM cells{i} a JOIN cells{i} b ON a.frame_id = b.frame_id AND a.x // 2 = b.x // 2 AND a.y // 2 = b.y // 2 AND a.z // 2 = b.z // 2 WHERE NOT (a.x = b.x AND a.y = b.y AND a.z = b.z) GROUP BY 1" for i in range(DEPTH)) + ")"
+_ENERGIES = "energies AS (" + " UNION ALL ".join(f"SELECT frame_id, {DEPTH - i} AS level, sum(n - {0 if i == DEPTH - 1 else 1}) AS n, {', '.join(f'sum(e{j} - d{j} * d{j}) AS energy{j}' for j in range(3))} FROM blocks{i} GROUP BY 1" for i in range(DEPTH)) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -90,8 +105,21 @@ def oracle_sql() -> dict[str, str]:
     block8 = "frame_id, x // 8 AS bx, y // 8 AS b_y, z // 8 AS bz"
     means = ", ".join(_r4(c, c) for c in ("mx", "my", "mz"))
     dev = "exp(-d2 / 2e0 - ((n_cy - cy) / 256e0) * ((n_cy - cy) / 256e0) / (2e0 * 0.1e0 * 0.1e0))"
-    morton = " + ".join(f"((({v} >> {i}) & 1) << {3 * i + k})" for i in range(DEPTH - 3) for k, v in enumerate(("bz", "b_y", "bx")))
+    morton = _morton(DEPTH - 3)
+    own = "o.frame_id = {0}.frame_id AND o.x = {0}.x AND o.y = {0}.y AND o.z = {0}.z"
     return {
+        "coefficient_order": _q("SELECT frame_id, CAST(level AS INTEGER) AS level, bx, b_y, bz, CAST(k + i AS INTEGER) AS k, CAST(before + i + 1 AS BIGINT) AS position FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY grp, m) - n AS before FROM counts))", more=f"{_CELLS}, {_BLOCKS}, {_COUNTS}"),
+        "ragft_levels": _q("SELECT e.frame_id, CAST(e.level AS INTEGER) AS level, CAST(e.n AS BIGINT) AS n, round(energy0, 1) AS energy0, round(energy1, 1) AS energy1, round(energy2, 1) AS energy2, round(coalesce(trace, 0e0), 2) AS trace FROM energies e LEFT JOIN traces t ON e.frame_id = t.frame_id AND e.level = t.level WHERE e.n > 0", more=f"{_CELLS}, {_BLOCKS}, {_ENERGIES}, {_TRACES}"),
+        "block_study": _q(
+            f"SELECT o.frame_id, o.bx, o.b_y, o.bz, count(*) AS n, round(sum(coalesce(p, 0e0)), 3) AS trace_plain, round(sum(coalesce(l, 0e0)), 3) AS trace_luma, round(sum(coalesce(p, 0e0)) + max(CASE WHEN s.s IS NULL THEN 0e0 ELSE 2e0 END), 3) AS trace_loop, {', '.join(f'round(sum(o.cy * o.cy), 1) AS energy_{g}' for g in ('plain', 'luma', 'loop'))} FROM own o LEFT JOIN degs g ON {own.format('g')} LEFT JOIN loops s ON s.frame_id = o.frame_id AND s.bx = o.bx AND s.b_y = o.b_y AND s.bz = o.bz GROUP BY 1, 2, 3, 4",
+            edges=4, more=_LOOPS + ", degs AS (SELECT frame_id, x, y, z, sum(2e0 / sqrt(d2)) AS p, sum(2e0 / (sqrt(d2) * (1e0 + abs(n_cy - cy) / 256e0))) AS l FROM edges GROUP BY ALL)",
+        ),
+        "first_vectors": _q("SELECT frame_id, x // 4 AS bx, y // 4 AS b_y, z // 4 AS bz, CAST(g AS INTEGER) AS graph, count(*) AS n, 1e0 AS length FROM pts, (VALUES (0), (1), (2)) v(g) GROUP BY 1, 2, 3, 4, 5"),
+        "cluster_members": _q(f"SELECT best.c AS cluster, m.frame_id, m.bx, m.b_y, m.bz, n, {', '.join(_r4(f'm.{m}', m) for m in ('m1', 'm2', 'm3', 'm4'))} FROM metrics m JOIN nearest b ON m.frame_id = b.frame_id AND m.bx = b.bx AND m.b_y = b.b_y AND m.bz = b.bz", edges=8, more=_NEAREST),
+        "arrow_anchors": _q(
+            f"SELECT r.frame_id, r.bx, r.b_y, r.bz, {', '.join(f'CASE WHEN m{a} < 0 THEN high_{a} ELSE low_{a} END AS a{a}' for a in 'xyz')}, {', '.join(_r4(f'm{a} * (high_{a} - low_{a} - 1)', f'm{a}') for a in 'xyz')} FROM reach r JOIN (SELECT frame_id, bx, b_y, bz, {', '.join(_r4(f'm{a}', f'm{a}') for a in 'xyz')} FROM means WHERE mx IS NOT NULL) m ON r.frame_id = m.frame_id AND r.bx = m.bx AND r.b_y = m.b_y AND r.bz = m.bz",
+            edges=8, more=_DIRECTED + ", reach AS (SELECT frame_id, bx, b_y, bz, " + ", ".join(f"min({a}) AS low_{a}, max({a}) AS high_{a}" for a in "xyz") + " FROM own GROUP BY ALL)",
+        ),
         "rgb_to_yuv": _q(f"SELECT frame_id, x, y, z, {yuv} FROM cloud"),
         "yuv_roundtrip": _q("SELECT frame_id, x, y, z, red, green, blue FROM pts"),
         "voxel_blocks": _q("SELECT frame_id, x // 4 AS bx, y // 4 AS b_y, z // 4 AS bz, count(*) AS n FROM pts GROUP BY 1, 2, 3, 4"),

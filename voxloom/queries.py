@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.color import yuv_to_rgb
 from voxloom.functions.space import AXES
-from voxloom.operators import codec, features, graph, ragft, viewdata, voxel
+from voxloom.operators import codec, features, graph, ragft, study, viewdata, voxel
 from voxloom.operators.graph import KEYS
 
 #: Octree depth of the view, and fixed centroids of the clustering queries (normalised m1, m2, m4).
@@ -228,6 +228,41 @@ def block_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEYS, "n", *[r4(m).alias(m) for m in ("m1", "m2", "m3", "m4")], F.size("edges").cast("long").alias("n_edges"), r4(degree).alias("degree_sum"), far.alias("reach"), F.col("selfloop_vertex").cast("long").alias("selfloop_vertex"))
 
 
+def coefficient_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxel.coefficient_positions(points(spark, sf_dir), [2] * DEPTH, DEPTH)
+
+
+def ragft_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL knows of the transform: of each frame and level the coefficients, their energy and the sum of their frequencies."""
+    c = ragft.forward(cloud(spark, sf_dir), [2] * DEPTH, DEPTH)
+    return c.groupBy("frame_id", "level").agg(F.count("*").alias("n"), *[F.round(F.sum(F.when(F.col("k") > 0, F.col(v) * F.col(v)).otherwise(0.0)), 1).alias(f"energy{i}") for i, v in enumerate(ragft.VALUES)], F.round(F.sum("freq"), 2).alias("trace"))
+
+
+def block_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the three bases of each block: sums of frequencies, energy of the coefficients, and how far the first vector of 2/d is from a constant."""
+    rows = study.block_bases(cloud(spark, sf_dir), 4).select(*KEYS, "graph", F.explode("rows").alias("r"))
+    of = lambda g, c: F.sum(F.when(F.col("graph") == g, c))
+    return rows.groupBy(*KEYS).agg(F.max(F.col("r.k") + 1).cast("long").alias("n"), *[F.round(of(g, F.col("r.freq")), 3).alias(f"trace_{n}") for g, n in enumerate(study.GRAPHS)], *[F.round(of(g, F.col("r.c0") * F.col("r.c0")), 1).alias(f"energy_{n}") for g, n in enumerate(study.GRAPHS)])
+
+
+def first_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared length and largest frequency-weighted entry of the first vector of each block and graph."""
+    found = study.first_vectors(study.block_bases(cloud(spark, sf_dir), 4))
+    return found.groupBy(*KEYS, "graph").agg(F.count("*").alias("n"), r4(F.sum(F.col("magnitude") * F.col("magnitude"))).alias("length"))
+
+
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each cluster with their records' sizes and features."""
+    near = features.nearest_centroid(_features(spark, sf_dir), CENTROIDS, ["m1", "m2", "m4"])
+    return study.cluster_members(features.block_metrics(cloud(spark, sf_dir), 8), near).select("cluster", *KEYS, "n", *[r4(m).alias(m) for m in ("m1", "m2", "m3", "m4")])
+
+
+def arrow_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cloud(spark, sf_dir)
+    means = features.mean_direction(features.directions(own, 8)).withColumns({f"m{a}": r4(f"m{a}") for a in AXES})
+    return study.arrow_anchors(own, means, 8).select(*KEYS, "ax", "ay", "az", *[r4(f"m{a}").alias(f"m{a}") for a in AXES])
+
+
 def view_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxel.violations(points(spark, sf_dir), DEPTH - 1)
 
@@ -238,6 +273,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         vertex_degree, laplacian_triples, selfloop_laplacian, block_metrics, gradient_direction, mean_direction, mean_arrow, selfloop_vertex, block_energy, block_spectrum_trace,
         laplacian_quadratic_form, components, component_centroids, complete_graph_weights, ragft_forward, ragft_roundtrip, quantized_dc, psnr_dc, psnr_by_step, rate_distortion,
         feature_norms, nearest_centroid, topk_per_centroid, cluster_sizes, kmeans_blocks, gradient_histogram, sorted_blocks, axis_extents, coeff_compare,
-        block_records, view_checks,
+        block_records, view_checks, coefficient_order, ragft_levels, block_study, first_vectors, cluster_members, arrow_anchors,
     )
     return {f.__name__: f for f in own}

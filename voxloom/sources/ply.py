@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.plans.catalog import frame_path
 
 HEADER_LINES = 200
+#: Properties of a vertex that are read.
+COLUMNS = ("x", "y", "z", "red", "green", "blue")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +30,11 @@ def read_header(spark: SparkSession, path: str, header_lines: int = HEADER_LINES
     skip: lines of elements between the header and the vertices.
     """
     lines = [r["value"] for r in numbered_lines(spark, path).where(F.col("line") < header_lines).orderBy("line").collect()]
+    return header_of(lines)
+
+
+def header_of(lines: list[str]) -> dict[str, object]:
+    """read_header of the first lines of a file."""
     out: dict[str, object] = {"vertices": 0, "faces": 0, "properties": [], "width": None, "lines": 0, "skip": 0}
     element, seen = "", 0
     for i, line in enumerate(lines):
@@ -48,7 +54,7 @@ def read_header(spark: SparkSession, path: str, header_lines: int = HEADER_LINES
             out["width"] = int(words[2])
         elif words[:1] == ["end_header"]:
             return out | {"lines": i + 1}
-    raise ValueError(f"no end_header in the first {header_lines} lines of {path}")
+    raise ValueError(f"no end_header in the first {len(lines)} lines")
 
 
 def read_ply(spark: SparkSession, path: str, frame_id: int = 0, header_lines: int = HEADER_LINES) -> DataFrame:
@@ -67,11 +73,49 @@ def read_ply(spark: SparkSession, path: str, frame_id: int = 0, header_lines: in
     )
 
 
+_HEAD = "frame_id int, first long, vertices long, places array<int>, problem string"
+
+
+def _parsed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The header of one file: its first line of vertices, their number, and the places of the columns; or what is wrong."""
+    frame, lines = pdf["frame_id"].iloc[0], pdf.sort_values("line")["value"].tolist()
+    try:
+        head = header_of(lines)
+        places = [head["properties"].index(n) for n in COLUMNS]
+        return pd.DataFrame({"frame_id": [frame], "first": [head["lines"] + head["skip"]], "vertices": [head["vertices"]], "places": [places], "problem": [None]})
+    except ValueError as e:
+        return pd.DataFrame({"frame_id": [frame], "first": [0], "vertices": [0], "places": [[]], "problem": [str(e)]})
+
+
+def read_frames(spark: SparkSession, paths: dict[int, str], header_lines: int = HEADER_LINES) -> DataFrame:
+    """(frame_id, x, y, z, red, green, blue) of many files (or folders of parts), by frame, in one scan.
+
+    Lines are numbered by file from the counts of the file's splits; every file has a header of its own, read in Spark. A bad header is an
+    error when rows are asked for. Names of files (the last part of a path) tell frames apart, so they must differ.
+    """
+    names = {path.rstrip("/").rpartition("/")[2]: frame for frame, path in paths.items()}
+    if len(names) < len(paths):
+        raise ValueError("two frames have files of one name")
+    lines = spark.read.text(list(paths.values())).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    steps = F.split("file", "/")
+    name = F.element_at(steps, -1)
+    # One row a frame: as many as are asked for.
+    known = F.broadcast(spark.createDataFrame(list(names.items()), "name string, frame_id int"))
+    own = lines.withColumn("name", F.when(F.element_at(steps, -2).isin(*names), F.element_at(steps, -2)).otherwise(name)).join(known, "name").drop("name")
+    splits = own.groupBy("frame_id", "file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = splits.withColumn("before", F.sum("n").over(Window.partitionBy("frame_id").orderBy("file", "at")) - F.col("n")).select("file", "at", "before", "first")
+    numbered = own.join(F.broadcast(before), ["file", "at"]).select("frame_id", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+    heads = numbered.where(F.col("line") < header_lines).groupBy("frame_id").applyInPandas(_parsed, _HEAD)
+    rows = numbered.join(F.broadcast(heads), "frame_id").where("problem IS NOT NULL OR line >= first AND line < first + vertices")
+    words = rows.select("frame_id", F.split(F.trim("value"), r"\s+").alias("w"), F.expr("IF(problem IS NULL, places, CAST(raise_error(problem) AS array<int>))").alias("p"))
+    at = {n: F.expr(f"w[p[{i}]]") for i, n in enumerate(COLUMNS)}
+    return words.select("frame_id", *[F.floor(at[a].cast("double")).cast("long").alias(a) for a in COLUMNS[:3]], *[at[c].cast("double").cast("int").alias(c) for c in COLUMNS[3:]])
+
+
 def load_frames(spark: SparkSession, dataset: str, sequence: str, frames: list[int], root: str = ".") -> tuple[DataFrame, int]:
     """(points of the frames of a catalogued sequence, counted from 1, as frame_id; their depth)."""
     paths = {f: frame_path(dataset, sequence, f, root) for f in frames}
-    clouds = [read_ply(spark, path, f) for f, (path, _) in paths.items()]
-    return reduce(DataFrame.unionByName, clouds), next(depth for _, depth in paths.values())
+    return read_frames(spark, {f: path for f, (path, _) in paths.items()}), next(depth for _, depth in paths.values())
 
 
 def depth_of(spark: SparkSession, path: str) -> int | None:
