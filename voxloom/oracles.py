@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from voxloom.functions.color import TO_YUV
 from voxloom.operators.voxel import ORDERS
-from voxloom.queries import CENTROIDS, DEPTH, STEPS
+from voxloom.queries import CENTROIDS, DEPTH, FINEST, STEPS
 
 _N = 1 << DEPTH
 _YUV = ", ".join(
@@ -99,6 +99,22 @@ _TRACES = "traces AS (" + " UNION ALL ".join(f"SELECT a.frame_id, {DEPTH - i} AS
 _ENERGIES = "energies AS (" + " UNION ALL ".join(f"SELECT frame_id, {DEPTH - i} AS level, sum(n - {0 if i == DEPTH - 1 else 1}) AS n, {', '.join(f'sum(e{j} - d{j} * d{j}) AS energy{j}' for j in range(3))} FROM blocks{i} GROUP BY 1" for i in range(DEPTH)) + ")"
 
 
+def _runs() -> str:
+    """Coefficients and energy of each level of each run: what its cells have beyond what its blocks keep as lowest coefficients."""
+    out = []
+    for run, finest in enumerate(FINEST):
+        bits = [b.bit_length() - 1 for b in reversed(finest)]
+        bits += [1] * (DEPTH - sum(bits))
+        for i, b in enumerate(bits):
+            low, high = sum(bits[:i]), sum(bits[: i + 1])
+            energy = ", ".join(f"round(a.e{j} - b.e{j}, 1) AS energy{j}" for j in range(3))
+            out.append(f"SELECT CAST({run} AS INTEGER) AS run, a.frame_id, CAST({len(bits) - i} AS INTEGER) AS level, a.n - {'0' if high == DEPTH else 'b.n'} AS n, {energy} FROM sums a JOIN sums b ON a.frame_id = b.frame_id WHERE a.i = {low} AND b.i = {high}")
+    return " UNION ALL ".join(out)
+
+
+_SUMS = "sums AS (" + " UNION ALL ".join(f"SELECT {i} AS i, frame_id, count(*) AS n, {', '.join(f'sum({c} * {c}) AS e{j}' for j, c in enumerate(('cy', 'cu', 'cv')))} FROM cells{i} GROUP BY 2" for i in range(DEPTH + 1)) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     energy = ", ".join(f"{_r4(f'sum({c}) / sqrt(count(*))', f'dc{i}')}, round(sum({c} * {c}), 2) AS energy{i}" for i, c in enumerate(("cy", "cu", "cv")))
     yuv = ", ".join(_r4(c, c) for c in ("cy", "cu", "cv"))
@@ -110,6 +126,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "coefficient_order": _q("SELECT frame_id, CAST(level AS INTEGER) AS level, bx, b_y, bz, CAST(k + i AS INTEGER) AS k, CAST(before + i + 1 AS BIGINT) AS position FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY grp, m) - n AS before FROM counts))", more=f"{_CELLS}, {_BLOCKS}, {_COUNTS}"),
         "ragft_levels": _q("SELECT e.frame_id, CAST(e.level AS INTEGER) AS level, CAST(e.n AS BIGINT) AS n, round(energy0, 1) AS energy0, round(energy1, 1) AS energy1, round(energy2, 1) AS energy2, round(coalesce(trace, 0e0), 2) AS trace FROM energies e LEFT JOIN traces t ON e.frame_id = t.frame_id AND e.level = t.level WHERE e.n > 0", more=f"{_CELLS}, {_BLOCKS}, {_ENERGIES}, {_TRACES}"),
+        "shared_runs": _q(f"SELECT * FROM ({_runs()}) WHERE n > 0", more=f"{_CELLS}, {_SUMS}"),
         "block_study": _q(
             f"SELECT o.frame_id, o.bx, o.b_y, o.bz, count(*) AS n, round(sum(coalesce(p, 0e0)), 3) AS trace_plain, round(sum(coalesce(l, 0e0)), 3) AS trace_luma, round(sum(coalesce(p, 0e0)) + max(CASE WHEN s.s IS NULL THEN 0e0 ELSE 2e0 END), 3) AS trace_loop, {', '.join(f'round(sum(o.cy * o.cy), 1) AS energy_{g}' for g in ('plain', 'luma', 'loop'))} FROM own o LEFT JOIN degs g ON {own.format('g')} LEFT JOIN loops s ON s.frame_id = o.frame_id AND s.bx = o.bx AND s.b_y = o.b_y AND s.bz = o.bz GROUP BY 1, 2, 3, 4",
             edges=4, more=_LOOPS + ", degs AS (SELECT frame_id, x, y, z, sum(2e0 / sqrt(d2)) AS p, sum(2e0 / (sqrt(d2) * (1e0 + abs(n_cy - cy) / 256e0))) AS l FROM edges GROUP BY ALL)",

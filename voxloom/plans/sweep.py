@@ -35,13 +35,17 @@ def measure(points: DataFrame, experiment: str, bsize: int | list[int], depth: i
 def measure_together(points: DataFrame, runs: list[Run], depth: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """measure of several runs over the same points: one job, in which a level that runs share is computed once.
 
-    seconds is the job's wall time divided by the number of runs and frames.
+    seconds is the job's wall time divided by the number of runs and frames. Values that are not finite, and
+    weights and frequencies below 0, are counted in the same job and are an error.
     """
     began = time.perf_counter()
-    coeffs = run_coefficients(voxel.with_yuv(points), runs, depth).withColumn("frame_id", (F.col("run") * FRAMES + F.col("frame_id")).cast("int"))
+    made, seen = ragft.observed(run_coefficients(voxel.with_yuv(points), runs, depth))
+    coeffs = made.withColumn("frame_id", (F.col("run") * FRAMES + F.col("frame_id")).cast("int"))
     rows = codec.rate_distortion(coeffs, steps).persist(StorageLevel.MEMORY_AND_DISK)
     parts = rows.select("frame_id").distinct().count()
     spent = (time.perf_counter() - began) / max(1, parts)
+    if odd := {n: v for n, v in seen.get.items() if n != "n" and v}:
+        raise ArithmeticError(f"coefficients that cannot be right: {odd}")
     name = F.array(*[F.lit(r.name) for r in runs])[F.expr(f"frame_id div {FRAMES}").cast("int")]
     return rows.select((F.col("frame_id") % FRAMES).alias("frame"), "step", name.alias("experiment"), "nvox", "mse", "psnr", "bytes", F.lit(spent).alias("seconds"))
 

@@ -12,12 +12,15 @@ from voxloom.functions.color import yuv_to_rgb
 from voxloom.functions.space import AXES
 from voxloom.operators import codec, features, graph, ragft, study, viewdata, voxel
 from voxloom.operators.graph import KEYS
+from voxloom.plans.shared import Run, run_coefficients
 
 #: Octree depth of the view, and fixed centroids of the clustering queries (normalised m1, m2, m4).
 DEPTH = 6
 CENTROIDS = [(0.01, 0.01, 0.01), (0.04, 0.04, 0.04), (0.06, 0.05, 0.08)]
 STEPS = (1, 4, 16, 64)
 VOXEL = ("frame_id", *AXES)
+#: Finest blocks of the runs of shared_runs, each with twos above; the last run is on the Gaussian graph.
+FINEST = ((2,), (4,), (4, 4), (8,), (4,))
 
 
 def r4(c: Column | str) -> Column:
@@ -238,6 +241,17 @@ def ragft_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("frame_id", "level").agg(F.count("*").alias("n"), *[F.round(F.sum(F.when(F.col("k") > 0, F.col(v) * F.col(v)).otherwise(0.0)), 1).alias(f"energy{i}") for i, v in enumerate(ragft.VALUES)], F.round(F.sum("freq"), 2).alias("trace"))
 
 
+def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run, frame and level the coefficients and their energy; the runs share their levels in one plan."""
+    runs = []
+    for i, finest in enumerate(FINEST):
+        bits = sum(b.bit_length() - 1 for b in finest)
+        runs.append(Run(f"run{i}", (2,) * (DEPTH - bits) + finest, graph="gaussian" if i == len(FINEST) - 1 else "inverse"))
+    c = run_coefficients(cloud(spark, sf_dir), runs, DEPTH)
+    high = lambda v: F.round(F.sum(F.when(F.col("k") > 0, F.col(v) * F.col(v)).otherwise(0.0)), 1)
+    return c.groupBy("run", "frame_id", "level").agg(F.count("*").alias("n"), *[high(v).alias(f"energy{i}") for i, v in enumerate(ragft.VALUES)])
+
+
 def block_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the three bases of each block: sums of frequencies, energy of the coefficients, and how far the first vector of 2/d is from a constant."""
     rows = study.block_bases(cloud(spark, sf_dir), 4).select(*KEYS, "graph", F.explode("rows").alias("r"))
@@ -273,6 +287,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         vertex_degree, laplacian_triples, selfloop_laplacian, block_metrics, gradient_direction, mean_direction, mean_arrow, selfloop_vertex, block_energy, block_spectrum_trace,
         laplacian_quadratic_form, components, component_centroids, complete_graph_weights, ragft_forward, ragft_roundtrip, quantized_dc, psnr_dc, psnr_by_step, rate_distortion,
         feature_norms, nearest_centroid, topk_per_centroid, cluster_sizes, kmeans_blocks, gradient_histogram, sorted_blocks, axis_extents, coeff_compare,
-        block_records, view_checks, coefficient_order, ragft_levels, block_study, first_vectors, cluster_members, arrow_anchors,
+        block_records, view_checks, coefficient_order, ragft_levels, shared_runs, block_study, first_vectors, cluster_members, arrow_anchors,
     )
     return {f.__name__: f for f in own}
