@@ -236,7 +236,10 @@ def test_quality_matches_brute_force(spark):
             if key not in fences:
                 unit = (100 if name == "word_length" else 10000) / q((lang, source), size, 50)
                 q10, q50, q90 = (q((lang, source), name, x) for x in (10, 50, 90))
-                fences[key] = q90 + 6 * max(q90 - q50, unit), q10 - 6 * max(q50 - q10, unit) if below else -1
+                w10, w50, w90 = (q((lang,), name, x) for x in (10, 50, 90))
+                high, low = min(q90 - q50, 2 * (w90 - w50)), min(q50 - q10, 2 * (w50 - w10))
+                reach = 6 * max(high, unit) if name == "word_length" else min(6 * max(high, unit), (10000 - q50 - high) / 2)
+                fences[key] = q50 + high + reach, q50 - low - 6 * max(low, unit) if below else -1
             good &= fences[key][1] <= own[name] <= fences[key][0]
         want.append((i, *c, good))
     assert got == sorted(want, key=str)
@@ -244,6 +247,36 @@ def test_quality_matches_brute_force(spark):
     assert all(len({f[0] for (g, n), f in fences.items() if n == name}) > 1 for name in quality.RATIOS)
 
 
+def test_noisy_sources_do_not_open_their_fences(spark):
+    r = random.Random(21)
+    plain = lambda n=90: [r.choice(WORDS) + r.choice(WORDS) + r.choice("abcdefgh") + str(r.randrange(400)) for _ in range(n)]
+    bad = {
+        "symbols": lambda: [w + "#$%" for w in plain()],
+        "upper": lambda: [w.upper() for w in plain()],
+        "marks": lambda: [w + "!!" for w in plain()],
+        "word_length": lambda: [w * 4 for w in plain()],
+        "short": lambda: ["a" + w[0] for w in plain(200)],
+    }
+    rows = []
+    for source in range(6):
+        for i in range(150):
+            rows.append((len(rows), " ".join(plain()), "en", f"s{source}", "good"))
+    # In the last source a fifth of the documents are noise of each kind in turn.
+    for i in range(40):
+        kind = list(bad)[i % len(bad)]
+        rows.append((len(rows), " ".join(bad[kind]()), "en", "s5", kind))
+    for i in range(8):
+        line = " ".join(plain(60))
+        rows.append((len(rows), "\n".join([line, *[" ".join(plain(2))] * 40]), "en", f"s{i % 6}", "dup_lines"))
+    judged = quality.judge(spark.createDataFrame([x[:4] for x in rows], "doc_id long, text string, lang string, source string")).collect()
+    verdict = {x["doc_id"]: (x["base_failed"], x["kept"]) for x in judged}
+    for kind in (*bad, "dup_lines"):
+        own = [verdict[x[0]] for x in rows if x[4] == kind]
+        assert own and not any(kept for _, kept in own), kind
+    good = [verdict[x[0]][1] for x in rows if x[4] == "good"]
+    assert sum(good) >= 0.99 * len(good)
+
+
 def test_sketch_bins(spark):
     values = [0, 1, 127, 128, 129, 130, 255, 256, 1000, 123456]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.sketch_bin(F.col("v"))).collect()]

@@ -7,9 +7,12 @@ sketches merge by adding counts, in any order, and give the same quantiles
 whatever the partitioning. Documents that fail the base rule stay out. The quantiles of a
 group are blended with those of its language, and these with those of all, by
 rows: as if PRIOR_ROWS rows of the wider group stood beside the group's own, so nothing
-switches at some size. The upper fence is q90 + SPREADS * max(q90 - q50, unit),
-where the unit is what a single occurrence adds to a document of the group's median
-size; the lower fence of the word length mirrors it (q10, q50). No cutoff is fixed.
+switches at some size. With s the spread q90 - q50, the upper fence is
+q50 + s + SPREADS * max(s, unit), where the unit is what a single occurrence adds to a document of the group's median
+size; the lower fence of the word length mirrors it (q10, q50). A source whose noise lifts its
+own q90 does not open its fence: s is at most WIDEST times the spread of its language, so only
+a median moves the fence freely. Nor does a fence of a share lie further than half-way from q50 + s to
+the end of its range, however few lines or words a median text has. No cutoff is fixed.
 The fences are joined back to the documents.
 
 Defined results: a null text has no words. Null languages and sources are groups
@@ -47,6 +50,8 @@ SIZES = ("word_chars", "n_words", "n_lines")
 QUANTILES = (10, 50, 90)
 #: Widths of the fences in spreads, and rows of the wider group that are blended into a group's.
 SPREADS, PRIOR_ROWS = 6, 100
+#: Spreads of the language that a source's own may reach.
+WIDEST = 2
 BASE_FAILED = "(n_words < 50 OR n_repeat_words * 100 > n_words * 50)"
 
 
@@ -123,14 +128,19 @@ def thresholds(sketches: DataFrame, groups: tuple[str, str] = ("lang", "source")
     both = own.join(of_lang, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("ratio") == F.col("__r1"))).join(of_all, F.col("ratio") == F.col("__r2"))
     blend = lambda q, rows, wider: (F.col(rows) * F.col(q) + prior_rows * wider) / (F.col(rows) + prior_rows)
     blended = {q: blend(q, "rows", blend(f"l_{q}", "l_rows", F.col(f"a_{q}"))) for q in names[1:]}
-    wide = both.withColumns({f"b_{q}": c for q, c in blended.items()}).groupBy(*groups).agg(*[F.max(F.when(F.col("ratio") == r, F.col(f"b_{q}"))).alias(f"{r}_{q}") for r in (*RATIOS, *SIZES) for q in names[1:]])
+    wider = {f"l_{q}": blend(f"l_{q}", "l_rows", F.col(f"a_{q}")) for q in names[1:]}
+    spread = {"s_low": F.least(blended["q50"] - blended["q10"], WIDEST * (wider["l_q50"] - wider["l_q10"])), "s_high": F.least(blended["q90"] - blended["q50"], WIDEST * (wider["l_q90"] - wider["l_q50"]))}
+    kept = both.withColumns({"b_q50": blended["q50"], **{f"b_{n}": c for n, c in spread.items()}})
+    wide = kept.groupBy(*groups).agg(*[F.max(F.when(F.col("ratio") == r, F.col(f"b_{q}"))).alias(f"{r}_{q}") for r in (*RATIOS, *SIZES) for q in ("q50", "s_low", "s_high")])
     fences = []
     for name, (_, size, below) in RATIOS.items():
         unit = (100 if name == "word_length" else 10_000) / F.col(f"{size}_q50")
-        q10, q50, q90 = (F.col(f"{name}_{q}") for q in names[1:])
-        fences.append((q90 + spreads * F.greatest(q90 - q50, unit)).alias(f"{name}_high"))
+        q50, low, high = (F.col(f"{name}_{c}") for c in ("q50", "s_low", "s_high"))
+        reach = spreads * F.greatest(high, unit)
+        reach = reach if name == "word_length" else F.least(reach, (10_000 - q50 - high) / 2)
+        fences.append((q50 + high + reach).alias(f"{name}_high"))
         if below:
-            fences.append((q10 - spreads * F.greatest(q50 - q10, unit)).alias(f"{name}_low"))
+            fences.append((q50 - low - spreads * F.greatest(low, unit)).alias(f"{name}_low"))
     return wide.select(*groups, *fences)
 
 
