@@ -111,3 +111,19 @@ def test_many_frames_in_one_scan(spark, tmp_path):
     (tmp_path / "bad.ply").write_text("ply\nformat ascii 1.0\n")
     with pytest.raises(Exception, match="end_header"):
         ply.read_frames(spark, {0: paths[0], 1: str(tmp_path / "bad.ply")}).collect()
+
+
+def test_all_experiments_of_a_sequence_run(spark, tmp_path):
+    from voxloom.plans import catalog, shared, sweep
+
+    r = np.random.default_rng(4)
+    (tmp_path / "8iVFBv2/loot/Ply").mkdir(parents=True)
+    body = [" ".join(map(str, [*p, *r.integers(0, 256, 3)])) for p in np.unique(500 + r.integers(0, 14, (400, 3)), axis=0)]
+    head = ["ply", "format ascii 1.0", f"element vertex {len(body)}", *[f"property float {a}" for a in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue")], "end_header"]
+    (tmp_path / "8iVFBv2/loot/Ply/loot_vox10_1000.ply").write_text("\n".join([*head, *body, ""]))
+    plan = [tuple(x) for x in catalog.experiments(spark).where("dataset = '8iVFBv2' AND sequence = 'loot'").collect()]
+    rd = sweep.run(spark, plan, [1], str(tmp_path / "rd"), str(tmp_path), (8,)).collect()
+    assert {x["experiment"] for x in rd} == {x[2] for x in plan} and len(rd) == len(plan) == 20
+    assert all(x["nvox"] == len(body) and x["bytes"] > 0 for x in rd)
+    runs = [shared.Run(name, tuple(b) if m else b[0], m, sweep.graph_of(name)) for _, _, name, b, m in plan]
+    assert len(shared.distinct_levels(runs, 10)) < sum(len(shared.levels_of(x, 10)) for x in runs) / 2

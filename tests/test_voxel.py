@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -110,7 +111,7 @@ def test_queries_match_sql(spark, small, name):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{small}/lineitem.parquet'")
     got = queries.queries()[name](spark, small)
     want = con.sql(SQL[name]).df()[sorted(got.columns)]
-    text = lambda rows: sorted(tuple("-" if v is None or v != v else f"{float(v):.4f}" for v in r) for r in rows)
+    text = lambda rows: sorted(tuple("-" if pd.isna(v) else f"{float(v):.4f}" for v in r) for r in rows)
     assert text(got.select(*sorted(got.columns)).collect()) == text(want.itertuples(index=False))
 
 
