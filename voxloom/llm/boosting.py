@@ -70,13 +70,13 @@ def fit(x: dict[str, np.ndarray], positive: np.ndarray, negative: np.ndarray, *,
     return model
 
 
-def calibrated(model: Boosted, x: dict[str, np.ndarray], positive: np.ndarray, negative: np.ndarray, *, precision: float) -> float:
-    """The least threshold with that precision over the counted rows; above all scores if there is none, or nothing is counted."""
+def calibrated(model: Boosted, x: dict[str, np.ndarray], positive: np.ndarray, negative: np.ndarray, *, precision: float, spare: float = 0.0) -> float:
+    """The least threshold with that precision over the counted rows, ``spare`` more negatives supposed; above all scores if there is none, or nothing is counted."""
     if not len(positive) or not model.trees:
         return 1.0
     score = model.predict(x)
     order = np.argsort(-score, kind="stable")
-    upto = np.cumsum(positive[order]) / np.cumsum(positive[order] + negative[order])
+    upto = np.cumsum(positive[order]) / np.maximum(np.cumsum(positive[order] + negative[order]) + spare, 1e-9)
     # Equal scores stand or fall together.
     last = np.append(score[order][1:] != score[order][:-1], True)
     good = np.flatnonzero(last & (upto >= precision))
@@ -92,7 +92,9 @@ def _grow(x: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, here: np.ndarr
     if depth:
         for name, column in x.items():
             values = column[here]
-            for cut in np.unique(values)[1:]:
+            # Cuts lie in the middle between neighbouring values, for values that fitting has not seen.
+            known = np.unique(values)
+            for cut in (known[:-1] + known[1:] + 1) // 2:
                 right = values >= cut
                 rg, rh = g[here][right].sum(), h[here][right].sum()
                 won = gain(rg, rh) + gain(total_g - rg, total_h - rh) - gain(total_g, total_h)
