@@ -370,6 +370,17 @@ def test_html(spark):
     assert got == [(1, "A & B\n\nOne two three\n\nFour\n\nfive", 32), (2, "", 0), (3, "", 0), (3, "plain", 5)]
 
 
+def test_html_keeps_the_body_beside_a_small_article():
+    card = "<article class='teaser'><h3>Read next</h3><p>A short card.</p></article>"
+    body = "".join(f"<div><p>Sentence {i} of the page's own body, in plain elements.</p></div>" for i in range(20))
+    got = [t for _, t in html.blocks(f"<body><div>{card}{body}</div><nav>menu</nav></body>")]
+    assert len(got) == 22 and got[2].startswith("Sentence 0") and "menu" not in got
+    assert [t for _, t in html.blocks(f"<body><main>{card}{body}</main><div>outside of it</div></body>")] == got
+    # An article that is the page's text stands alone.
+    assert [t for _, t in html.blocks(f"<body><article>{body}</article><div>A line beside it.</div></body>")] == got[2:]
+    assert html.blocks("<article></article><p>x</p>") == [(0, "x")] and html.blocks("<article>a</article>") == [(1, "a")]
+
+
 def test_html_repeated_runs():
     notice = "Sign in to read more stories like this one"
     pages = [[(0, notice), (0, f"Story number {i} tells about the matter of {i * 7} things and of others {i}"), (0, "short foot")] for i in range(12)]

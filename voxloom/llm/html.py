@@ -2,8 +2,9 @@
 
 A page is cut into text blocks. Elements whose tag, class, id or role marks a
 menu, header, footer, sidebar, notice, advert, form or reader comments are left
-out; blocks inside an article (or else a main element) are marked as main. Then
-the pages of a host are put together: their token streams are concatenated, a
+out; blocks inside an article (or else a main element) are marked as main, and others go, if they hold the
+share MAIN_LEAST of the page's remaining text; a smaller article is a card beside the
+text, and the other blocks stay with it. Then the pages of a host are put together: their token streams are concatenated, a
 suffix array of the concatenation is built by prefix doubling (to the depth of
 the shortest run that counts), and suffixes that are neighbours in it with an
 equal beginning are runs that distinct pages repeat. That depth settles all longer
@@ -51,6 +52,8 @@ from voxloom.llm.common import checkpointed, slices
 from voxloom.llm.urlgraph import host_of
 
 RUN, MIN_PAGES, SHARE, MAIN_SHARE, MAIN_PAGES = 6, 3, 0.1, 0.5, 10
+#: Share of a page's text that an article or main element holds at least if it is the main text.
+MAIN_LEAST = 0.2
 #: Pages of a host of which shares are taken; on hosts with more, a fixed number of pages is asked for.
 SHARE_PAGES = 1_000
 CHUNK_CHARS = 4_000_000
@@ -133,9 +136,12 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         article += tag == "article"
         main += tag == "main" or (tag == "div" and 'role="main"' in attrs)
     flush()
-    if best := max((kind for kind, _ in out), default=0):
-        return [(1, text) for kind, text in out if kind == best]
-    return out
+    total = sum(len(text) for _, text in out)
+    for least in (2, 1):
+        own = [text for kind, text in out if kind >= least]
+        if own and sum(map(len, own)) >= MAIN_LEAST * total:
+            return [(1, text) for text in own]
+    return [(min(kind, 1), text) for kind, text in out]
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
