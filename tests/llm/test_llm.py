@@ -150,6 +150,23 @@ def test_decontamination_matches_brute_force(spark, messy):
     assert not decontam.find_items(messy, bench.limit(0)).count()
 
 
+def test_spm_cache_is_bounded_in_bytes(monkeypatch):
+    """Texts of long chunks do not fill a worker, and what goes from the cache changes no result."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=spm.model_path())
+    monkeypatch.setattr(spm.PieceCodec, "MAX_BYTES", 200_000)
+    made, rng = spm.PieceCodec(spm.model_path()), random.Random(3)
+    for i in range(120):
+        text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.choice((3, 50, 300)))) for _ in range(6)) + " common words"
+        assert made.encode(text) == [lib.bos_id(), *lib.encode(text), lib.eos_id()]
+        for kept in (made.chunks, made.older):
+            assert sum(made.CHUNK_BYTES + 4 * len(c) + len(a) + len(b) for c, (a, b) in kept.items()) <= made.MAX_BYTES
+    assert made.older
+    long = "k" * 5000
+    assert made.encode(long) == [lib.bos_id(), *lib.encode(long), lib.eos_id()] and not any(long in c for c in (*made.chunks, *made.older))
+    made.forget()
+    assert not made.held and not made.chunks and not made.older
+
+
 def test_pii_spans(spark, messy):
     rows = [(0, "mail a.b+c@x-y.co.uk, d@e f@g.h@i.j; 10.0.0.255 1.2.3.999 1.2.3.4.5"), (1, "card 4111 1111 1111 1111 and 4111-1111-1111-1112, +1 (988) 555-2485 +12"), (2, "é" * 5000 + " z@q.io"), (3, None), (4, ""), (5, "9" * 4000 + "@" * 50), (6, "+1.2.3.4 5.6.7.8-9 0")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

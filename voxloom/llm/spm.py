@@ -17,7 +17,7 @@ pair only the parts that meet at the border are merged anew.
 A piece with the space mark has it only at its front, so a text is encoded in
 chunks that start where a run of marks starts; where no piece of the vocabulary
 has a letter beside another character, chunks end between such two, too. Each worker keeps the ids of
-chunks that it has seen, up to a fixed number; of the older ones those go that
+chunks that it has seen, up to a fixed number of bytes; of the older ones those go that
 were not met again.
 
 Defined results: a null text counts as empty; an empty text has only the begin
@@ -91,8 +91,9 @@ class _Kept(dict):
 class PieceCodec:
     """Encoder and decoder for one BPE model with byte fallback and identity normalisation."""
 
-    #: Chunks whose ids are kept in each of two generations, and verdicts on pairs of pieces, that are kept in one worker.
-    MAX_CHUNKS, MAX_PAIRS = 80_000, 200_000
+    #: Bytes of the chunks and their ids that are kept in each of two generations, of which CHUNK_BYTES are the cost of an entry, and
+    #: verdicts on pairs of pieces, in one worker. A chunk of more than a hundredth of the bytes is not kept.
+    MAX_BYTES, CHUNK_BYTES, MAX_PAIRS = 28_000_000, 320, 200_000
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -129,6 +130,7 @@ class PieceCodec:
         self.sides: dict[str, _Sides] = {}
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
         self.packed = _Kept(lambda p: b"".join(struct.pack("<I", self.byte_ids[b]) for b in p.encode()), known={p: struct.pack("<I", i) for p, i in self.ids.items()})
         self.decoded = _Kept(str.encode, known={p: self.bytes_of[i] for p, i in self.ids.items()})
 
@@ -256,10 +258,15 @@ class PieceCodec:
         if kept is None:
             found = self.pieces(chunk)
             kept = b"".join(map(self.packed.__getitem__, found)), b"".join(map(self.decoded.__getitem__, found))
-        if len(self.chunks) >= self.MAX_CHUNKS:
+        # A character of a text takes at most four bytes.
+        size = self.CHUNK_BYTES + 4 * len(chunk) + len(kept[0]) + len(kept[1])
+        if size * 100 > self.MAX_BYTES:
+            return kept
+        if self.held + size > self.MAX_BYTES:
             # What was not asked for since the last time goes.
-            self.older, self.chunks = self.chunks, {}
+            self.older, self.chunks, self.held = self.chunks, {}, 0
         self.chunks[chunk] = kept
+        self.held += size
         return kept
 
     def encode_packed(self, text: str | None) -> tuple[bytes, bytes]:
@@ -274,7 +281,7 @@ class PieceCodec:
 
     def forget(self) -> None:
         """Give up the chunks seen, at the end of a task: the worker goes on to other work."""
-        self.older, self.chunks = {}, {}
+        self.older, self.chunks, self.held = {}, {}, 0
 
     def encode(self, text: str | None) -> list[int]:
         packed = self.encode_packed(text)[0]
