@@ -94,6 +94,54 @@ def test_ngram_join_of_large_groups_in_blocks(spark, monkeypatch):
     assert got == {i: find(i) for i, _ in sets}
 
 
+def test_large_group_around_one_text_is_settled_by_a_few_rows(spark, monkeypatch):
+    """Copies that link with the text they come from, but not with each other, leave few open rows."""
+    r = random.Random(9)
+    rows = []
+    for c, copies in enumerate((220, 60)):
+        base = [f"c{c if i > 60 else 0}t{i}" for i in range(200)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(copies):
+            w = list(base)
+            for at in r.sample(range(5, 195, 8), 3):
+                w[at] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    sets, find = jaccard(rows, 4, 85)
+    monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x[0]: x[2] for x in ngramjoin.jaccard_components(docs).collect()}
+    assert got == {i: find(i) for i, _ in sets}
+    of = ngramjoin.set_digests(docs, 4).withColumn("group", F.when(F.col("doc") < 221, 0).otherwise(1).cast("long")).withColumn("parts", F.lit(6).cast("long"))
+    task = F.struct(F.lit(0).cast("long").alias("task"), F.lit(0).cast("long").alias("group"), F.lit(0).alias("side"))
+    grams = ngramjoin._sets_of(docs, of, 4, "doc_id", "text", task).select("doc", "s1", "s2", "grams")
+    links, known = ngramjoin.settled(of, grams, 85)
+    held = dict(sets)
+    assert all(185 * len(held[a] & held[b]) >= 85 * (len(held[a]) + len(held[b])) for a, b in map(tuple, links.collect()))
+    assert known.count() == len(rows) and known.where("open").count() <= 5
+
+
+@pytest.mark.parametrize("grams", [700, 5_000])
+def test_large_group_of_clusters_and_lone_rows(spark, monkeypatch, grams):
+    """Whatever is tied by hand: every link between different texts counts, also of rows that the first rows leave open."""
+    r = random.Random(4)
+    rows = []
+    for i in range(150):
+        cluster = i % 7
+        w = [f"k{cluster}w{j}" for j in range(60)]
+        for _ in range(r.randint(0, 4) if cluster else 30):
+            w[r.randrange(60)] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ngramjoin, "BLOCK_GRAMS", grams)
+    sets, find = jaccard(rows, 4, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = ngramjoin.set_digests(docs, 4).groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n_shingles")).withColumn("group", F.lit(5).cast("long"))
+    links = ngramjoin._group_links(groups.select("doc", "group", "n_shingles", "s1", "s2"), docs, 4, 85, "doc_id", "text")
+    found = dict(map(tuple, components.connected_components(links).collect()))
+    heads = {x["doc"] for x in groups.collect()}
+    assert all(found.get(i, i) == find(i) for i in heads)
+
+
 def test_range_digests_miss_no_pair():
     r = np.random.default_rng(2)
     for size in (6, 8, 11, 14, 20, 45, 130, 700):

@@ -20,7 +20,12 @@ away. Three steps keep it from touching all pairs:
    no link is lost. A passage that many documents share fills a whole range
    only where it makes up most of a document, so common passages tie nothing.
 3. The tied groups, each of one class of sizes and the next, are the blocks. A
-   group that is larger than a block is cut into blocks, each pair of which is one task. Inside a task, columns
+   group that is larger than a block is first held against a few of its own rows, some
+   by hash and then those that overlap most with these (so that a text from which many
+   copies differ is found). Rows that these link into the group's largest
+   component are settled: no link between two of them can change a result. The open rows
+   are cut into blocks, each of which meets each other and each block of settled rows in a
+   task of its own, so the work grows with open rows times rows, not with the square of the group. Inside a task, columns
    with many rows are multiplied as dense tiles and the others by their lists;
    overlap counts are compared exactly with 185 * overlap >= 85 * (x + y) (for
    t = 0.85), and only a spanning forest of the links leaves the task.
@@ -54,6 +59,8 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 TRIES = 5
 #: Rows and n-grams of a block at most (a group of one very long document may exceed the latter).
 BLOCK_ROWS, BLOCK_GRAMS = 2000, 1_500_000
+#: Rows of a large group that all its others are held against first, at most (fewer where they hold more than a quarter of a block's n-grams).
+PIVOTS = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -267,29 +274,12 @@ def block_links(docs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
     return [(int(docs[a]), int(docs[b])) for a, b in _forest(full)]
 
 
-def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b): spanning links inside the tied groups. groups: (doc, group, n_shingles, s1, s2) of each class that is tied."""
-    def in_parts(rows: DataFrame) -> DataFrame:
-        sized = rows.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
-        return rows.join(sized.where("rows > 1").select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts")), "group")
-
-    placed = checkpointed(in_parts(groups))
-    total = placed.where("parts = 1").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bins = max(1, math.ceil(total / (BLOCK_GRAMS // 4)))
-    # A small group goes to a bin with others; a large one to each pair of its parts.
-    part, other = F.pmod(F.xxhash64("doc"), "parts"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    placed = placed.withColumn("part", part).select("*", F.explode(other).alias("other"))
-    small = F.col("parts") == 1
-    task = F.struct(
-        F.when(small, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other"))).alias("task"),
-        F.col("group"),
-        F.when(small | (F.col("part") <= F.col("other")), 0).otherwise(1).alias("side"),
-    )
-    # A document has a few tasks: two classes, and in each the parts of a large group.
-    of_doc = placed.groupBy("doc", "s1", "s2").agg(F.collect_list(task).alias("tasks"))
-    # Only the tied documents' texts are shuffled.
-    whole = with_ids(docs, placed.select(F.col("doc").alias("__tied")).distinct(), "__tied", key).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("words"))
-    tied = whole.join(of_doc.hint("shuffle_hash"), "doc")
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str, tasks: Column) -> DataFrame:
+    """(task, group, side, doc, s1, s2, grams) for each task of the wanted (doc, s1, s2): the n-grams of the rows of that id and set."""
+    # A document has a few tasks: two classes of sizes.
+    of_doc = wanted.groupBy("doc", "s1", "s2").agg(F.collect_list(tasks).alias("tasks"))
+    # Only the wanted documents' texts are shuffled.
+    whole = with_ids(docs, wanted.select(F.col("doc").alias("__tied")).distinct(), "__tied", key).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("words"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -299,22 +289,109 @@ def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key:
                 digests = [np.frombuffer(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), np.int64) if len(g) else (None, None) for g in sets]
                 same = [i for i, (d, a, b) in enumerate(zip(digests, part.column("s1").to_pylist(), part.column("s2").to_pylist(), strict=True)) if len(sets[i]) and d[0] == a and d[1] == b]
                 docs_of, tasks = part.column("doc").to_pylist(), part.column("tasks").to_pylist()
-                sent = [(t["task"], t["group"], t["side"], docs_of[i], i) for i in same for t in tasks[i]]
+                sent = [(t["task"], t["group"], t["side"], docs_of[i], int(digests[i][0]), int(digests[i][1]), i) for i in same for t in tasks[i]]
                 for at in range(0, len(sent), 64):
                     rows = sent[at : at + 64]
-                    yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))), pa.array([sets[r[4]].tobytes() for r in rows], pa.binary())], ["task", "group", "side", "doc", "grams"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)), pa.array([sets[r[6]].tobytes() for r in rows], pa.binary())], ["task", "group", "side", "doc", "s1", "s2", "grams"])
+
+    return whole.join(of_doc.hint("shuffle_hash"), "doc").mapInArrow(to_sets, "task long, group long, side int, doc long, s1 long, s2 long, grams binary")
 
-    rows = tied.mapInArrow(to_sets, "task long, group long, side int, doc long, grams binary")
+
+def _multiplied(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning links of each task and group in it. Sides 0 and 1 are rows and columns (0 alone: of a block with itself); 2 and 3 likewise, and nothing where one of them is missing."""
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         group, doc, side, grams = (pdf[c].to_numpy() for c in ("group", "doc", "side", "grams"))
         order = np.argsort(group, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            out += block_links(doc[own], [np.frombuffer(grams[i], np.uint64) for i in own], side[own], percent)
+            if side[own[0]] < 2 or side[own].min() < side[own].max():
+                out += block_links(doc[own], [np.frombuffer(grams[i], np.uint64) for i in own], side[own] & 1, percent)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("task").applyInPandas(multiply, "a long, b long")
+    return rows.select("task", "group", "side", "doc", "grams").groupBy("task").applyInPandas(multiply, "a long, b long")
+
+
+_SET = ("group", "doc", "s1", "s2")
+
+
+def _against(large: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(group, doc, s1, s2, linked, score): of each row of the large groups the pivots it links with, and its mean overlap with them for their sizes."""
+    parts = large.select("group", "parts").distinct()
+    task = F.xxhash64("group", "part").alias("task")
+    heads = pivots.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(*_SET, task, F.lit(0).alias("side"))
+    each = large.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).select(*_SET, task, F.lit(1).alias("side"))
+    rows = heads.union(each).join(sets, ["doc", "s1", "s2"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        group, side = pdf["group"].to_numpy(), pdf["side"].to_numpy()
+        grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+        docs = pdf["doc"].to_numpy()
+        order = np.argsort(group, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            few, all_ = own[side[own] == 0], own[side[own] == 1]
+            if not len(few) or not len(all_):
+                continue
+            shared = overlaps([grams[i] for i in few], [grams[i] for i in all_]).astype(np.int64)
+            total = np.array([len(grams[i]) for i in few])[:, None] + np.array([len(grams[i]) for i in all_])[None, :]
+            good, score = ((100 + percent) * shared >= percent * total) & (shared > 0), (shared / total).mean(0)
+            found = pdf.iloc[all_][list(_SET)].copy()
+            found["linked"] = [docs[few[good[:, j]]].tolist() for j in range(len(all_))]
+            found["score"] = score
+            out.append(found)
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*_SET, "linked", "score")})
+
+    return rows.groupBy("task").applyInPandas(compare, "group long, doc long, s1 long, s2 long, linked array<long>, score double")
+
+
+def settled(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links found, large with a column open): rows are held against a few of their group, and are open unless in its largest component so far."""
+    # The more n-grams a group's rows have, the fewer of them go to all its tasks.
+    few = large.groupBy("group").agg(F.max("n_shingles").alias("most")).select("group", F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(F.lit(BLOCK_GRAMS // 4) / F.col("most")))).cast("long").alias("few"))
+    slot = F.pmod(F.xxhash64("s1", "s2", "doc"), "few").alias("slot")
+    row = F.struct("doc", "s1", "s2")
+    pick = lambda rows, best: rows.join(few, "group").groupBy("group", slot).agg(best.alias("row")).select("group", "row.*")
+    first = checkpointed(_against(large, checkpointed(pick(large, F.min_by(row, F.xxhash64("doc", "s1")))), sets, percent))
+    second = checkpointed(_against(large, checkpointed(pick(first, F.max_by(row, F.struct("score", "doc")))), sets, percent))
+    links = checkpointed(first.union(second).select(F.col("doc").alias("a"), F.explode("linked").alias("b")).where("a <> b"))
+    of = connected_components(links).withColumnsRenamed({"node": "doc"})
+    known = checkpointed(large.join(of, "doc", "left"))
+    sizes = known.where("component IS NOT NULL").groupBy("group", "component").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("group").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
+    rest = known.join(main, "group", "left").withColumn("open", ~F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    return links, checkpointed(rest.drop("component", "main"))
+
+
+def _large_links(large: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """(a, b): links that join what links inside groups larger than a block. large: (doc, group, n_shingles, s1, s2, parts)."""
+    no_task = F.struct(F.lit(0).cast("long").alias("task"), F.lit(0).cast("long").alias("group"), F.lit(0).alias("side"))
+    sets = checkpointed(_sets_of(docs, large.select("doc", "s1", "s2").distinct(), n, key, text, no_task).select("doc", "s1", "s2", "grams"))
+    links, known = settled(large, sets, percent)
+    opened = known.where("open").groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
+    cut = opened.select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("cuts"))
+    placed = known.join(cut, "group").withColumn("part", F.pmod(F.xxhash64("doc"), F.when(F.col("open"), F.col("cuts")).otherwise(F.col("parts"))))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("other")
+    task = lambda kind, a, b: F.xxhash64("group", F.lit(kind), a, b).alias("task")
+    among = placed.where("open").select(*_SET, "part", upto("cuts")).select(*_SET, task("open", F.least("part", "other"), F.greatest("part", "other")), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
+    across = placed.where("open").select(*_SET, "part", upto("parts")).select(*_SET, task("settled", F.col("part"), F.col("other")), F.lit(2).alias("side"))
+    other = placed.where("NOT open").select(*_SET, "part", upto("cuts")).select(*_SET, task("settled", F.col("other"), F.col("part")), F.lit(3).alias("side"))
+    return links.union(_multiplied(among.union(across).union(other).join(sets, ["doc", "s1", "s2"]), percent))
+
+
+def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """(a, b): spanning links inside the tied groups. groups: (doc, group, n_shingles, s1, s2) of each class that is tied."""
+    sized = groups.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
+    parts = sized.where("rows > 1").select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts"))
+    placed = checkpointed(groups.join(parts, "group"))
+    small = F.col("parts") == 1
+    total, large = placed.agg(F.coalesce(F.sum(F.when(small, F.col("n_shingles"))), F.lit(0)), F.count_if(~small)).first()
+    # Small groups go to bins with others.
+    bins = max(1, math.ceil(total / (BLOCK_GRAMS // 4)))
+    task = F.struct(F.pmod(F.xxhash64("group"), F.lit(bins)).alias("task"), F.col("group"), F.lit(0).alias("side"))
+    links = _multiplied(_sets_of(docs, placed.where(small), n, key, text, task), percent)
+    return links.union(_large_links(placed.where(~small), docs, n, percent, key, text)) if large else links
 
 
 def _node(column: str) -> Column:
