@@ -111,7 +111,7 @@ def test_large_group_around_one_text_is_settled_by_a_few_rows(spark, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x[0]: x[2] for x in ngramjoin.jaccard_components(docs).collect()}
     assert got == {i: find(i) for i, _ in sets}
-    of = ngramjoin.set_digests(docs, 4).withColumn("group", F.when(F.col("doc") < 221, 0).otherwise(1).cast("long")).withColumn("parts", F.lit(6).cast("long"))
+    of = ngramjoin.set_digests(docs, 4).withColumn("group", F.when(F.col("doc") < 221, 0).otherwise(1).cast("long")).withColumns({"parts": F.lit(6).cast("long"), "few": F.lit(16).cast("long")})
     task = F.struct(F.lit(0).cast("long").alias("task"), F.lit(0).cast("long").alias("group"), F.lit(0).alias("side"))
     grams = ngramjoin._sets_of(docs, of, 4, "doc_id", "text", task).select("doc", "s1", "s2", "grams")
     links, known = ngramjoin.settled(of, grams, 85)

@@ -317,11 +317,11 @@ _SET = ("group", "doc", "s1", "s2")
 
 
 def _against(large: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(group, doc, s1, s2, linked, score): of each row of the large groups the pivots it links with, and its mean overlap with them for their sizes."""
-    parts = large.select("group", "parts").distinct()
+    """(group, doc, s1, s2, few, linked, score): of each row of the large groups the pivots it links with, and its mean overlap with them for their sizes."""
+    parts = large.select("group", "parts", "few").distinct()
     task = F.xxhash64("group", "part").alias("task")
-    heads = pivots.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(*_SET, task, F.lit(0).alias("side"))
-    each = large.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).select(*_SET, task, F.lit(1).alias("side"))
+    heads = pivots.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(*_SET, "few", task, F.lit(0).alias("side"))
+    each = large.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).select(*_SET, "few", task, F.lit(1).alias("side"))
     rows = heads.union(each).join(sets, ["doc", "s1", "s2"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -337,40 +337,39 @@ def _against(large: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int)
             shared = overlaps([grams[i] for i in few], [grams[i] for i in all_]).astype(np.int64)
             total = np.array([len(grams[i]) for i in few])[:, None] + np.array([len(grams[i]) for i in all_])[None, :]
             good, score = ((100 + percent) * shared >= percent * total) & (shared > 0), (shared / total).mean(0)
-            found = pdf.iloc[all_][list(_SET)].copy()
+            found = pdf.iloc[all_][[*_SET, "few"]].copy()
             found["linked"] = [docs[few[good[:, j]]].tolist() for j in range(len(all_))]
             found["score"] = score
             out.append(found)
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*_SET, "linked", "score")})
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*_SET, "few", "linked", "score")})
 
-    return rows.groupBy("task").applyInPandas(compare, "group long, doc long, s1 long, s2 long, linked array<long>, score double")
+    return rows.groupBy("task").applyInPandas(compare, "group long, doc long, s1 long, s2 long, few long, linked array<long>, score double")
 
 
 def settled(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """((a, b) links found, large with a column open): rows are held against a few of their group, and are open unless in its largest component so far."""
-    # The more n-grams a group's rows have, the fewer of them go to all its tasks.
-    few = large.groupBy("group").agg(F.max("n_shingles").alias("most")).select("group", F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(F.lit(BLOCK_GRAMS // 4) / F.col("most")))).cast("long").alias("few"))
     slot = F.pmod(F.xxhash64("s1", "s2", "doc"), "few").alias("slot")
     row = F.struct("doc", "s1", "s2")
-    pick = lambda rows, best: rows.join(few, "group").groupBy("group", slot).agg(best.alias("row")).select("group", "row.*")
+    pick = lambda rows, best: rows.groupBy("group", slot).agg(best.alias("row")).select("group", "row.*")
     first = checkpointed(_against(large, checkpointed(pick(large, F.min_by(row, F.xxhash64("doc", "s1")))), sets, percent))
     second = checkpointed(_against(large, checkpointed(pick(first, F.max_by(row, F.struct("score", "doc")))), sets, percent))
     links = checkpointed(first.union(second).select(F.col("doc").alias("a"), F.explode("linked").alias("b")).where("a <> b"))
     of = connected_components(links).withColumnsRenamed({"node": "doc"})
     known = checkpointed(large.join(of, "doc", "left"))
     sizes = known.where("component IS NOT NULL").groupBy("group", "component").agg(F.count("*").alias("rows"))
-    main = sizes.groupBy("group").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
+    # One row a group, put down first, so that the join with a hot group's rows is one that AQE can split.
+    main = checkpointed(sizes.groupBy("group").agg(F.max_by("component", F.struct("rows", "component")).alias("main")))
     rest = known.join(main, "group", "left").withColumn("open", ~F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
     return links, checkpointed(rest.drop("component", "main"))
 
 
 def _large_links(large: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b): links that join what links inside groups larger than a block. large: (doc, group, n_shingles, s1, s2, parts)."""
+    """(a, b): links that join what links inside groups larger than a block. large: (doc, group, n_shingles, s1, s2, parts, few)."""
     no_task = F.struct(F.lit(0).cast("long").alias("task"), F.lit(0).cast("long").alias("group"), F.lit(0).alias("side"))
     sets = checkpointed(_sets_of(docs, large.select("doc", "s1", "s2").distinct(), n, key, text, no_task).select("doc", "s1", "s2", "grams"))
     links, known = settled(large, sets, percent)
     opened = known.where("open").groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
-    cut = opened.select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("cuts"))
+    cut = checkpointed(opened.select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("cuts")))
     placed = known.join(cut, "group").withColumn("part", F.pmod(F.xxhash64("doc"), F.when(F.col("open"), F.col("cuts")).otherwise(F.col("parts"))))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("other")
     task = lambda kind, a, b: F.xxhash64("group", F.lit(kind), a, b).alias("task")
@@ -382,9 +381,12 @@ def _large_links(large: DataFrame, docs: DataFrame, n: int, percent: int, key: s
 
 def _group_links(groups: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """(a, b): spanning links inside the tied groups. groups: (doc, group, n_shingles, s1, s2) of each class that is tied."""
-    sized = groups.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
-    parts = sized.where("rows > 1").select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts"))
-    placed = checkpointed(groups.join(parts, "group"))
+    sized = groups.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"), F.max("n_shingles").alias("most")).where("rows > 1")
+    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("parts")
+    # The more n-grams a group's rows have, the fewer of them go to all its tasks.
+    few = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(F.lit(BLOCK_GRAMS // 4) / F.col("most")))).cast("long").alias("few")
+    # Put down before the join, which AQE can then split where one group is hot.
+    placed = checkpointed(groups.join(checkpointed(sized.select("group", parts, few)), "group"))
     small = F.col("parts") == 1
     total, large = placed.agg(F.coalesce(F.sum(F.when(small, F.col("n_shingles"))), F.lit(0)), F.count_if(~small)).first()
     # Small groups go to bins with others.
