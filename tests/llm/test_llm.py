@@ -154,6 +154,50 @@ def test_range_digests_miss_no_pair():
                 assert len(np.intersect1d(*(np.concatenate(ngramjoin.range_digests(x, 85)) for x in (a, b))))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_range_digests_of_long_texts_miss_no_pair(percent):
+    r = np.random.default_rng(5)
+    for size in (800, 1500, 5_000, 20_000):
+        for _ in range(30):
+            a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+            odd = (100 - percent) * 2 * size // (100 + percent)
+            b = np.unique(np.concatenate([r.permutation(a)[odd // 2 :], r.integers(0, 2**63, odd - odd // 2).astype(np.uint64)]))
+            assert (100 + percent) * len(np.intersect1d(a, b)) >= percent * (len(a) + len(b))
+            assert len(np.intersect1d(*(np.concatenate(ngramjoin.range_digests(x, percent)) for x in (a, b))))
+
+
+def test_chance_that_ranges_miss_a_pair_is_bounded():
+    """Balls in bins: few ranges are missed as often as the bound says at most; the classes keep to the limit or to the pigeonhole."""
+    r = np.random.default_rng(6)
+    for k, odd, shared in ((6, 12, 20), (10, 25, 60), (12, 24, 12)):
+        hit = [np.setdiff1d(r.integers(0, k, shared), r.integers(0, k, odd)).size == 0 for _ in range(4_000)]
+        assert 0 < np.mean(hit) <= 2 ** ngramjoin._missed(k, odd, shared) + 0.03
+    for percent in (80, 85):
+        starts = ngramjoin._classes(percent)
+        for lower in range(60):
+            least, top = starts[lower], starts[lower + 1] - 1
+            odd = (100 - percent) * (top + top * 100 // percent) // (100 + percent)
+            k, _ = ngramjoin._ranges(lower, percent)
+            assert not odd or k > odd or ngramjoin._missed(k, odd, 2 * percent * least // (100 + percent)) <= -63.9
+
+
+def test_long_texts_with_a_shared_passage_are_not_tied(spark):
+    """A passage that makes up three tenths of long texts ties none, and what lies near the threshold is found."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(1200)]
+    docs = spark.createDataFrame([(i, " ".join(passage + [f"d{i}w{j}" for j in range(2800)])) for i in range(10)], "doc_id long, text string")
+    assert ngramjoin._ties(docs, 5, 80, "doc_id", "text").count() == 0
+    rows = []
+    for i in range(48):
+        w = passage + [f"b{i % 4}w{j}" for j in range(1800)]
+        for at in r.sample(range(10, 2990, 10), r.randint(50, 80)):
+            w[at] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets, find = jaccard(rows, 5, 80)
+    got = {x[0]: x[2] for x in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80).collect()}
+    assert got == {i: find(i) for i, _ in sets} and len(set(got.values())) > 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 201), (201, 205), (None, 3)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))

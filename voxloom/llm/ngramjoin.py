@@ -10,14 +10,18 @@ away. Three steps keep it from touching all pairs:
 2. Blocks of rows are found by a pigeonhole bound. For two sets of sizes x and y
    to reach the threshold t, at most H = (1 - t)(x + y)/(1 + t) n-grams may lie
    in one of them only. With the hash space cut into more than H ranges, at
-   least one range holds the same n-grams in both. Each document therefore sends
+   least one range holds the same n-grams in both. Where H is large (sets of about 400 n-grams
+   or more), fewer and wider ranges do: so many that the chance that these H n-grams hit every range is
+   below 2 ** -64, the chance that two given n-grams have one hash. Long documents that
+   share a passage are then not tied, where narrow ranges tie them into groups that
+   grow with the table. Each document therefore sends
    one digest per range (for its class of sizes and for the class below, as two
    nodes), and nodes that share a digest are tied by edges to the first node of its
    list, as the sorted digests stream by. Ranges in which a document has nothing
    do not tie; where they are so many that the bound could hold for empty ranges
    alone, the document also sends digests under another hash, and only after
    the last of several hashes are empty ranges tied. No list is capped and
-   no link is lost. A passage that many documents share fills a whole range
+   no link is lost, but with that chance. A passage that many documents share fills a whole range
    only where it makes up most of a document, so common passages tie nothing.
 3. The tied groups, each of one class of sizes and the next, are the blocks. A
    group that is larger than a block is first held against a few of its own rows, some
@@ -57,6 +61,8 @@ from voxloom.llm.components import connected_components
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Hashes tried before empty ranges are tied.
 TRIES = 5
+#: Log2 of the chance at most that a pair above the threshold shares no digest, where there are fewer ranges than n-grams that may differ: that of two given n-grams with one hash.
+MISSED = -64
 #: Rows and n-grams of a block at most (a group of one very long document may exceed the latter).
 BLOCK_ROWS, BLOCK_GRAMS = 2000, 1_500_000
 #: Rows of a large group that all its others are held against first, at most (fewer where they hold more than a quarter of a block's n-grams).
@@ -113,13 +119,37 @@ def _classes(percent: int) -> list[int]:
     return starts
 
 
+def _missed(k: int, odd: int, shared: int) -> float:
+    """Log2 of a bound on the chance that none of k ranges holds some of the shared n-grams and none of the odd ones.
+
+    Whether ranges are hit is negatively associated (balls in bins), so the product over the ranges bounds it.
+    """
+    if k < 2:
+        return 0.0
+    clear, bare = (math.exp(balls * math.log1p(-1 / k)) for balls in (odd, shared))
+    return k * math.log1p(-clear * (1 - bare)) / math.log(2)
+
+
 @lru_cache(maxsize=4096)
 def _ranges(lower_class: int, percent: int) -> tuple[int, int]:
-    """(ranges, spare) for pairs whose smaller set is of that class; 0 ranges if only equal sets can link."""
-    top = _classes(percent)[lower_class + 1] - 1
+    """(ranges, spare) for pairs whose smaller set is of that class; 0 ranges if only equal sets can link.
+
+    As many as the pigeonhole asks for, or the least number that misses a pair with a chance of 2 ** MISSED, where that is less.
+    A set with more empty ranges than are spared (its hashes are not spread evenly) sends digests under other hashes too.
+    """
+    least, top = _classes(percent)[lower_class], _classes(percent)[lower_class + 1] - 1
     odd = (100 - percent) * (top + top * 100 // percent) // (100 + percent)
     spare = 1 + odd // 12
-    return (odd + 1 + spare, spare) if odd else (0, 0)
+    if not odd:
+        return 0, 0
+    shared = -(-2 * percent * least // (100 + percent))
+    if _missed(odd, odd, shared) > MISSED:
+        return odd + 1 + spare, spare
+    low, high = 1, odd
+    while high - low > 1:
+        k = (low + high) // 2
+        low, high = (low, k) if _missed(k, odd, shared) <= MISSED else (k, high)
+    return high, 1 + high // 12
 
 
 def range_digests(grams: np.ndarray, percent: int) -> list[np.ndarray]:
