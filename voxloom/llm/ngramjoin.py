@@ -444,7 +444,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, key: s
     groups = connected_components(_ties(docs, n, percent, key, text).union(nodes)).withColumnsRenamed({"component": "group"})
     of_class = classes.select("head", "n_shingles", "s1", "s2", both).withColumn("node", _node("head"))
     grouped = checkpointed(of_class.join(groups, "node").select(F.col("head").alias("doc"), "group", "n_shingles", "s1", "s2"))
-    links = _group_links(grouped, docs, n, percent, key, text)
+    # Put down before they are contracted, so that no task holds the Python workers of both.
+    links = checkpointed(_group_links(grouped, docs, n, percent, key, text))
     found = connected_components(links.union(same)).withColumnsRenamed({"node": "doc", "component": "least"})
     return own.join(found, "doc", "left").select(F.col("doc").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
