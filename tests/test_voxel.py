@@ -34,6 +34,24 @@ def test_colour_round_trip(spark):
     assert back.where("red <> red2 OR green <> green2 OR blue <> blue2").count() <= 2
 
 
+def test_every_colour_comes_back_without_clipping(spark):
+    rows = spark.range(1 << 24).selectExpr("cast(id >> 16 AS int) AS red", "cast((id >> 8) & 255 AS int) AS green", "cast(id & 255 AS int) AS blue")
+    back = lambda clip: rows.withColumns(rgb_to_yuv(clip=clip)).select("red", "green", "blue", *[c.alias(f"{n}2") for n, c in yuv_to_rgb().items()]).where("red <> red2 OR green <> green2 OR blue <> blue2")
+    assert not back(False).count()
+    assert sorted(tuple(x)[:3] for x in back(True).collect()) == [(0, 0, 255), (1, 0, 255), (255, 0, 0), (255, 0, 1)]
+
+
+def test_round_trip_query_keeps_pure_colours(spark, tmp_path):
+    from voxloom import queries
+
+    # 37 * 83, 53 * 227 and 11 * 163 leave 255, 255 and 1.
+    rows = [(0, 0, 227, 1, 5.0), (83, 0, 0, 1, 7.0), (256, 163, 227, 1, 9.0), (7, 9, 11, 2, 3.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {tuple(r) for r in queries.points(spark, str(tmp_path)).select(*queries.VOXEL, "red", "green", "blue").collect()}
+    assert {r[4:] for r in want} >= {(0, 0, 255), (255, 0, 0), (0, 1, 255)}
+    assert {tuple(r) for r in queries.yuv_roundtrip(spark, str(tmp_path)).collect()} == want
+
+
 def test_pair_has_known_spectrum():
     rows, freq = spectral.block_basis(np.array([[[0, 0, 0], [1, 0, 0]]]), np.ones((1, 2)))
     assert np.allclose(freq, [[0, 4]]) and np.allclose(rows[0, 0], 2**-0.5)
