@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import features, ragft, spectral, study, voxel
+from voxloom.operators import features, ragft, spectral, study, viewdata, voxel
 from voxloom.operators.graph import KEYS
 
 
@@ -54,6 +54,22 @@ def test_study_records_hold_bases(own):
     assert len(table) == own.count() and {tuple(t[c] for c in ("frame_id", "x", "y", "z")) for t in table} == {tuple(p)[:4] for ps in points.values() for p in ps}
 
 
+def test_directions_that_cancel_have_no_mean_in_any_order(spark):
+    steps = [(1, 0, 0), (1, 1, 0), (-1, 1, 1), (0, -1, 1), (1, 1, 1)]
+    steps = [np.array(s) / np.sqrt(np.abs(s).sum()) for s in steps]
+    r, rows = np.random.default_rng(3), []
+    for block in range(40):
+        both = [*steps, *(-s for s in steps)]
+        if block % 2:
+            both.append(np.array([0.0, 0.0, -1.0]))
+        for i in r.permutation(len(both)):
+            rows.append((0, block, 0, 0, int(i), 0, 0, 0.1, *map(float, both[i])))
+        rows.append((0, block, 0, 0, 99, 0, 0, 0.0, 0.0, 0.0, 0.0))
+    directed = spark.createDataFrame(rows, "frame_id int, bx long, b_y long, bz long, x long, y long, z long, weight double, ux double, uy double, uz double").coalesce(1)
+    got = {x["bx"]: (x["mx"], x["my"], x["mz"]) for x in viewdata.arrows(directed).collect()}
+    assert got == {b: (0.0, 0.0, -1.0) if b % 2 else (None, None, None) for b in range(40)}
+
+
 def test_store_joins_without_a_shuffle(spark, own, tmp_path):
     tables = {"records": features.block_records(own, 4), "bases": study.block_bases(own, 4), "metrics": features.block_metrics(own, 4)}
     try:

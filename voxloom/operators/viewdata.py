@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,14 @@ def coeff_magnitudes(original: DataFrame, modified: DataFrame, keys: tuple[str,
 
 
 def arrows(directed: DataFrame, keys: tuple[str, ...] = ("frame_id", "bx", "b_y", "bz")) -> DataFrame:
-    """(keys, mx, my, mz, anchor): plain mean arrow of the non-zero directions and where to draw it."""
-    m = directed.groupBy(*keys).agg(*[F.avg(F.when(F.col("weight") > 0, F.col(f"u{a}"))).alias(f"s{a}") for a in AXES], *[F.avg(a).alias(f"anchor_{a}") for a in AXES])
+    """(keys, mx, my, mz, anchor): plain mean arrow of the non-zero directions and where to draw it.
+
+    A direction is a step to one of the 26 neighbours by its length. Steps of each length are summed as whole numbers, so
+    that directions which cancel have no mean (null) in whatever order their rows come.
+    """
+    pointed, length = F.col("weight") > 0, sum(F.abs(F.signum(f"u{a}")) for a in AXES)
+    steps = [F.sum(F.when(pointed & (length == d2), F.signum(f"u{a}").cast("long")).otherwise(0)).alias(f"s{a}{d2}") for a in AXES for d2 in (1, 2, 3)]
+    sums = directed.groupBy(*keys).agg(F.count_if(pointed).alias("n"), *steps, *[F.avg(a).alias(f"anchor_{a}") for a in AXES])
+    m = sums.withColumns({f"s{a}": F.try_divide(F.col(f"s{a}1") + F.col(f"s{a}2") / math.sqrt(2) + F.col(f"s{a}3") / math.sqrt(3), F.col("n")) for a in AXES})
     norm = F.sqrt(sum(F.col(f"s{a}") * F.col(f"s{a}") for a in AXES))
     return m.select(*keys, *[F.try_divide(F.col(f"s{a}"), norm).alias(f"m{a}") for a in AXES], *[f"anchor_{a}" for a in AXES])
