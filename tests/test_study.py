@@ -70,6 +70,26 @@ def test_directions_that_cancel_have_no_mean_in_any_order(spark):
     assert got == {b: (0.0, 0.0, -1.0) if b % 2 else (None, None, None) for b in range(40)}
 
 
+@pytest.mark.parametrize("query", [lambda b: b, study.first_vectors])
+def test_study_deals_points_once_and_no_entries(own, query):
+    plan = query(study.block_bases(own, 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name,exchanges", [("block_study", 2)])
+def test_study_queries_deal_lines_once_and_sums_once(spark, small, name, exchanges):
+    from voxloom import queries
+
+    plan = queries.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == exchanges and "Join" not in plan
+
+
+def test_looped_points_are_the_vertices_of_the_loops(own):
+    got = features.looped_points(own, 4)
+    assert sorted(map(tuple, got.where("looped").select(*KEYS, "x", "y", "z").collect())) == sorted(map(tuple, features.selfloop_vertices(own, 4).collect()))
+    assert sorted(map(tuple, got.select("frame_id", "x", "y", "z", *voxel.CHANNELS).collect())) == sorted(map(tuple, own.select("frame_id", "x", "y", "z", *voxel.CHANNELS).collect()))
+
+
 def test_store_joins_without_a_shuffle(spark, own, tmp_path):
     tables = {"records": features.block_records(own, 4), "bases": study.block_bases(own, 4), "metrics": features.block_metrics(own, 4)}
     try:
