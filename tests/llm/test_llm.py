@@ -198,6 +198,35 @@ def test_long_texts_with_a_shared_passage_are_not_tied(spark):
     assert got == {i: find(i) for i, _ in sets} and len(set(got.values())) > 4
 
 
+def test_near_copies_of_one_class_are_compared_once(spark, monkeypatch):
+    r = random.Random(5)
+    base = [[f"w{r.randrange(5000)}" for _ in range(150)] for _ in range(12)]
+    texts = [" ".join([*b[:k], f"new{k}", *b[k + 1 :]]) for b in base for k in (0, 60, 149)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, sets_of = [], ngramjoin._sets_of
+    monkeypatch.setattr(ngramjoin, "_sets_of", lambda docs, wanted, *more: seen.append(wanted.count()) or sets_of(docs, wanted, *more))
+    got = {x["doc_id"]: x["component_id"] for x in ngramjoin.jaccard_components(docs).collect()}
+    assert got == {i: i - i % 3 for i in range(36)}
+    # Each document's set goes to one task, not also to that of the class below.
+    assert seen == [36]
+
+
+def test_tied_texts_are_shuffled_once(spark, monkeypatch):
+    from voxloom.llm import common
+
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}") for i in range(60)], "doc_id long, text string").repartition(3)
+    own = ngramjoin.set_digests(docs, 4).where("doc < 40").select("doc", "s1", "s2").localCheckpoint()
+    task = F.struct(F.pmod("doc", F.lit(3)).alias("task"), F.lit(0).cast("long").alias("group"), F.lit(0).alias("side"))
+    found = {}
+    for ids in (1_000_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_IDS", ids)
+        rows = ngramjoin._sets_of(docs, own, 4, "doc_id", "text", task)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        found[ids] = sorted(map(str, rows.collect()))
+        assert plan.count("Join Inner") == 1 and plan.count("Join LeftSemi") == (1 if ids else 0)
+    assert found[0] == found[1_000_000] and len(found[0]) == 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 201), (201, 205), (None, 3)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -23,7 +23,8 @@ away. Three steps keep it from touching all pairs:
    the last of several hashes are empty ranges tied. No list is capped and
    no link is lost, but with that chance. A passage that many documents share fills a whole range
    only where it makes up most of a document, so common passages tie nothing.
-3. The tied groups, each of one class of sizes and the next, are the blocks. A
+3. The tied groups, each of one class of sizes and the next, are the blocks, but for those
+   without a node of a document's own class, whose pairs all meet in another group. A
    group that is larger than a block is first held against a few of its own rows, some
    by hash and then those that overlap most with these (so that a text from which many
    copies differ is found). Rows that these link into the group's largest
@@ -55,7 +56,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import checkpointed, slices, small_batches, with_ids, without_ids
+from voxloom.llm import common
+from voxloom.llm.common import checkpointed, slices, small_batches, without_ids
 from voxloom.llm.components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -308,8 +310,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str, ta
     """(task, group, side, doc, s1, s2, grams) for each task of the wanted (doc, s1, s2): the n-grams of the rows of that id and set."""
     # A document has a few tasks: two classes of sizes.
     of_doc = wanted.groupBy("doc", "s1", "s2").agg(F.collect_list(tasks).alias("tasks"))
-    # Only the wanted documents' texts are shuffled.
-    whole = with_ids(docs, wanted.select(F.col("doc").alias("__tied")).distinct(), "__tied", key).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("words"))
+    # Only the wanted documents' texts are shuffled, and those once: more ids than are broadcast are left to the join with the tasks.
+    tied = checkpointed(wanted.select("doc").distinct())
+    whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("words"))
+    if tied.count() <= common.BROADCAST_IDS:
+        whole = whole.join(F.broadcast(tied), "doc", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -443,9 +448,13 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, key: s
     nodes = same.select("a", "b", both).select(_node("b").alias("a"), _node("a").alias("b"))
     groups = connected_components(_ties(docs, n, percent, key, text).union(nodes)).withColumnsRenamed({"component": "group"})
     of_class = classes.select("head", "n_shingles", "s1", "s2", both).withColumn("node", _node("head"))
-    grouped = checkpointed(of_class.join(groups, "node").select(F.col("head").alias("doc"), "group", "n_shingles", "s1", "s2"))
+    grouped = checkpointed(of_class.join(groups, "node").select(F.col("head").alias("doc"), "group", "bit", "n_shingles", "s1", "s2"))
+    # Of two rows that may link, the one of the lower class of sizes (of one class, both) is in their group by its node of bit 0. A group
+    # of nodes of bit 1 alone, as near copies make it beside that of their own class, has no such pair. Put down before the join, for AQE as below.
+    paired = checkpointed(grouped.where("bit = 0").select("group").distinct())
+    compared = grouped.join(paired, "group", "left_semi").drop("bit")
     # Put down before they are contracted, so that no task holds the Python workers of both.
-    links = checkpointed(_group_links(grouped, docs, n, percent, key, text))
+    links = checkpointed(_group_links(compared, docs, n, percent, key, text))
     found = connected_components(links.union(same)).withColumnsRenamed({"node": "doc", "component": "least"})
     return own.join(found, "doc", "left").select(F.col("doc").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
