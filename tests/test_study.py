@@ -76,7 +76,7 @@ def test_study_deals_points_once_and_no_entries(own, query):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
-@pytest.mark.parametrize("name,exchanges", [("block_study", 2)])
+@pytest.mark.parametrize("name,exchanges", [("block_study", 2), ("first_vectors", 2)])
 def test_study_queries_deal_lines_once_and_sums_once(spark, small, name, exchanges):
     from voxloom import queries
 
